@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, mixing, url_filter
-from wayfare.llm.common import table
+from wayfare.llm import bpe, media, mixing, topk, url_filter, warc
+from wayfare.llm.common import new_path, table
 
 #: The vocabulary file; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,12 +24,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "media")
+    media.write(table(spark, sf_dir, "documents"), path)
+    payload, wave = F.col("payload"), F.col("media")
+    return media.read(spark, path).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"),
+        F.octet_length(wave).cast("long").alias("media_bytes"),
+        F.sha2(wave, 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the row of labels with their id: good if its quality is 1 and it isn't toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0).alias("good"))
     return url_filter.judge(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op8_url_templates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op6_media, op8_url_templates)}
 
-ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL}
