@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, media, mixing, tokenfile, topk, url_filter, warc
+from wayfare.llm import bpe, media, mixing, quality, tokenfile, topk, url_filter, warc
 from wayfare.llm.common import new_path, table
 
 #: The vocabulary file; a parameter of the operators.
@@ -62,6 +62,10 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op6_media, op8_url_templates, op9_token_file)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op6_media, op8_url_templates, op9_token_file, op10_quality)}
 
 ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL}
