@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, media, mixing, quality, tokenfile, topk, url_filter, warc
+from wayfare.llm import bpe, media, mixing, pii, quality, tokenfile, topk, url_filter, warc
 from wayfare.llm.common import new_path, table
 
 #: The vocabulary file; a parameter of the operators.
@@ -34,6 +34,17 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the base spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "media")
     media.write(table(spark, sf_dir, "documents"), path)
@@ -66,6 +77,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op6_media, op8_url_templates, op9_token_file, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op5_pii, op6_media, op8_url_templates, op9_token_file, op10_quality)}
 
 ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL}
