@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, media, mixing, pii, quality, tokenfile, topk, url_filter, warc
+from wayfare.llm import bpe, media, minhash, mixing, pii, quality, tokenfile, topk, url_filter, warc
 from wayfare.llm.common import new_path, table
 
 #: The vocabulary file; a parameter of the operators.
@@ -63,6 +63,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the row of labels with their id: good if its quality is 1 and it isn't toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0).alias("good"))
@@ -79,6 +83,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op5_pii, op6_media, op8_url_templates, op9_token_file, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op5_pii, op6_media, op7_minhash, op8_url_templates, op9_token_file, op10_quality)}
 
 ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL}
