@@ -11,10 +11,10 @@ members can be connected otherwise:
 
 1. every class is checked against the smallest class that it shares a bucket with;
 2. every class against the smallest of each of its buckets, if they aren't connected yet;
-3. in buckets whose members still aren't all connected, the pairs across components.
-   Where these are many, a bucket is banded again by other rows of the signatures,
-   with the same chance for a similar pair as before, and only what meets
-   there is compared.
+3. the classes of buckets whose members still aren't all connected across components,
+   where their rarest shingles allow the similarity: an exact search by the order of
+   their shingles, which a group of copies of one text with edits of their own, or a passage
+   that many texts share, doesn't make quadratic.
 """
 
 from __future__ import annotations
@@ -38,15 +38,12 @@ STEP = 40
 MISS = 1e-7
 #: Beyond so many rows ids of candidates are joined by a shuffle instead of a broadcast.
 BROADCAST_IDS = 500_000
-#: Members of a bucket whose pairs across components are compared as they are.
-PAIRS_FOR_EACH = 200
-LEVELS = 3
+#: Slots of the sketch of shingle counts, and the bits of a shingle's hash below its slot.
+COUNTERS, SLOT = 1 << 20, np.uint64(44)
 
 _rng = np.random.default_rng(20240117)
 FACTORS = (_rng.integers(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 OFFSETS = _rng.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
-#: For each further level, which hashes stand together in a band.
-REGROUPED = [_rng.permutation(HASHES) for _ in range(LEVELS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -182,10 +179,10 @@ class Search:
         self.classes = self.keep(reps.select("digest", "rep", "x.n", "x.keys", "x.sig"), "near-classes")
 
     def buckets(self) -> None:
-        """(key, node, n, pivot): the classes of each bucket with more than one, and the smallest of it."""
-        entries = self.classes.where("rep is not null").select(F.explode("keys").alias("key"), F.col("rep").alias("node"), F.col("n").cast("int").alias("n"))
+        """(key, node, pivot): the classes of each bucket with more than one, and the smallest of it."""
+        entries = self.classes.where("rep is not null").select(F.explode("keys").alias("key"), F.col("rep").alias("node"))
         shared = self.keep(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot"), "near-shared")
-        self.members = self.keep(entries.join(shared, "key"), "near-members")
+        self.members = self.keep(entries.join(shared, "key").select("key", "node", "pivot"), "near-members")
 
     def label(self, df: DataFrame, node: str, name: str) -> DataFrame:
         if self.labels is None:
@@ -211,8 +208,7 @@ class Search:
 
         left = self.keep(both.mapInArrow(compare, "a long, b long").distinct(), "near-survivors")
         ids = self.keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "near-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.keep(self.docs.join(wanted, self.docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text"), "near-texts")
+        texts = self.texts_of(ids)
         rows = left.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,35 +236,65 @@ class Search:
     def label_of(self, found: DataFrame) -> DataFrame:
         return self.labels.join(found.toDF("label", "__new"), "label", "left").select("node", F.coalesce("__new", "label").alias("label"))
 
-    def near_sizes(self, a: str, b: str) -> F.Column:
-        """The sizes allow the similarity."""
-        return (100 * F.least(a, b)) >= self.percent * F.greatest(a, b)
-
-    def apart(self, members: DataFrame, level: int) -> DataFrame:
-        """Pairs of classes in one bucket (key, node, n, label) but not in one component."""
-        per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        per = per.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        open_ = self.keep(per.select("key", (F.col("c") * F.col("c") - F.col("same") > 2 * PAIRS_FOR_EACH * F.col("c")).alias("many")), "near-open")
-        rows = self.keep(members.join(open_, "key"), "near-rows")
-        few = rows.where("not many") if level < LEVELS else rows
-        x, y = few.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("lb"))
-        pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.near_sizes("n_a", "n_b")).select("a", "b")
-        if level < LEVELS and rows.where("many").limit(1).count():
-            order = REGROUPED[level]
-
-            def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)[:, order].reshape(-1, BANDS, ROWS)
-                    key = mixed(batch.column("key").to_numpy().view(np.uint64)[:, None] + np.arange(1, BANDS + 1, dtype=np.uint64))
-                    for r in range(ROWS):
-                        key = mixed(key * np.uint64(0xA0761D6478BD642F) + sig[:, :, r].astype(np.uint64))
-                    again = [pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("node", "n", "label")]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), *again], names=["key", "node", "n", "label"])
-
-            more = rows.where("many").drop("many").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node").select("key", "node", "n", "label", "sig")
-            more = self.keep(more.mapInArrow(regroup, "key long, node long, n int, label long"), "near-regrouped")
-            pairs = pairs.union(self.apart(more, level + 1))
-        return pairs
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of the classes in ids (node)."""
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return self.keep(self.docs.join(wanted, self.docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text"), "near-texts")
+
+    def apart(self) -> DataFrame:
+        """Pairs of classes that lie in buckets with several components, in different ones, and may be similar.
+
+        Exact: if the sets' shingles stand in one order, rare ones first, two sets of
+        sizes m <= n can only share the p shingles that they must if one of the first m - p + 1 of the smaller
+        is among the first n - p + 1 of the larger, with enough left behind both places.
+        Rarity is by a sketch of ``COUNTERS`` sums, which is what comes to the driver; any order is right.
+        """
+        percent = self.percent
+        rows = self.label(self.members.select("key", "node"), "node", "label")
+        mixed_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        nodes = self.keep(rows.join(self.keep(mixed_keys, "near-mixed"), "key").select("node", "label").distinct(), "near-nodes")
+        texts = self.texts_of(nodes.select("node"))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(COUNTERS, np.int64)
+            for batch in batches:
+                for own in shingles(batch.column(0).to_pylist()):
+                    total += np.bincount((own >> SLOT).astype(np.int64), minlength=COUNTERS)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+        sums = texts.select("text").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        rarity = np.zeros(COUNTERS, np.int32)
+        rarity[sums.column("slot").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 2**31 - 1)
+        held = self.spark.sparkContext.broadcast(rarity)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = shingles(batch.column(2).to_pylist())
+                first, place, size = [], [], []
+                for own in sets:
+                    n = len(own)
+                    order = np.lexsort((own, held.value[(own >> SLOT).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                    first.append(own[order].view(np.int64))
+                    place.append(np.arange(1, len(order) + 1, dtype=np.int32))
+                    size.append(n)
+                many = np.array(list(map(len, first)), np.int64)
+                again = [np.repeat(x, many) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(size, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *first])), pa.array(np.concatenate([np.zeros(0, np.int32), *place])), *map(pa.array, again)], names=["shingle", "place", "node", "label", "n"])
+
+        signed = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "label", "text")
+        heads = self.keep(signed.mapInArrow(prefixes, "shingle long, place int, node long, label long, n int"), "near-heads")
+        # of each shingle the component that most have it in: of two in different components one isn't in that
+        per = heads.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        shared = self.keep(per.where("labels > 1").select("shingle", "main"), "near-heads-shared")
+        open_ = self.keep(heads.join(shared, "shingle"), "near-heads-open")
+        x = open_.where("label <> main").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("place", "node", "label", "n")))
+        y = open_.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("place", "node", "label", "n")))
+        share = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
+        left = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        near = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (left >= share)
+        pairs = x.join(y, "shingle").where((F.col("x_label") != F.col("y_label")) & near)
+        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         self.labels: DataFrame | None = None
@@ -279,8 +305,7 @@ class Search:
         stars = pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         stars = self.label(self.label(stars, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
         self.connect(self.verified(stars))
-        pairs = self.apart(self.label(self.members.select("key", "node", "n"), "node", "label"), 0)
-        self.connect(self.verified(pairs.distinct()))
+        self.connect(self.verified(self.apart()))
 
         of_class = self.keep(self.label(self.classes.select("digest", F.col("rep").alias("node")), "node", "label"), "near-of-class")
         got = self.signed.where("n > 0").select("doc_id", "n", "digest").join(of_class.select("digest", "label"), "digest").select("doc_id", "n", F.col("label").alias("component_id"))
