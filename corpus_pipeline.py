@@ -41,14 +41,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays; of rows that share an id, or a text without an id, one."""
-    found, _ = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(_small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    own, names = _numbered(docs)
+    i, text = names["doc_id"], names["text"]
+    found, _ = stored(minhash.near_duplicates(own, id_col=i, text_col=text).select("doc_id", "kept"), "kept")
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = own.join(_small(gone), F.col(i) == F.col("gone"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        left = left.where(F.col(i).isNull()).unionByName(left.where(F.col(i).isNotNull()).dropDuplicates([i]))
     if found.where("doc_id is null").limit(1).count():
-        left = left.where("doc_id is not null").unionByName(left.where("doc_id is null").dropDuplicates(["text"]))
-    return left
+        left = left.where(F.col(i).isNotNull()).unionByName(left.where(F.col(i).isNull()).dropDuplicates([text]))
+    return left.toDF(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +62,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("times"))
-    taken, _ = stored(taken.select(F.col("doc_id").alias("__id"), F.coalesce(F.round("times"), F.lit(0)).cast("int").alias("__times")).where("__times > 0"), "times")
-    own = docs.join(_small(taken), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return own.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    """Each document as often as the mix takes it, to the nearest whole number; of texts without words there is nothing to take."""
+    own, names = _numbered(docs)
+    i = names["doc_id"]
+    taken = mixing.mix(own, id_col=i, text_col=names["text"], source_col=names["source"]).groupBy(F.col(i).alias("id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times"))
+    taken, _ = stored(taken.select("id", F.coalesce(F.round("times"), F.lit(0)).cast("int").alias("times")).where("times > 0"), "times")
+    rows = own.join(_small(taken), F.col(i).eqNullSafe(F.col("id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*names.values()).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
