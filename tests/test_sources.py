@@ -63,3 +63,20 @@ def test_stream(spark, tmp_path):
     assert q.awaitTermination(120)
     got = departures.latest(spark, str(tmp_path / "out")).orderBy("user_id").collect()
     assert [(r.user_id, r.start_min, r.headway_min) for r in got] == [(0, 480.0, 20.0), (1, 490.0, 20.0)]
+
+
+def test_modes(spark):
+    routes = spark.createDataFrame([("1", "METRO", "1", "", "1", "d"), ("2", "TROLE", "10", "", "3", ""), ("3", "TROLE", "4", "Long", "0", ""), ("4", "X", "", "", "900", "")], "route_id string, agency_id string, route_short_name string, route_long_name string, route_type string, route_desc string")
+    assert [r["mode"] for r in gtfs.agency_mode(routes).orderBy("route_id").collect()] == ["subway", "brt", None, None]
+    trips = spark.createDataFrame([("t1", "1"), ("t3", "3"), ("t4", "4")], "trip_id string, route_id string")
+    times = spark.createDataFrame([("t1", "A"), ("t3", "A"), ("t4", "B")], "trip_id string, stop_id string")
+    assert {r.stop_id: r["mode"] for r in gtfs.stop_modes(routes, trips, times).collect()} == {"A": "commuter_rail", "B": "light_rail"}
+    meta = {r.route_id: (r["mode"], r.name) for r in gtfs.route_metadata(routes, "f", "Feed").collect()}
+    assert meta["f/3"] == ("light_rail", "4") and meta["f/4"] == ("commuter_rail", "4")
+
+
+def test_metro_box(spark):
+    s = spark.createDataFrame([("a", -74.0, 40.7), ("b", -73.9, 41.9), ("c", -70.0, 40.7)], "id string, lon double, lat double")
+    e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
+    own, edges = gtfs.in_metro(s, e)
+    assert own.count() == 2 and [tuple(r) for r in edges.collect()] == [("a", "b")]

@@ -84,3 +84,40 @@ def frequency_windows(frequencies: DataFrame) -> DataFrame:
     """(trip_id, start_min, end_min, headway_min): those with a positive headway."""
     rows = frequencies.select("trip_id", text.gtfs_minutes(F.col("start_time")).alias("start_min"), text.gtfs_minutes(F.col("end_time")).alias("end_min"), (F.col("headway_secs").try_cast("double") / 60).alias("headway_min"))
     return rows.where("headway_min > 0 and start_min is not null and end_min is not null")
+
+
+# fixed values: modes of the agencies of the capital's feed; of the trolleybus only its BRT lines count
+AGENCY_MODES = {"METRO": "subway", "MB": "brt", "TL": "light_rail", "SUB": "commuter_rail", "CBB": "cable_car", "INTERURBANO": "regional_rail"}
+TROLLEY_AGENCY, TROLLEY_LINES = "TROLE", "^(10|11|12|13)$"
+METRO_BOX = (-74.8, 40.0, -71.8, 41.9)
+
+
+def agency_mode(routes: DataFrame) -> DataFrame:
+    """routes with mode by agency; null where none is known."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in AGENCY_MODES.items() for x in pair]), F.col("agency_id"))
+    brt = F.when(F.col("route_short_name").rlike(TROLLEY_LINES), F.lit("brt"))
+    return routes.withColumn("mode", F.when(F.col("agency_id") == TROLLEY_AGENCY, brt).otherwise(known))
+
+
+def stop_modes(routes: DataFrame, trips: DataFrame, stop_times: DataFrame, feed_mode: str | None = None) -> DataFrame:
+    """(stop_id, mode): the feed's mode if it has one; else commuter rail where any of the stop's routes is, before light rail (types 0 and 900)."""
+    if feed_mode:
+        return stop_times.select("stop_id").distinct().withColumn("mode", F.lit(feed_mode))
+    kinds = routes.select("route_id", F.when(F.col("route_type").isin("0", "900"), "light_rail").otherwise("commuter_rail").alias("mode"))
+    met = stop_times.select("trip_id", "stop_id").join(trips.select("trip_id", "route_id"), "trip_id").join(kinds, "route_id")
+    return met.groupBy("stop_id").agg(F.min("mode").alias("mode"))  # commuter_rail stands before light_rail
+
+
+def route_metadata(routes: DataFrame, feed: str, agency: str, feed_mode: str | None = None) -> DataFrame:
+    """(route_id, agency, mode, name, description) under the feed's prefix; here type 0 alone is light rail."""
+    mode = F.lit(feed_mode) if feed_mode else F.when(F.col("route_type") == "0", "light_rail").otherwise("commuter_rail")
+    name = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("route_short_name", "route_long_name", "route_id")))
+    return routes.select(F.concat_ws("/", F.lit(feed), "route_id").alias("route_id"), F.lit(agency).alias("agency"), mode.alias("mode"), name.alias("name"), F.col("route_desc").alias("description"))
+
+
+def in_metro(stations: DataFrame, edges: DataFrame, box: tuple[float, float, float, float] = METRO_BOX) -> tuple[DataFrame, DataFrame]:
+    """Stations in the box, its edges included, and the edges (src, dst) between them."""
+    west, south, east, north = box
+    own = stations.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+    ids = own.select("id")
+    return own, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
