@@ -13,6 +13,7 @@ in a bounded table, as the vocabulary's own split never crosses white space.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import small_batches
 
 SHORT = 48
-#: Runs kept by a worker; beyond that the table starts anew.
-KEPT = 800_000
+#: Runs, and words, kept by a worker; beyond that the table starts anew.
+KEPT = 600_000
 NONE = np.int32(2**31 - 1)
 #: White space of str.split() that the vocabulary's split doesn't take for such.
 ODD = re.compile("[\x1c-\x1f]")
@@ -56,7 +57,7 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        symbols = byte_symbols()
+        self.word_end, symbols = end, byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], "<i4")
         self.last = np.array([vocab[s + end] for s in symbols], "<i4")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -67,6 +68,7 @@ class WordBpe:
         self.keys, self.key_rank = keys[order], order.astype(np.int32)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.known: dict[str, bytes] = {}
+        self.word_ids: dict[bytes, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
@@ -170,45 +172,65 @@ class WordBpe:
         # letter by letter, a final sigma isn't told from others
         return unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
 
-    def split(self, run: str) -> list[bytes]:
-        low = run.lower() if run.isascii() else self.normal(run)
-        if low.isalpha():
-            return [low.encode()]
-        return [w.encode() for w in self.words.findall(low)]
-
     def learn(self, runs: set[str]) -> None:
         """Adds what these runs encode to."""
-        split = {run: self.split(run) for run in runs}
-        ids = self.encode_words({w for ws in split.values() for w in ws})
-        known = self.known
+        split: dict[str, list[bytes]] = {}
+        for run in runs:
+            low = run.lower() if run.isascii() else self.normal(run)
+            if low.isalpha():
+                split[run] = [low.encode()]
+            elif low[-1:] in ".,;:!?" and low[:-1].isalpha():
+                split[run] = [low[:-1].encode(), low[-1:].encode()]
+            else:
+                split[run] = [w.encode() for w in self.words.findall(low)]
+        ids, known = self.word_ids, self.known
+        new = {w for ws in split.values() for w in ws}.difference(ids)
+        if len(ids) + len(new) > KEPT:
+            ids.clear()
+            new = {w for ws in split.values() for w in ws}
+        ids.update(self.encode_words(new))
         for run, ws in split.items():
             known[run] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, for each text; null is as empty."""
-        plans: list[list[tuple[str, list]]] = []
+        gc.disable()  # nothing here is cyclic, and the tables are large to walk
+        try:
+            return self.encoded(texts)
+        finally:
+            gc.enable()
+
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
+        plans: list[list[tuple[str, list, list]]] = []
         new: set[str] = set()
+        get = self.known.get
         for text in texts:
-            plan: list[tuple[str, list]] = []
+            plan: list[tuple[str, list, list]] = []
             for piece in self.special.split(text) if self.special and text and "<|" in text else [text or ""]:
                 if piece in self.added:
-                    plan.append(("special", [piece]))
+                    plan.append(("special", [piece], []))
                 elif ODD.search(piece):
-                    plan.append(("words", [w.encode() for w in self.words.findall(self.normal(piece))]))
+                    plan.append(("words", [w.encode() for w in self.words.findall(self.normal(piece))], []))
                 else:
-                    plan.append(("runs", runs := piece.split()))
-                    new.update(runs)
+                    runs = piece.split()
+                    found = list(map(get, runs))
+                    if None in found:
+                        new.update([r for r, f in zip(runs, found, strict=True) if f is None])
+                    plan.append(("runs", runs, found))
             plans.append(plan)
-        if new.difference(self.known):
+        if new:
             if len(self.known) + len(new) > KEPT:
                 self.known.clear()
-            self.learn(new.difference(self.known))
-        read = {
-            "special": lambda x: np.array([self.added[x[0]]], "<u4").tobytes(),
-            "words": lambda x: b"".join(map(self.encode_words(set(x)).__getitem__, x)),
-            "runs": lambda x: b"".join(map(self.known.__getitem__, x)),
-        }
-        return [b"".join(read[kind](x) for kind, x in plan) for plan in plans]
+            self.learn(new)
+
+        def read(kind: str, x: list, found: list) -> bytes:
+            if kind == "special":
+                return np.array([self.added[x[0]]], "<u4").tobytes()
+            if kind == "words":
+                return b"".join(map(self.encode_words(set(x)).__getitem__, x))
+            return b"".join([get(r) if f is None else f for r, f in zip(x, found, strict=True)] if None in found else found)
+
+        return [b"".join([read(*step) for step in plan]) for plan in plans]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode without a decoder, special tokens kept: tokens joined by spaces."""

@@ -11,7 +11,7 @@ lengths stand in path/code.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,44 +19,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm.bpe import WordBpe
 from wayfare.llm.common import drop, new_path, small_batches
 
 RUN = 128
 BLOCK = 1 << 18
-#: Longest code in bits; with 7 bits before it, it fits a window of 32.
-LONGEST = 20
-KEPT = 800_000
+#: Longest code in bits: two more than the ids of a vocabulary of 65536 need at least, and a table that a core's cache holds. With 7 bits before it, it fits a window of 32.
+LONGEST = 18
 
 
-class Encoder:
-    """The tokenizers library, with a bounded table of what runs between white space encode to."""
+class Encoder(WordBpe):
+    """The tokenizers library over the distinct words of a batch, side by side in one text.
+
+    White space never joins tokens of this vocabulary, and the last token of each
+    word says so, which is where the words' ids are told apart again.
+    """
 
     def __init__(self, path: str):
+        super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_batch(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """White space never joins tokens of this vocabulary, so runs between it are encoded
-        once; texts with its special tokens, or with characters that only str.split() takes for white space, whole."""
-        plans = [None if (t and any(map(t.__contains__, (*self.special, "\x1c", "\x1d", "\x1e", "\x1f")))) else (t or "").split() for t in texts]
-        new = {run for p in plans if p for run in p}.difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = {run for p in plans if p for run in p}
-        ordered = list(new)
-        self.known.update(zip(ordered, self.of(ordered), strict=True))
-        get = self.known.__getitem__
-        return [(self.of([t])[0] if p is None else b"".join(map(get, p))) + end for t, p in zip(texts, plans, strict=True)]
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for i, t in self.tokens.items() if t.endswith(self.word_end)]] = True
+
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        words = list(words)
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            if len(cuts) != len(some) + 1 or cuts[-1] != len(raw):
+                out.update((w, np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
+            else:
+                out.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -67,6 +69,7 @@ def encoder(path: str) -> Encoder:
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Bits of each symbol's code, 0 where the count is 0: package-merge, optimal under the limit."""
     used = np.flatnonzero(counts)
+    longest = max(longest, len(used).bit_length())
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
@@ -172,7 +175,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for b in batches:
-            ids = own.encode_batch(b.column(1).to_pylist(), end)
+            ids = [x + end for x in own.encode_batch(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([planes(x, wide) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
     work = new_path(spark, "token-ids")
