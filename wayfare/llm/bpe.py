@@ -232,6 +232,10 @@ class WordBpe:
 
         return [b"".join([read(*step) for step in plan]) for plan in plans]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.word_ids.clear()
+
     def decode(self, ids: bytes) -> str:
         """As the library's decode without a decoder, special tokens kept: tokens joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -262,6 +266,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if decoded:
                 out.append(pa.array(map(bpe.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids", "decoded"][: len(out)])
+        bpe.forget()  # the worker goes on to other tasks
 
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decoded)
     return made.withColumnRenamed("id", id_col)

@@ -38,6 +38,8 @@ STEP = 40
 MISS = 1e-7
 #: Beyond so many rows ids of candidates are joined by a shuffle instead of a broadcast.
 BROADCAST_IDS = 500_000
+#: Characters whose shingles are hashed side by side.
+AT_ONCE = 1 << 18
 #: Slots of the sketch of shingle counts, and the bits of a shingle's hash below its slot.
 COUNTERS, SLOT = 1 << 20, np.uint64(44)
 
@@ -54,6 +56,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """sets_of(), some texts at a time."""
+    out, some, held = [], [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held >= AT_ONCE:
+            out += sets_of(some)
+            some, held = [], 0
+    return out + sets_of(some) if some else out
+
+
+def sets_of(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's set of shingles as sorted 64-bit hashes: words between ASCII white
     space, A-Z lower-cased, five at a time; all words as one where there are fewer."""
     raw = [(t or "").encode().lower() for t in texts]
@@ -65,8 +79,10 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
     empty = np.zeros(0, np.uint64)
     if not len(at):
         return [empty] * len(texts)
-    word = np.cumsum(begins) - 1
-    inside = np.where(blank, 0, np.arange(len(code)) - at[np.maximum(word, 0)])
+    small = np.int32 if len(code) < 2**31 else np.int64
+    word = np.cumsum(begins, dtype=small) - 1
+    inside = np.where(blank, small(0), np.arange(len(code), dtype=small) - at.astype(small)[np.maximum(word, 0)])
+    del word
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(inside.max()), 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
     value = np.where(blank, np.uint64(0), (code.astype(np.uint64) + np.uint64(1)) * powers[inside])
     words = mixed(np.add.reduceat(value, at))

@@ -20,6 +20,8 @@ from wayfare.llm.common import small_batches
 
 #: Code points of a passage; the last one of a text may be up to half as long again.
 PASSAGE = 400
+#: Characters whose features are counted side by side.
+AT_ONCE = 1 << 18
 KINDS = ("other", "space", "line", "lower", "upper", "digit", "stop", "comma", "bang", "bar", "sign", "bracket", "quote", "wide", "vowel")
 HIDDEN, GATE = 24, 12
 
@@ -44,6 +46,20 @@ FEATURES = len(KINDS) + 8
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """features_of(), some texts at a time."""
+    parts, some, held = [], [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held >= AT_ONCE:
+            parts.append(features_of(some))
+            some, held = [], 0
+    if some or not parts:
+        parts.append(features_of(some))
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of each passage, and the number of passages of each text, one at least."""
     sizes = np.array([len(t or "") for t in texts], np.int64)
     count = np.maximum(1, np.round(sizes / PASSAGE).astype(np.int64))
