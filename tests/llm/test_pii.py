@@ -49,6 +49,19 @@ def test_disguised_forms():
     assert pii.redacted("to a@b.co, 1.2.3.4", pii.all_spans("to a@b.co, 1.2.3.4", pii.trained())[1]) == "to [EMAIL], [IP]"
 
 
+@pytest.mark.parametrize("form", ["anna@example.org", "anna [at] example [dot] org", "anna at example dot org", "anna(at)example.org", "anna (at) example (dot) org", "anna(AT)example.org", "anna [At] mail.example.org"])
+def test_each_form_without_digits(form):
+    text = f"write to {form} please"
+    spans = pii.all_spans(text, pii.trained())[1]
+    assert spans == [("email", 9, 9 + len(form))]
+    assert pii.redacted(text, spans) == "write to [EMAIL] please"
+
+
+@pytest.mark.parametrize("text", ["look at home. The end", "at noon.", "they met at the house, at last", "-at" * 3000])
+def test_other_words_at_stay(text):
+    assert pii.all_spans(text, pii.trained())[1] == []
+
+
 def test_rows(spark):
     rows = [(1, "a@b.co 10.0.0.1"), (1, "a@b.co 10.0.0.1"), (None, None), (2, ""), (3, "9" * 30000), (4, "x@" * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "'k' as spans")

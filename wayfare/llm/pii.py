@@ -1,7 +1,7 @@
 """Personal data by base patterns and a semi-Markov conditional random field.
 
-The base patterns find the plain forms. Around digits, at signs and spelt-out
-addresses the field scores whole candidate segments, by features of the span as
+The base patterns find the plain forms. Around digits, at signs and the words of
+spelt-out addresses (at, dot) the field scores whole candidate segments, by features of the span as
 a whole, and bounded-entity dynamic programming chooses boundaries and types
 together: no segment has more than ``LONGEST`` atoms, so the work is linear in
 the text. Its weights are trained by the gradient of the conditional likelihood
@@ -77,17 +77,20 @@ def base_spans(text: str) -> list[Span]:
 ATOM = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 SIGN = re.compile("[0-9@]")
 DOT = re.compile(r"\bdot\b", re.I)
+# the word at after what can part it from a name, before a host with a dot in any form; a segment is no longer than 80
+AT = re.compile(r"[ \[(+-]at\b(?=[\])]? ?[a-z0-9-]{1,80}(?:\.| ?[\[(]?\bdot\b[\])]? ?)[a-z0-9-])", re.I)
 LONGEST = 15
 CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell"}, "card": {"card", "visa", "mastercard", "amex"}, "email": {"email", "mail", "contact"}, "ip": {"ip", "host", "server"}}
 GROUPS = 4096
 
 
 def signs(text: str) -> list[int]:
-    """Where digits, at signs and the word dot stand: without these a text has no segment for the field."""
+    """Where digits, at signs, the word dot and the word at of an address stand: without these a text has no segment that the field can be sure of."""
     found = [m.start() for m in SIGN.finditer(text)]
+    words = [m.start() + 1 for m in AT.finditer(text)]
     if "dot" in text or "DOT" in text or "Dot" in text:
-        found = sorted({*found, *(m.start() for m in DOT.finditer(text))})
-    return found
+        words += [m.start() for m in DOT.finditer(text)]
+    return sorted({*found, *words}) if words else found
 
 
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
