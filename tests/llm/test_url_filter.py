@@ -29,3 +29,11 @@ def test_templates(spark):
     assert got[500].template == "/*/*" and len(got) == 402
     # no labels: nothing tells branches apart, and all is allowed
     assert {r.verdict for r in judged(spark, pages).values()} == {"allow"}
+
+
+def test_small_share_of_a_hot_host(spark):
+    """A directory that is bad throughout is blocked, however large the rest of its host is."""
+    dirs = [(f"http://hot.com/d{k % 60}/{k}", 1) for k in range(6000)] + [(f"http://hot.com/bad/{k}", 0) for k in range(60)]
+    got = judged(spark, [(k, u, "x", "y") for k, (u, _) in enumerate(dirs)], [(k, good) for k, (_, good) in enumerate(dirs)])
+    assert {(got[k].template, got[k].verdict) for k in range(6000, 6060)} == {("/bad/*", "block")}
+    assert {got[k].verdict for k in range(6000)} == {"allow"}

@@ -1,8 +1,8 @@
 """URL filters from path-template trees. DataFrame functions only.
 
 For each host the url paths form a tree of segments. From the top down, a segment
-whose own support is small beside its siblings' is variable and becomes the
-wildcard ``*``; branches that then differ in their labels no more than chance
+with little support of its own, whatever its siblings have, is variable and becomes
+the wildcard ``*``; branches that then differ in their labels no more than chance
 allows are merged into one. A template (the branch's path) is rejected when its
 smoothed share of good labels is under a threshold. Fixed rules go first.
 """
@@ -43,14 +43,13 @@ def path_parts(path: Column, depth: int) -> list[Column]:
     return [F.when(F.size(parts) >= k, F.get(parts, F.lit(k - 1))) for k in range(1, depth)] + [F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, depth, 2**30), "/"))]
 
 
-def templates(pages: DataFrame, depth: int = 3, least_share: float = 0.02, least: int = 5, z: float = 1.96, weight: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def templates(pages: DataFrame, depth: int = 3, least: int = 5, z: float = 1.96, weight: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """The tree's branches, and the pages with their branch.
 
     pages: host, path, good (1, 0 or null without a label) and any others.
     Returns pages with the branch t1..t<depth> of each, and the branches
     (host, t1..t<depth>, n, labelled, good, purity). A segment stays when it has at least
-    ``least`` urls and ``least_share`` of those of its parent, else it is a
-    wildcard. Siblings whose share of good labels is within ``z`` standard errors
+    ``least`` urls, else it is a wildcard; its share of the parent doesn't count. Siblings whose share of good labels is within ``z`` standard errors
     of their parent's are merged into the wildcard too; without labels nothing tells
     a branch from its parent. purity = (good + weight * parent's) / (labelled + weight),
     from the root's share of all labels down.
@@ -69,7 +68,7 @@ def templates(pages: DataFrame, depth: int = 3, least_share: float = 0.02, least
         s, t = f"s{k}", f"t{k}"
         seg = named.groupBy(*keys, s).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         seg = seg.join(nodes, keys)
-        often = (F.col("n") >= least) & (F.col("n") >= least_share * F.col("pn"))
+        often = F.col("n") >= least
         p = F.col("pp")
         unlike = (F.col("labelled") > 0) & (F.abs(F.col("good") - F.col("labelled") * p) > z * F.sqrt(F.col("labelled") * p * (1 - p)))
         seg = seg.withColumn(t, F.when(F.col(s).isNull(), F.lit("")).when(often & unlike, F.col(s)).otherwise(F.lit("*")))
