@@ -37,3 +37,17 @@ def test_small_share_of_a_hot_host(spark):
     got = judged(spark, [(k, u, "x", "y") for k, (u, _) in enumerate(dirs)], [(k, good) for k, (_, good) in enumerate(dirs)])
     assert {(got[k].template, got[k].verdict) for k in range(6000, 6060)} == {("/bad/*", "block")}
     assert {got[k].verdict for k in range(6000)} == {"allow"}
+
+
+def test_branches_below_the_third_segment(spark):
+    """However deep the segment is that tells good from bad."""
+    heads = {"deep.com": "/a/b", "deeper.com": "/a/b/c/d/e/f"}
+    pages = [(2000 * h + k, f"http://{host}{head}/{'spam' if k % 2 else 'news'}/{k}/x", "x", "y") for h, (host, head) in enumerate(heads.items()) for k in range(300)]
+    pages += [(9000, "http://deep.com" + "/s" * 500, "x", "y")]
+    got = judged(spark, pages, [(k, 1 - k % 2) for k, *_ in pages[:-1]])
+    for h, head in enumerate(heads.values()):
+        own = [got[2000 * h + k] for k in range(300)]
+        assert {r.verdict for r in own[1::2]} == {"block"} and {r.verdict for r in own[::2]} == {"allow"}
+        assert {r.template.split("/")[head.count("/") + 1] for r in own} == {"spam", "news"}
+        assert all(r.template.count("/") == r.path.count("/") for r in own)
+    assert got[9000].template.count("/") == 500 and len(got) == len(pages)

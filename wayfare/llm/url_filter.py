@@ -9,6 +9,8 @@ smoothed share of good labels is under a threshold. Fixed rules go first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,54 +39,71 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def path_parts(path: Column, depth: int) -> list[Column]:
-    """The path's first segments, null where it has none; the last holds all that is deeper."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return [F.when(F.size(parts) >= k, F.get(parts, F.lit(k - 1))) for k in range(1, depth)] + [F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, depth, 2**30), "/"))]
+def path_parts(path: Column) -> Column:
+    """The path's segments, without empty ones."""
+    return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def templates(pages: DataFrame, depth: int = 3, least: int = 5, z: float = 1.96, weight: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def templates(pages: DataFrame, least: int = 5, z: float = 1.96, weight: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """The tree's branches, and the pages with their branch.
 
     pages: host, path, good (1, 0 or null without a label) and any others.
-    Returns pages with the branch t1..t<depth> of each, and the branches
-    (host, t1..t<depth>, n, labelled, good, purity). A segment stays when it has at least
-    ``least`` urls, else it is a wildcard; its share of the parent doesn't count. Siblings whose share of good labels is within ``z`` standard errors
-    of their parent's are merged into the wildcard too; without labels nothing tells
-    a branch from its parent. purity = (good + weight * parent's) / (labelled + weight),
-    from the root's share of all labels down.
+    Returns the branches (host, template, n, labelled, good, purity), and pages with
+    template and purity. A segment stays when it has at least ``least`` urls, else it
+    is a wildcard; its share of the parent doesn't count. Siblings whose share of good
+    labels is within ``z`` standard errors of their parent's are merged into the
+    wildcard too; without labels nothing tells a branch from its parent. The tree grows
+    level by level until no branch has ``least`` urls that go on, and labels among
+    them: below, all segments are wildcards. purity = (good + weight * parent's) /
+    (labelled + weight), from the root's share of all labels down.
     """
-    keys: list[str] = ["host"]
-    cols = pages.columns
-    out = pages.withColumns({f"s{k}": c for k, c in enumerate(path_parts(F.col("path"), depth), 1)})
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
     # one row for each distinct path of a host is enough for the tree: hot hosts and pages sum up before they are dealt
-    tree = out.groupBy("host", *(f"s{k}" for k in range(1, depth + 1))).agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    total = tree.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("root"))
-    tree = tree.crossJoin(F.broadcast(total))
-    nodes = tree.groupBy("host").agg(F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("good").alias("pg"), F.first("root").alias("root"))
-    nodes = nodes.withColumn("pp", (F.col("pg") + weight * F.coalesce("root", F.lit(0.5))) / (F.col("pl") + weight)).drop("root")
-    named = tree.drop("root")
-    for k in range(1, depth + 1):
-        s, t = f"s{k}", f"t{k}"
-        seg = named.groupBy(*keys, s).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        seg = seg.join(nodes, keys)
-        often = F.col("n") >= least
+    live = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    live = live.withColumn("rest", F.size(path_parts(F.col("path")))).withColumn("template", F.lit(""))
+    live, _ = stored(live, "url-paths")
+    root = live.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("up"))
+
+    def smoothed(g: str, n: str, up: str) -> Column:
+        return (F.col(g) + weight * F.coalesce(up, F.lit(0.5))) / (F.col(n) + weight)
+
+    def deeper(left: Column) -> list[Column]:
+        """Whether a branch has urls enough, and labels, that go on: how many of each."""
+        return [F.sum(F.when(left > 0, F.col(c)).otherwise(0)).alias(f"deep_{c}") for c in ("n", "labelled")]
+
+    grows = (F.col("deep_n") >= least) & (F.col("deep_labelled") > 0)
+    nodes = live.groupBy("host", "template").agg(*sums, *deeper(F.col("rest"))).crossJoin(F.broadcast(root))
+    nodes, _ = stored(nodes.select("host", "template", smoothed("good", "labelled", "up").alias("pp"), grows.alias("grows")), "url-nodes")
+    level, done = 0, []
+    while True:
+        # urls that end here, and all of a branch that doesn't grow, are told apart by how many segments follow
+        live, _ = stored(live.join(nodes, ["host", "template"]), "url-rows")
+        done.append(live.where("rest = 0 or not grows").select("host", "path", "n", "labelled", "good", "template", "rest", "pp"))
+        live = live.where("rest > 0 and grows")
+        if not nodes.where("grows").limit(1).count():
+            break
+        live = live.drop("grows").withColumn("s", F.get(path_parts(F.col("path")), F.lit(level)))
+        seg = live.groupBy("host", "template", "s").agg(*sums, *deeper(F.col("rest") - 1), F.first("pp").alias("pp"))
         p = F.col("pp")
         unlike = (F.col("labelled") > 0) & (F.abs(F.col("good") - F.col("labelled") * p) > z * F.sqrt(F.col("labelled") * p * (1 - p)))
-        seg = seg.withColumn(t, F.when(F.col(s).isNull(), F.lit("")).when(often & unlike, F.col(s)).otherwise(F.lit("*")))
-        seg, _ = stored(seg.select(*keys, F.coalesce(s, F.lit("")).alias(s), F.col(s).isNull().alias("none"), t, "n", "labelled", "good", "pp"), "url-level")
-        names = seg.select(*keys, s, "none", t)
-        named = named.withColumn("none", F.col(s).isNull()).withColumn(s, F.coalesce(s, F.lit(""))).join(names, [*keys, s, "none"]).drop("none", s)
-        nodes = seg.groupBy(*keys, t).agg(F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("good").alias("pg"), F.first("pp").alias("up"))
-        nodes = nodes.withColumn("pp", (F.col("pg") + weight * F.col("up")) / (F.col("pl") + weight)).drop("up")
-        # the level's names go to the pages too; both sides are plain tables, so a hot host is split when they are joined
-        out = out.withColumn("none", F.col(s).isNull()).withColumn(s, F.coalesce(s, F.lit(""))).join(names, [*keys, s, "none"]).drop("none", s)
-        keys = [*keys, t]
-    branches = nodes.select(*keys, F.col("pn").alias("n"), F.col("pl").alias("labelled"), F.col("pg").alias("good"), F.col("pp").alias("purity"))
-    return branches, out.select(*cols, *keys[1:])
-
-
-def judge(pages: DataFrame, labels: DataFrame, least_purity: float = 0.5, depth: int = 3, rules=RULES, **tree: float) -> DataFrame:
+        seg = seg.withColumn("next", F.concat("template", F.lit("/"), F.when((F.col("n") >= least) & unlike, F.col("s")).otherwise(F.lit("*"))))
+        seg, _ = stored(seg, "url-level")
+        nodes = seg.groupBy("host", F.col("next").alias("template")).agg(*sums, F.sum("deep_n").alias("deep_n"), F.sum("deep_labelled").alias("deep_labelled"), F.first("pp").alias("up"))
+        nodes, _ = stored(nodes.select("host", "template", smoothed("good", "labelled", "up").alias("pp"), grows.alias("grows")), "url-nodes")
+        # both sides are plain tables, so a hot host is split when they are joined
+        live = live.join(seg.select("host", "template", "s", "next"), ["host", "template", "s"]).select("host", "path", "n", "labelled", "good", (F.col("rest") - 1).alias("rest"), F.col("next").alias("template"))
+        level += 1
+    rows = reduce(DataFrame.unionByName, done)
+    name = F.concat("template", F.repeat(F.lit("/*"), F.col("rest")))
+    rows = rows.select("host", "path", F.when(name == "", "/").otherwise(name).alias("template"), "n", "labelled", "good", "pp")
+    branches = rows.groupBy("host", "template").agg(*sums, F.first("pp").alias("pp"))
+    branches, _ = stored(branches.select("host", "template", "n", "labelled", "good", smoothed("good", "labelled", "pp").alias("purity")), "url-templates")
+    rows, _ = stored(rows.select("host", "path", "template"), "url-named")
+    found = rows.join(branches.select("host", "template", "purity"), ["host", "template"])
+    return branches, pages.join(found, ["host", "path"]).select(*pages.columns, "template", "purity")
+
+
+def judge(pages: DataFrame, labels: DataFrame, least_purity: float = 0.5, rules=RULES, **tree: float) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row of pages.
 
     pages: page_id, url. labels: page_id, good (1 or 0); several of a page count as
@@ -98,11 +117,7 @@ def judge(pages: DataFrame, labels: DataFrame, least_purity: float = 0.5, depth:
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     own = labels.groupBy("page_id").agg(F.min("good").alias("good"))
     base, _ = stored(parsed.join(own, "page_id", "left"), "url-pages")
-    branches, named = templates(base, depth, **tree)
-    branches, _ = stored(branches, "url-templates")
-    keys = ["host", *(f"t{k}" for k in range(1, depth + 1))]
-    found = named.join(branches.select(*keys, "purity"), keys)
-    template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*keys[1:]), lambda x: x != ""), "/"))
+    _, found = templates(base, **tree)
     return found.withColumn("rule", rule).withColumn("verdict", verdict).select(
-        "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("purity") < least_purity, "block").otherwise("allow")).alias("verdict"), template.alias("template"), "purity"
+        "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("purity") < least_purity, "block").otherwise("allow")).alias("verdict"), "template", "purity"
     )
