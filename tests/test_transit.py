@@ -208,3 +208,14 @@ def test_complexes(spark, nodes):
 def test_route_rows():
     legs = [{"type": "wait", "minutes": 2.0}, {"type": "ride", "minutes": 5.0}, {"type": "transfer", "minutes": 1.0}, {"type": "transfer", "minutes": 2.0}]
     assert graph.route_rows(legs, 80.0) == [("walk", 1.0), ("ride", 7.0), ("transfer", 3.0)]
+
+
+def test_all_names_are_matched(spark):
+    """Against every pair, also of ids far apart, and where a name is within another."""
+    names = ["Estación Chapultepec", "pulte", "Metro 1", "1", "ab", "xaby z", "La Raza Norte", "raza", "Villa del Sol Oriente", "sol villa", "metro_norte", "", None, "Pino Suárez", "SUAREZ pino", "12345", "345", "Chapultepec"]
+    own = spark.createDataFrame([(1000 * k + 1, n) for k, n in enumerate(names)], "id long, name string")
+    stops = spark.createDataFrame([(k, n) for k, n in enumerate(reversed(names))], "stop_id long, name string")
+    every = own.crossJoin(stops.withColumnRenamed("name", "other"))
+    want = {(r.id, r.stop_id) for r in every.where(text.names_match(F.col("name"), F.col("other"))).collect()}
+    got = [tuple(r) for r in schedule.match_names(own, stops).collect()]
+    assert set(got) == want and len(got) == len(want) > len(names)

@@ -308,6 +308,14 @@ def stop_station_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.match_stops(view(spark, sf_dir, "stations"), view(spark, sf_dir, "stops")).withColumn("metres", F.round("metres", 3))
 
 
+@query(f"""with a as (select id, {norm_name('name')} as x from {{stations}}), b as (select stop_id, {norm_name('name')} as y from {{stops}}),
+t as (select *, list_distinct(list_filter(string_split(x, ' '), lambda w: length(w) > 2)) as wx, list_distinct(list_filter(string_split(y, ' '), lambda w: length(w) > 2)) as wy from a cross join b)
+select id, stop_id from t where {MATCHED}""")
+def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stations against all stops; the pairs that don't match are left out."""
+    return schedule.match_names(view(spark, sf_dir, "stations"), view(spark, sf_dir, "stops"))
+
+
 @query(f"with w0 as ({WAIT} w.service_key is null group by all) select count(distinct q.station_id) as stations, count(distinct q.station_id) filter (wait is not null) as scheduled from {{wait_queries}} q left join w0 using (station_id)")
 def schedule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.schedule_coverage(station_wait(spark, sf_dir))
