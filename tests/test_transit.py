@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wayfare.functions import display, geo, text
 from wayfare.operators import access, graph, schedule, stations, streets
 from wayfare.operators.tables import UNREACHABLE_MIN
+from wayfare.plans import catalog
+from wayfare.plans.synth import view
 from wayfare.sources.curated import curated, rows
 
 STATIONS = [
@@ -219,3 +221,14 @@ def test_all_names_are_matched(spark):
     want = {(r.id, r.stop_id) for r in every.where(text.names_match(F.col("name"), F.col("other"))).collect()}
     got = [tuple(r) for r in schedule.match_names(own, stops).collect()]
     assert set(got) == want and len(got) == len(want) > len(names)
+
+
+def test_frequencies_of_all_orders(spark):
+    """Every trip departs, and the calendar takes all orders."""
+    sf = "/root/testdata/sf0.001"
+    orders = view(spark, sf, "orders")
+    assert catalog.QUERIES["frequency_expand_all"](spark, sf).select("trip_id").distinct().count() == orders.count()
+    dates = orders.selectExpr("o_orderpriority", "o_orderkey % 12", "o_custkey % 5", "o_orderkey % 2").distinct().count()
+    assert view(spark, sf, "all_calendar_dates").count() == dates
+    fewer, every = (set(map(tuple, catalog.QUERIES[q](spark, sf).collect())) for q in ("service_weekdays", "service_weekdays_all"))
+    assert fewer <= every

@@ -260,6 +260,11 @@ def service_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.service_weekdays(view(spark, sf_dir, "calendar"), view(spark, sf_dir, "calendar_dates"))
 
 
+@query(f"{DAY_FLAGS} union select service_id, cast(isodow(strptime(date, '%Y%m%d')) - 1 as int) from {{calendar_dates}} where exception_type = '1'".replace("{calendar", "{all_calendar"))
+def service_weekdays_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.service_weekdays(view(spark, sf_dir, "all_calendar"), view(spark, sf_dir, "all_calendar_dates"))
+
+
 @query("""with t as (select distinct user_id, weekday, minute as t from {departures} where minute is not null),
 g as (select *, t - lag(t) over (partition by user_id, weekday order by t) as gap from t),
 y as (select user_id, weekday, count(*) as n, greatest(1e0, median(gap)) as typical from g group by 1, 2),
@@ -276,6 +281,11 @@ def frequency_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.expand_frequencies(view(spark, sf_dir, "frequencies"), ["trip_id"])
 
 
+@query("select trip_id, start_min + offset_min + k*headway_min as minute from {all_frequencies}, range(0, 200) r(k) where start_min + k*headway_min < end_min")
+def frequency_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.expand_frequencies(view(spark, sf_dir, "all_frequencies"), ["trip_id"])
+
+
 WAIT = """select q.station_id, q.service_key, min(case when o*1440 + end_min > minute then greatest(0e0, case when minute < o*1440 + start_min then o*1440 + start_min - minute else least(headway_min/2, o*1440 + end_min - minute) end) end) as wait
 from {wait_queries} q cross join range(-1, 8) r(o) join {windows} w on w.station_id = q.station_id and w.weekday = ((q.weekday + o) % 7 + 7) % 7 and """
 

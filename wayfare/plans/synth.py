@@ -89,6 +89,8 @@ select s_suppkey as ord, concat('node/', cast(s_suppkey as string)) as id, case
   case s_suppkey % 4 when 0 then cast(19.337368 as double) when 1 then cast(19.7236 as double) when 2 then cast(19.2731 as double) else cast(19.329607 as double) end + (s_suppkey % 19 - 9)*cast(0.003 as double) as lat
 from {supplier}""",
 }
+#: The same of all orders.
+VIEWS |= {f"all_{n}": VIEWS[n][: VIEWS[n].rindex(" where ")] for n in ("calendar", "calendar_dates", "frequencies")}
 TABLES = ("supplier", "part", "lineitem", "orders", "events", "nation", "customer", "region")
 WORDS = {"spark": {"D": "div", "WEEKDAY": "weekday(ts)", "SECOND": "floor(second(ts))"}, "duckdb": {"D": "//", "WEEKDAY": "cast(isodow(ts) - 1 as int)", "SECOND": "second(ts)"}}
 
