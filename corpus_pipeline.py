@@ -72,8 +72,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): token ids as little-endian unsigned 32-bit integers."""
-    return bpe.encode(docs, VOCABULARY, decoded=False)
+    """(doc_id, n_tokens, ids, decoded_sha256): token ids as little-endian unsigned 32-bit integers, and the digest of the text that they decode to."""
+    done = bpe.encode(docs, VOCABULARY)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import duckdb
@@ -53,6 +54,13 @@ def test_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_token_ids_are_decoded(spark):
+    docs = spark.createDataFrame([(1, "A plain text, twice: a plain text."), (2, ""), (3, None)], "doc_id long, text string")
+    bpe = WordBpe(VOCABULARY)
+    for r in corpus_pipeline.encode(spark, docs, SF).collect():
+        assert r.decoded_sha256 == hashlib.sha256(bpe.decode(bytes(r.ids)).encode()).hexdigest() and (r.n_tokens > 0) == (r.doc_id == 1)
+
+
 @pytest.mark.parametrize("name", ["pipeline"])
 def test_registered(name):
     import __spark_entry__
