@@ -35,7 +35,7 @@ def test_stages(spark):
     assert dict(zip(clean.doc_id, clean.text, strict=True)) == new and (clean.n_chars == clean.text.str.len()).all()
     con = duckdb.connect()
     con.register("documents", frames[3].select("doc_id", "text", "source").toArrow())
-    want = {i: int(np.floor(taken / size + 0.5)) for i, size, _, _, taken in con.sql(mixing.SQL).fetchall() if size}
+    want = {i: int(np.floor(taken / size + 0.5)) for i, size, _, _, taken, *_ in con.sql(mixing.SQL).fetchall() if size}
     assert mixed.doc_id.value_counts().to_dict() == {i: k for i, k in want.items() if k}
     bpe = WordBpe(VOCABULARY)
     assert sorted(zip(ids.doc_id, ids.ids.map(bytes), strict=True)) == sorted(zip(mixed.doc_id, bpe.encode_batch(mixed.text.tolist()), strict=True))

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
-Slot s of the schedule falls on the golden-ratio point frac(s * phi); the
-cumulative shares of the sources map it to a source, and its rank among the
-slots of that source to a block. A source's documents stand in an order shuffled
-by the MD5 of their id and are cut into blocks of equally many words; slot
-number k of a source takes block k modulo the number of its blocks, so a source
-begins anew only when all of it is taken. The last slot of a source is cut, so
-that it takes round(target) words.
+A source's documents stand in an order shuffled by the MD5 of their id and are cut
+into blocks of equally many words. Slot s of the schedule falls on the golden-ratio
+point s * GOLDEN / POINTS (mod 1), in whole numbers; the cumulative weights map it to
+a source, and its rank among that source's slots to a block: slot number k of a
+source takes block k modulo the number of its blocks, so a source begins anew only
+when all of it is taken. What the mix takes of a document is what its blocks' slots
+take. The schedule ends when the mix has its size; a source comes within a few
+blocks of its target, as the points leave no part of the line out.
 
 The order is dealt into ``BUCKETS`` ranges of the hash for each source, whose sums are
 summed up first, so no task holds the rows of a source together.
@@ -14,15 +15,19 @@ summed up first, so no task holds the rows of a source together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
+#: The points' denominator and the golden ratio's share of it, made odd.
+POINTS = 1 << 40
+GOLDEN = 679_535_556_991
 #: Ranges of the hash, by its first three hexadecimal digits.
 BUCKETS = 4096
+#: Slots in a range that is dealt and ranked by itself, and cells by which slots and sources meet.
+STEP, CELLS = 4096, 4096
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -61,95 +66,102 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def schedule(per: DataFrame, block: int) -> DataFrame:
-    """(slot, source, rank): the slots in order, as many for each source as its blocks fill its target with.
+def blocks(per: DataFrame, block: int = 1024, least_slots: int = 2048) -> DataFrame:
+    """targets() with s, n (the source, empty where null, and whether it is null), length, blocks and slots of each source.
 
-    per: targets(). Points of the golden ratio through the cumulative shares give
-    each source its slots but for a few; slots beyond a source's need are left
-    out, missing ones stand at the end. Empty without words.
+    Blocks have ``block`` words, and fewer in sources that would else have fewer than
+    ``least_slots`` slots, as a source may be a few slots off. A source's slots are so many
+    that its blocks, the last and shorter one among them, fill its target.
+    """
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / least_slots))).cast("long")
+    per = per.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("n", F.col("source").isNull()).withColumn("length", length)
+    per = per.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+    return per.withColumn("slots", F.coalesce(F.floor(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")) + 0.5), F.lit(0)))
+
+
+def point(slot: Column) -> Column:
+    """slot * GOLDEN modulo POINTS, in two steps so that no product leaves 64 bits, for slots under POINTS."""
+    half = 1 << 20
+    high, low = F.shiftright(slot, 20), slot.bitwiseAND(F.lit(half - 1))
+    return F.pmod(F.pmod(high * F.lit(GOLDEN), F.lit(POINTS)) * half + low * F.lit(GOLDEN), F.lit(POINTS))
+
+
+def schedule(per: DataFrame) -> DataFrame:
+    """(slot, s, n, blocks, rank): each slot's source and its rank among the source's slots. per: blocks(). Empty without words.
+
+    Slots and sources meet in cells of the line, so a slot is compared with the sources
+    of its own cell only, however many there are.
     """
     w = Window.orderBy(F.col("source").asc_nulls_last())
-    words, size = F.round("target").cast("long"), F.col("source_size")
-    need = F.floor(words / size) * F.ceil(size / block) + F.ceil(F.pmod(words, size) / block)
-    at = per.where("source_size > 0").withColumn("need", need).where("need > 0")
-    at = at.withColumn("high", F.sum("need").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - F.col("need")).withColumn("slots", F.sum("need").over(Window.partitionBy()))
-    # slots are dealt by ranges of STEP: a row for each range, then one for each slot
-    step = 4096
-    ranges = at.agg(F.max("slots").alias("slots")).where("slots > 0").select("slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))).alias("range"))
-    points = ranges.repartition("range").select(F.explode(F.sequence(F.col("range") * step, F.least(F.col("range") * step + step, F.col("slots")) - 1)).alias("slot"), "slots")
-    x = F.col("slot") * F.lit(GOLDEN)
-    points = points.withColumn("point", F.floor((x - F.floor(x)) * F.col("slots")).cast("long"))
-    # cumulative shares as a sorted array on every row: one entry for each source
-    steps = at.agg(F.sort_array(F.collect_list(F.struct("high", "low", "need", "source"))).alias("steps"))
-    hit = F.element_at(F.filter("steps", lambda s: (s["low"] <= F.col("point")) & (F.col("point") < s["high"])), 1)
-    drawn = points.join(F.broadcast(steps)).select("slot", "slots", hit.alias("hit")).select("slot", "slots", "hit.source", "hit.need", "hit.low")
+    at = per.where("slots > 0").withColumn("high", F.sum("slots").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - F.col("slots"))
+    at = at.withColumn("total", F.sum("slots").over(Window.partitionBy())).withColumn("wide", F.ceil(F.col("total") / CELLS))
+    spread = at.select("s", "n", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / F.col("wide")), F.floor((F.col("high") - 1) / F.col("wide")))).alias("cell"))
+    # slots are dealt by ranges: a row for each range, then one for each slot
+    ranges = at.agg(F.max("total").alias("total"), F.max("wide").alias("wide")).where("total > 0").select("total", "wide", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / STEP))).alias("range"))
+    dealt = ranges.repartition("range").select("total", "wide", "range", F.explode(F.sequence(F.col("range") * STEP, F.least(F.col("range") * STEP + STEP, F.col("total")) - 1)).alias("slot"))
+    dealt = dealt.withColumn("t", F.floor(point(F.col("slot")) / F.lit(float(POINTS)) * F.col("total"))).withColumn("cell", F.floor(F.col("t") / F.col("wide")))
+    drawn = dealt.join(spread, "cell").where("low <= t and t < high").select("slot", "range", "s", "n", "blocks", "low")
     # ranks within ranges of slots first, then over the ranges' counts
-    drawn = drawn.withColumn("range", F.floor(F.col("slot") / step))
-    counts = drawn.groupBy("low", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("low", "range", (F.sum("n").over(Window.partitionBy("low").orderBy("range")) - F.col("n")).alias("before"))
-    ranked = drawn.join(before, ["low", "range"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("low", "range").orderBy("slot")) - 1)
-    scheduled = ranked.where("rank < need").select("slot", "source", F.col("rank").cast("long").alias("rank"))
-    had = counts.groupBy("low").agg(F.sum("n").alias("n"))
-    missing = at.join(had, "low", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
-    missing = missing.select("slots", "low", "source", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
-    return scheduled.unionByName(missing.select((F.col("slots") + F.col("low") + F.col("rank")).alias("slot"), "source", F.col("rank").cast("long").alias("rank")))
-
-
-def pieces(sized: DataFrame, block: int) -> DataFrame:
-    """(doc_id, s, n, b, size, start, first, words): a row for each document and block b that it lies in.
-
-    s, n: the source, empty where null, and whether it is null; start: words of the
-    source before it in the shuffled order; first: its first word in the block.
+    counts = drawn.groupBy("low", "range").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select("low", "range", (F.sum("c").over(Window.partitionBy("low").orderBy("range")) - F.col("c")).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("low", "range").orderBy("slot")) - 1
+    return drawn.join(before, ["low", "range"]).select("slot", "s", "n", "blocks", rank.cast("long").alias("rank"))
+
+
+def pieces(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """(doc_id, s, n, b, size, start, words): a row for each document and block b that it lies in. per: blocks().
+
+    start: words of the source before the document in the shuffled order; words: those
+    in the block. Equal rows are one row with a count until they have their places.
     """
     hashed = sized.where("size > 0").withColumn("hash", F.md5(F.col("doc_id").cast("string").cast("binary")))
     hashed = hashed.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), "size", F.coalesce("hash", F.lit("")).alias("hash"))
     hashed = hashed.withColumn("bucket", F.coalesce(F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"), F.lit(BUCKETS)))
     key = ["s", "n", "bucket"]
+    rows = hashed.groupBy(*key, "hash", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("all", F.col("size") * F.col("copies"))
     sums = hashed.groupBy(*key).agg(F.sum("size").alias("words"))
     sums = sums.select(*key, (F.sum("words").over(Window.partitionBy("s", "n").orderBy("bucket")) - F.col("words")).alias("before"))
     within = Window.partitionBy(*key).orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = hashed.join(sums, key).withColumn("start", F.col("before") + F.sum("size").over(within) - F.col("size"))
-    placed = placed.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block)
-    return placed.select("doc_id", "s", "n", "b", "size", "start", (low - F.col("b") * block).alias("first"), (high - low).alias("words"))
+    placed = rows.join(sums, key).withColumn("first", F.col("before") + F.sum("all").over(within) - F.col("all"))
+    placed = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: F.col("first") + k * F.col("size"))))
+    placed = placed.join(per.select("s", "n", "length"), ["s", "n"])
+    start, end, length = F.col("start"), F.col("start") + F.col("size"), F.col("length")
+    placed = placed.withColumn("b", F.explode(F.sequence(F.floor(start / length), F.floor((end - 1) / length))))
+    return placed.select("doc_id", "s", "n", "b", "size", "start", (F.least(end, (F.col("b") + 1) * length) - F.greatest(start, F.col("b") * length)).alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, size, source_size, target, taken): what the mix takes of each document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, block: int = 1024, least_slots: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, size, source_size, target, taken, slots, first_slot): what the mix takes of each document.
 
-    size: words of the text, 0 for null. taken counts words, repeats too. Null
+    size: words of the text, 0 for null. taken counts words, repeats too; slots: how many
+    slots of the schedule take words of the document, first_slot: the first of them, null
+    without one. A slot that would take a block more than ``most`` times is void. Null
     sources are one source, the last; null, equal and negative ids are ids like
-    others, equal rows are rows of their own (of equal rows either may be the one
-    that is cut). Without words all targets and taken words are 0; an empty table
+    others, equal rows are rows of their own (any of them may be the one that is taken
+    more often). Without words all targets and taken words are 0; an empty table
     gives an empty result. Columns of docs besides the three are ignored.
     """
     sized, _ = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    per, _ = stored(targets(sized, weights, share, most), "mix-targets")
-    slots, _ = stored(schedule(per, block), "mix-slots")
-
-    # what each block is taken: whole times, and words of the last slot
-    last = F.round("target").cast("long")
-    uses = slots.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", F.pmod("rank", F.ceil(F.col("source_size") / block)).alias("block"), F.ceil(F.col("source_size") / block).alias("blocks"), "source_size", F.floor(F.col("rank") / F.ceil(F.col("source_size") / block)).alias("epoch"), last.alias("words")
+    per, _ = stored(blocks(targets(sized, weights, share, most), block, least_slots), "mix-targets")
+    used = schedule(per).where(F.col("rank") < most * F.col("blocks")).groupBy("s", "n", F.pmod("rank", "blocks").alias("b")).agg(F.count(F.lit(1)).alias("uses"), F.min("slot").alias("slot"))
+
+    got = pieces(sized, per).join(used, ["s", "n", "b"], "left").groupBy("s", "n", "start").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("size").alias("size"),
+        F.coalesce(F.sum(F.col("uses") * F.col("words")), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.sum("uses"), F.lit(0)).cast("long").alias("slots"),
+        F.min("slot").alias("first_slot"),
     )
-    # the words before slot k: whole epochs and the blocks before it
-    before = F.col("epoch") * F.col("source_size") + F.col("block") * block
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    uses = uses.withColumn("length", F.greatest(F.lit(0), F.least(length, F.col("words") - before))).withColumn("whole", F.col("length") == length)
-    uses = uses.groupBy(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), F.col("block").alias("b")).agg(F.count_if("whole").alias("whole"), F.sum(F.when(~F.col("whole"), F.col("length")).otherwise(0)).alias("part"))
-
-    cut = pieces(sized, block)
-    got = cut.join(uses, ["s", "n", "b"], "left").withColumn("got", F.coalesce(F.col("whole") * F.col("words") + F.greatest(F.lit(0), F.least("words", F.col("part") - F.col("first"))), F.lit(0)))
-    got = got.groupBy("s", "n", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("got").alias("taken"))
-    empty = sized.where("size = 0").select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), F.lit(0).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    per = per.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), "source_size", "target")
-    return got.unionByName(empty).join(F.broadcast(per), ["s", "n"]).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
-
-
-#: DuckDB, over a table documents: the same targets, and taken from the running sums alone.
-SQL = r"""
+    zero = F.lit(0).cast("long")
+    empty = sized.where("size = 0").select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), zero.alias("start"), "doc_id", "size", zero.alias("taken"), zero.alias("slots"), F.lit(None).cast("long").alias("first_slot"))
+    rows = got.unionByName(empty).join(per.select("s", "n", "source_size", "target"), ["s", "n"])
+    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "slots", "first_slot")
+
+
+#: DuckDB, over a table documents: the same targets, and the same schedule.
+SQL = rf"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size from sized group by source),
 weighted as (select *, [5, 2, 1][1 + ((row_number() over (order by source nulls last) - 1) % 3)::int]::bigint as weight, sum(source_size) over () as total from per),
 leveled as (
@@ -162,11 +174,23 @@ aimed as (
   select source, source_size, case when is_full then cap::double
     else ((total - coalesce(sum(cap) filter (is_full) over (), 0)) * weight)::double / (sum(weight) filter (not is_full) over ())::double end as target
   from marked),
+cut as (select *, greatest(1, least(1024, floor(target / 2048)))::bigint as len from aimed),
+planned as (select *, ceil(source_size / len)::bigint as blocks from cut where source_size > 0),
+needed as (select *, floor(target * blocks / source_size + 5e-1)::bigint as slots from planned),
+laid as (select *, sum(slots) over (order by source nulls last rows unbounded preceding) as high, sum(slots) over () as total from needed where slots > 0),
+dealt as (select unnest(range(total)) as slot, total from (select max(total)::bigint as total from laid)),
+drawn as (select slot, floor(((slot::hugeint * {GOLDEN}) % {POINTS})::double / {POINTS}e0 * total)::bigint as t from dealt),
+ranked as (select source, slot, blocks, row_number() over (partition by source order by slot) - 1 as rank from drawn join laid on t >= high - slots and t < high),
+used as (select source, rank % blocks as b, count(*) as uses, min(slot) as slot from ranked where rank < 3 * blocks group by all),
 placed as (
-  select *, sum(size) over (partition by source order by md5(doc_id::varchar), doc_id rows unbounded preceding) - size as start from sized)
-select doc_id, size, a.source_size, a.target,
-  (case when size = 0 then 0 else
-    floor(round(target) / nullif(a.source_size, 0)) * size
-    + greatest(0, least(size, round(target) - floor(round(target) / nullif(a.source_size, 0)) * a.source_size - start)) end)::bigint as taken
-from placed p join aimed a on p.source is not distinct from a.source
+  select *, sum(size) over (partition by source order by md5(doc_id::varchar), doc_id rows unbounded preceding) - size as start from sized where size > 0),
+pieces as (
+  select doc_id, p.source, size, start, len, unnest(range((start // len)::bigint, ((start + size - 1) // len + 1)::bigint)) as b
+  from placed p join cut c on p.source is not distinct from c.source),
+got as (
+  select doc_id, p.source, size, start, coalesce(sum(uses * (least(start + size, (p.b + 1) * len) - greatest(start, p.b * len))), 0)::bigint as taken,
+    coalesce(sum(uses), 0)::bigint as slots, min(slot) as first_slot
+  from pieces p left join used u on p.source is not distinct from u.source and p.b = u.b group by all),
+every as (select doc_id, source, size, taken, slots, first_slot from got union all select doc_id, source, size, 0, 0, null from sized where size = 0)
+select doc_id, size, a.source_size, a.target, taken, slots, first_slot from every e join aimed a on e.source is not distinct from a.source
 """
