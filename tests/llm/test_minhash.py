@@ -73,3 +73,39 @@ def test_posterior_bounds():
         assert (hits[:, : (k + 1) * minhash.STEP].sum(1) >= m).all()
     low = rng.random((2000, minhash.HASHES)) < 0.3
     assert (low[:, : minhash.STEP].sum(1) < need[0]).mean() > 0.2 and (low.sum(1) < need[-1]).all()
+
+
+def test_shared_most_but_not_enough(spark):
+    """Texts that have 80 of 100 shingles in common, under the threshold, are compared in hundreds of pairs at most, not in all."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(84)]
+    rows = [(k, " ".join([word() for _ in range(20)] + base)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+
+    class Counting(minhash.Search):
+        def apart(self):
+            pairs = super().apart()
+            seen.append(pairs.count())
+            return pairs
+
+    got = Counting(spark, docs, 75).run()
+    assert set(map(tuple, got.collect())) == brute(rows)
+    assert seen[0] < 400
+
+
+def test_sizes_and_thresholds(spark):
+    """Pairs at the edge of the similarity, of unlike sizes, at several thresholds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(30, 120))]
+        rows += [base, base + [word() for _ in range(int((len(base) - 4) * rng.choice([0.1, 0.3, 0.33, 0.34, 0.4])))]]
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    for percent in (75, 90):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+        want = brute(rows) if percent == 75 else None
+        assert want is None or set(map(tuple, got.collect())) == want
+        assert got.where("kept").count() >= 40

@@ -13,8 +13,9 @@ members can be connected otherwise:
 2. every class against the smallest of each of its buckets, if they aren't connected yet;
 3. the classes of buckets whose members still aren't all connected across components,
    where their rarest shingles allow the similarity: an exact search by the order of
-   their shingles, which a group of copies of one text with edits of their own, or a passage
-   that many texts share, doesn't make quadratic.
+   their shingles. A set is found by the first shingles of its own (``1 - 2t / (1 + t)`` of
+   them, a seventh at 0.75) among the first quarter of another's, so texts that share a
+   passage, or most of a text but less than they must, never meet in what they share.
 """
 
 from __future__ import annotations
@@ -223,16 +224,13 @@ class Search:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(stays)), batch.column(1).take(pa.array(stays))], names=["a", "b"])
 
         left = self.keep(both.mapInArrow(compare, "a long, b long").distinct(), "near-survivors")
-        ids = self.keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "near-ids")
-        texts = self.texts_of(ids)
-        rows = left.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+        sets = self.sets.select("node", "own")
+        rows = left.join(sets.toDF("b", "own_b"), "b").join(sets.toDF("a", "own_a"), "a").select("a", "b", "own_a", "own_b")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = sorted({*batch.column(2).to_pylist(), *batch.column(3).to_pylist()})
-                sets = dict(zip(texts, shingles(texts), strict=True))
-                linked = [similar(sets[x.as_py()], sets[y.as_py()], percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(linked)), batch.column(1).filter(pa.array(linked))], names=["a", "b"])
+                linked = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), percent) for pair in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(linked, pa.bool_())), batch.column(1).filter(pa.array(linked, pa.bool_()))], names=["a", "b"])
 
         return self.keep(rows.mapInArrow(verify, "a long, b long"), "near-links")
 
@@ -252,70 +250,85 @@ class Search:
     def label_of(self, found: DataFrame) -> DataFrame:
         return self.labels.join(found.toDF("label", "__new"), "label", "left").select("node", F.coalesce("__new", "label").alias("label"))
 
-    def texts_of(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, text) of the classes in ids (node)."""
+    def gather(self) -> None:
+        """(node, n, own): the sets of the classes that share a bucket, as sorted hashes, for all that follows."""
+        ids = self.keep(self.members.select("node").distinct(), "near-ids")
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return self.keep(self.docs.join(wanted, self.docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text"), "near-texts")
+        texts = self.docs.join(wanted, self.docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = shingles(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "own"])
+
+        self.sets = self.keep(texts.mapInArrow(run, "node long, n long, own binary"), "near-sets")
 
     def apart(self) -> DataFrame:
         """Pairs of classes that lie in buckets with several components, in different ones, and may be similar.
 
-        Exact: if the sets' shingles stand in one order, rare ones first, two sets of
-        sizes m <= n can only share the p shingles that they must if one of the first m - p + 1 of the smaller
-        is among the first n - p + 1 of the larger, with enough left behind both places.
+        Exact: let the sets' shingles stand in one order, rare ones first, and two sets
+        have sizes m <= n. They can only share the p shingles that they must, t / (1 + t) of m + n,
+        if one of the first m - ceil(2t / (1 + t) * m) + 1 of the smaller is among the first
+        n - ceil(t * n) + 1 of the larger, with enough left behind both places. The larger has at most m / t
+        shingles, so sets meet in steps of their size by that ratio, a step up at most.
         Rarity is by a sketch of ``COUNTERS`` sums, which is what comes to the driver; any order is right.
         """
         percent = self.percent
         rows = self.label(self.members.select("key", "node"), "node", "label")
         mixed_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         nodes = self.keep(rows.join(self.keep(mixed_keys, "near-mixed"), "key").select("node", "label").distinct(), "near-nodes")
-        texts = self.texts_of(nodes.select("node"))
+        own = nodes.join(self.sets, "node").select("node", "label", "n", "own")
+        total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
+        own = self.keep(own.repartition(1 + total // AT_ONCE), "near-apart")
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(COUNTERS, np.int64)
             for batch in batches:
-                for own in shingles(batch.column(0).to_pylist()):
-                    total += np.bincount((own >> SLOT).astype(np.int64), minlength=COUNTERS)
+                slots = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> SLOT
+                total += np.bincount(slots.astype(np.int64), minlength=COUNTERS)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
-        sums = texts.select("text").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        sums = own.select("own").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         rarity = np.zeros(COUNTERS, np.int32)
         rarity[sums.column("slot").to_numpy()] = np.minimum(sums.column("n").to_numpy(), 2**31 - 1)
         held = self.spark.sparkContext.broadcast(rarity)
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = shingles(batch.column(2).to_pylist())
-                first, place, size = [], [], []
-                for own in sets:
-                    n = len(own)
-                    order = np.lexsort((own, held.value[(own >> SLOT).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
-                    first.append(own[order].view(np.int64))
+                first, place, index = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+                for value in batch.column(3):
+                    x = np.frombuffer(value.as_buffer(), np.uint64)
+                    n = len(x)
+                    order = np.lexsort((x, held.value[(x >> SLOT).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                    first.append(x[order].view(np.int64))
                     place.append(np.arange(1, len(order) + 1, dtype=np.int32))
-                    size.append(n)
-                many = np.array(list(map(len, first)), np.int64)
-                again = [np.repeat(x, many) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(size, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *first])), pa.array(np.concatenate([np.zeros(0, np.int32), *place])), *map(pa.array, again)], names=["shingle", "place", "node", "label", "n"])
+                    index.append(place[-1] <= n - -(-2 * percent * n // (100 + percent)) + 1)
+                many = np.array(list(map(len, first[1:])), np.int64)
+                again = [np.repeat(batch.column(k).to_numpy(), many) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(place)), pa.array(np.concatenate(index)), *map(pa.array, again)], names=["shingle", "place", "index", "node", "label", "n"])
 
-        signed = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "label", "text")
-        heads = self.keep(signed.mapInArrow(prefixes, "shingle long, place int, node long, label long, n int"), "near-heads")
+        heads = self.keep(own.mapInArrow(prefixes, "shingle long, place int, index boolean, node long, label long, n long"), "near-heads")
         # of each shingle the component that most have it in: of two in different components one isn't in that
         per = heads.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
         shared = self.keep(per.where("labels > 1").select("shingle", "main"), "near-heads-shared")
-        open_ = self.keep(heads.join(shared, "shingle"), "near-heads-open")
-        x = open_.where("label <> main").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("place", "node", "label", "n")))
-        y = open_.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("place", "node", "label", "n")))
+        step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
+        open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")
+        side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("place", "node", "label", "n", "rare")]
+        x = open_.where("index").select("shingle", F.explode(F.array("step", F.col("step") + 1)).alias("step"), *side("x"))
+        y = open_.select("shingle", "step", *side("y"))
         share = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
         left = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        near = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (left >= share)
-        pairs = x.join(y, "shingle").where((F.col("x_label") != F.col("y_label")) & near)
+        near = (100 * F.col("x_n") >= percent * F.col("y_n")) & (left >= share) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
+        met = x.where("x_rare").join(y, ["shingle", "step"]).unionByName(x.where("not x_rare").join(y.where("y_rare"), ["shingle", "step"]))
+        pairs = met.where((F.col("x_label") != F.col("y_label")) & near)
         return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         self.labels: DataFrame | None = None
         self.sign()
         self.buckets()
+        self.gather()
         pivots = self.members.where("node <> pivot")
         self.connect(self.verified(pivots.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")))
         stars = pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
