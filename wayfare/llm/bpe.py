@@ -7,7 +7,7 @@ length are rows of one array, so that a step serves all of them at once. Words
 of more than ``SHORT`` bytes, for which the scan would be quadratic, take the
 same merges from a heap.
 
-Texts are cut at white space; what a run of other characters encodes to is kept
+Texts are cut at ASCII white space; what a run of other characters encodes to is kept
 in a bounded table, as the vocabulary's own split never crosses white space.
 """
 
@@ -20,9 +20,11 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def listed(column: pa.Array) -> list:
+    """Its values; this way round is much faster than to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizers-library BPE file with word ends."""
 
@@ -172,10 +179,13 @@ class WordBpe:
         # letter by letter, a final sigma isn't told from others
         return unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
 
-    def learn(self, runs: set[str]) -> None:
+    def learn(self, runs: list[str]) -> None:
         """Adds what these runs encode to."""
+        column = pa.array(runs, pa.string())
+        plain = pc.ascii_is_alpha(column)  # only ASCII letters
+        alone = listed(pc.ascii_lower(column.filter(plain)).cast(pa.binary()))
         split: dict[str, list[bytes]] = {}
-        for run in runs:
+        for run in listed(column.filter(pc.invert(plain))):
             low = run.lower() if run.isascii() else self.normal(run)
             if low.isalpha():
                 split[run] = [low.encode()]
@@ -184,11 +194,13 @@ class WordBpe:
             else:
                 split[run] = [w.encode() for w in self.words.findall(low)]
         ids, known = self.word_ids, self.known
-        new = {w for ws in split.values() for w in ws}.difference(ids)
+        every = {w for ws in split.values() for w in ws}.union(alone)
+        new = every.difference(ids)
         if len(ids) + len(new) > KEPT:
             ids.clear()
-            new = {w for ws in split.values() for w in ws}
+            new = every
         ids.update(self.encode_words(new))
+        known.update(zip(listed(column.filter(plain)), map(ids.__getitem__, alone), strict=True))
         for run, ws in split.items():
             known[run] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
@@ -201,36 +213,37 @@ class WordBpe:
             gc.enable()
 
     def encoded(self, texts: list[str | None]) -> list[bytes]:
-        plans: list[list[tuple[str, list, list]]] = []
-        new: set[str] = set()
-        get = self.known.get
-        for text in texts:
-            plan: list[tuple[str, list, list]] = []
-            for piece in self.special.split(text) if self.special and text and "<|" in text else [text or ""]:
-                if piece in self.added:
-                    plan.append(("special", [piece], []))
-                elif ODD.search(piece):
-                    plan.append(("words", [w.encode() for w in self.words.findall(self.normal(piece))], []))
-                else:
-                    runs = piece.split()
-                    found = list(map(get, runs))
-                    if None in found:
-                        new.update([r for r, f in zip(runs, found, strict=True) if f is None])
-                    plan.append(("runs", runs, found))
-            plans.append(plan)
-        if new:
+        """A batch is cut at ASCII white space and encoded run by run, each distinct run once."""
+        odd = {k for k, t in enumerate(texts) if t and ("<|" in t or ODD.search(t))}
+        column = pa.array([None if k in odd else t for k, t in enumerate(texts)], pa.large_string())
+        lists = pc.ascii_split_whitespace(column)
+        coded = lists.flatten().dictionary_encode()
+        values = listed(coded.dictionary)
+        found = list(map(self.known.get, values))
+        if new := [v for v, f in zip(values, found, strict=True) if f is None]:
             if len(self.known) + len(new) > KEPT:
                 self.known.clear()
             self.learn(new)
-
-        def read(kind: str, x: list, found: list) -> bytes:
-            if kind == "special":
-                return np.array([self.added[x[0]]], "<u4").tobytes()
-            if kind == "words":
-                return b"".join(map(self.encode_words(set(x)).__getitem__, x))
-            return b"".join([get(r) if f is None else f for r, f in zip(x, found, strict=True)] if None in found else found)
-
-        return [b"".join([read(*step) for step in plan]) for plan in plans]
+            found = [self.known[v] if f is None else f for v, f in zip(values, found, strict=True)]
+        which = coded.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin, many = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size[which]
+        ends = np.cumsum(many)
+        raw = memoryview(flat[np.repeat(begin[which] - (ends - many), many) + np.arange(many.sum())].tobytes())
+        runs = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        cuts = (4 * np.concatenate([[0], ends])[np.concatenate([[0], runs])]).tolist()
+        return [self.special_text(texts[k]) if k in odd else bytes(raw[a:b]) for k, (a, b) in enumerate(pairwise(cuts))]
+
+    def special_text(self, text: str) -> bytes:
+        """One text with special tokens, or with white space that the vocabulary takes for none."""
+        out = []
+        for piece in self.special.split(text) if self.special else [text]:
+            if piece in self.added:
+                out.append(np.array([self.added[piece]], "<u4").tobytes())
+            elif piece:
+                words = [w.encode() for w in self.words.findall(self.normal(piece))]
+                out += map(self.encode_words(set(words)).__getitem__, words)
+        return b"".join(out)
 
     def forget(self) -> None:
         self.known.clear()
