@@ -27,7 +27,8 @@ def test_code(counts):
 
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK", 64)
-    rows = [(k, f"the cat {k} sat " * (k % 5)) for k in range(60)] + [(100, None), (101, ""), (-5, "minus"), (None, "none"), (7, "again"), (102, "long word " * 20000)]
+    monkeypatch.setattr(tokenfile, "PART", 700)
+    rows = [(k, f"the cat {k} sat " * (k % 5)) for k in range(60)] + [(100, None), (101, ""), (-5, "minus"), (None, "none"), (7, "again"), (102, "long word " * 20000)] + [(None, f"no id {k}") for k in range(90)] + [(50, "one id")] * 90
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as part").repartition(3)
     path = new_path(spark, "tokens")
     tokenfile.write(df, path, VOCABULARY)
@@ -38,6 +39,9 @@ def test_round_trip(spark, monkeypatch):
     assert sorted((r.doc_id is not None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
     ends = np.cumsum([r.n_tokens for r in got])
     assert [r.start for r in got] == [0, *ends[:-1].tolist()]
+    # rows of one id, or without one, lie in several parts
+    parts = spark.read.parquet(f"{path}/blocks").collect()
+    assert len({r.part for r in parts}) > 10 and len({r.part for r in parts if 1 in r.nulls}) > 1
     path = new_path(spark, "tokens")
     tokenfile.write(df.limit(0), path, VOCABULARY)
     assert tokenfile.read(spark, path).count() == 0

@@ -16,14 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.bpe import WordBpe
-from wayfare.llm.common import drop, new_path, small_batches
+from wayfare.llm.common import drop, new_path, small_batches, stored
 
 RUN = 128
-BLOCK = 1 << 18
+#: Ids after which a block, and a part, ends.
+BLOCK, PART = 1 << 18, 1 << 22
+BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, nulls binary, lengths binary, sizes binary, marks binary, data binary"
 #: Longest code in bits: two more than the ids of a vocabulary of 65536 need at least, and a table that a core's cache holds. With 7 bits before it, it fits a window of 32.
 LONGEST = 18
 
@@ -200,28 +203,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     held = spark.sparkContext.broadcast(lengths)
 
-    # parts are ranges of doc_id between quantiles, found from the ids alone
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = encoded.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"] or []
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-
-    def huffman(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(held.value)
-        for b in batches:
-            ids = [unplanes(x.as_py(), wide) for x in b.column(2)]
-            n = np.array(list(map(len, ids)), np.int64)
-            if not len(n):
-                continue
-            data, sizes, marks = code.encode(np.concatenate(ids), np.cumsum(n) - n)
-            runs, cut = -(-n // RUN), np.cumsum(sizes)
-            mark_cut = np.cumsum(runs)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([data[c - s : c].tobytes() for s, c in zip(sizes, cut, strict=True)], pa.binary()), pa.array([marks[c - s : c].tobytes() for s, c in zip(runs, mark_cut, strict=True)], pa.binary()), b.column(3)],
-                names=["doc_id", "n", "data", "marks", "part"],
-            )
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ids, part, before, no = [], 0, None, 0, 0
+        code, part = Code(held.value), TaskContext.get().partitionId()
+        rows, ids, before, no = [], 0, 0, 0
 
         def block() -> pa.RecordBatch:
             who, n, data, marks = zip(*rows, strict=True)
@@ -232,20 +216,26 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
             )
 
         for b in batches:
-            for who, n, data, marks, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and (p != part or ids >= BLOCK):
+            own = [unplanes(x.as_py(), wide) for x in b.column(1)]
+            n = np.array(list(map(len, own)), np.int64)
+            if not len(n):
+                continue
+            data, sizes, marks = code.encode(np.concatenate(own), np.cumsum(n) - n)
+            runs, cut = -(-n // RUN), np.cumsum(sizes)
+            for who, m, d, c, r, k in zip(b.column(0).to_pylist(), n.tolist(), sizes.tolist(), cut.tolist(), runs.tolist(), np.cumsum(runs).tolist(), strict=True):
+                if ids >= BLOCK:
                     yield block()
-                    before, no = (before + ids, no + 1) if p == part else (0, 0)
-                    rows, ids = [], 0
-                part = p
-                rows.append((who, n, data, marks))
-                ids += n
+                    before, no, rows, ids = before + ids, no + 1, [], 0
+                rows.append((who, m, data[c - d : c].tobytes(), marks[k - r : k].tobytes()))
+                ids += m
         if rows:
             yield block()
 
-    coded = encoded.withColumn("part", part.cast("int")).mapInArrow(huffman, "doc_id long, n long, data binary, marks binary, part int")
-    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
-    made = ordered.mapInArrow(blocks, "part int, block int, before long, n_ids long, doc_ids binary, nulls binary, lengths binary, sizes binary, marks binary, data binary")
+    # parts are ranges of doc_id, as many as the ids need; rows of one id, or without one, are spread too
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    placed = encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange(max(1, -(-int(counts.sum()) // PART)), *order).sortWithinPartitions(*order)
+    made = ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCKS)
     made.write.option("compression", "none").parquet(f"{path}/blocks")
     drop(spark, work)
 
@@ -256,11 +246,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     table = np.zeros(max(lengths, default=0) + 1, np.uint8)
     table[list(lengths)] = list(lengths.values())
     held = spark.sparkContext.broadcast(table)
-    blocks = spark.read.schema("part int, block int, before long, n_ids long, doc_ids binary, nulls binary, lengths binary, sizes binary, marks binary, data binary").parquet(f"{path}/blocks")
-    # a row for each part, of which there are as many as the writer had shuffle partitions
-    sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    first = dict(zip([p for p, _ in sums], np.cumsum([0, *[n for _, n in sums]])[:-1].tolist(), strict=True))
-    offsets = spark.sparkContext.broadcast(first)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # the ids before each part: over a row for each part
+    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    firsts, _ = stored(sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first")), "token-parts")
+    blocks = blocks.join(firsts, "part").withColumn("before", F.col("first") + F.col("before"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(held.value)
@@ -270,9 +260,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n, sizes = np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 ids = code.decode(row["data"], n, sizes, np.frombuffer(row["marks"], "<u2")).astype("<u4")
                 ends = np.cumsum(n)
-                start = offsets.value[row["part"]] + row["before"] + ends - n
+                start = row["before"] + ends - n
                 raw = memoryview(ids.tobytes())
                 who = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([who, pa.array(start), pa.array(n), pa.array([bytes(raw[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.select("part", "before", "doc_ids", "nulls", "lengths", "sizes", "marks", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("before", "doc_ids", "nulls", "lengths", "sizes", "marks", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
