@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geo
 from wayfare.functions.text import normalize
-from wayfare.operators.tables import MODES
+from wayfare.operators.tables import MODES, stored
 
 TAGS = "map<string, string>"
 
@@ -216,3 +216,33 @@ def in_box(stations: DataFrame, west: float, south: float, east: float, north: f
     rows = stations.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
     rows = rows.where(F.col("status") == status) if status else rows
     return rows if modes is None else rows.where(F.col("mode").isin(modes) if modes else F.lit(False))
+
+
+def mode_list(stations: DataFrame) -> DataFrame:
+    """(mode, n, place): the modes with most stations first, equal ones in the order of the modes. A row for each mode."""
+    bit = F.try_element_at(F.create_map(*[F.lit(x) for b, m, *_ in MODES for x in (m, b)]), F.col("mode"))
+    per = stations.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), bit)) - 1)
+
+
+def by_name(stations: DataFrame, collation: str = "es") -> DataFrame:
+    """Stations with a name and their place in the collation's order, then by id: the list that a user chooses from.
+
+    The order is dealt into ranges of names, each counted first.
+    """
+    own = stations.where("name <> ''").withColumn("__key", F.collate("name", collation))
+    spark = stations.sparkSession
+    dealt = stored(own.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__key", "id").withColumn("__range", F.spark_partition_id()).drop("__key"), "by-name")
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
+    order = Window.partitionBy("__range").orderBy(F.collate("name", collation), "id")
+    return dealt.join(before, "__range").withColumn("place", F.col("__before") + F.row_number().over(order) - 1).drop("__range", "__before")
+
+
+def ordinals(rows: DataFrame, stations: DataFrame) -> DataFrame:
+    """(station_id, ord): the place of each row's station among the stations (id, ord), as access indexes have it; rows of others don't count.
+
+    stations are one pool of a city, whose places are counted in one task.
+    """
+    places = stations.select(F.col("id").alias("station_id"), (F.row_number().over(Window.orderBy("ord")) - 1).alias("ord"))
+    return rows.select("station_id").join(places, "station_id")

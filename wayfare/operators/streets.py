@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo
-from wayfare.operators.tables import lookup
+from wayfare.operators.tables import MODES, lookup, stored
 
 # fixed values: first zoom of road classes
 MIN_ZOOM = {
@@ -32,38 +34,27 @@ def junctions(streets: DataFrame) -> DataFrame:
     return points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("streets")).where("streets > 1")
 
 
-def cut(points: list[tuple[float, float]], at: set[tuple[float, float]], cap: float) -> list[list[tuple[float, float]]]:
-    """A polyline in segments: at inner junctions, and wherever the length would exceed the cap."""
-    line: list[tuple[float, float]] = []
-    for p in points:
-        if not line or line[-1] != p:
-            line.append(p)
+def cut(points: np.ndarray, at: set[tuple[float, float]], cap: float) -> list[np.ndarray]:
+    """A polyline (rows of lon, lat) in segments: at inner junctions, and in each stretch between them wherever a multiple of the cap is reached.
+
+    Places are lengths along the line. A break within a micrometre of a vertex is that vertex.
+    """
+    line = points[np.concatenate([[True], (points[1:] != points[:-1]).any(1)])]
     if len(line) < 2:
         return []
-    out, own, length = [], [line[0]], 0.0
-
-    def close() -> None:
-        nonlocal own, length
-        if len(own) > 1:
-            out.append(own)
-        own, length = [own[-1]], 0.0
-
-    for k, end in enumerate(line[1:], 1):
-        start, rest = line[k - 1], geo.haversine_py(*line[k - 1], *end)
-        while length + rest > cap + 1e-6:
-            room = cap - length
-            if room > 1e-6:
-                share = room / rest
-                start = (start[0] + (end[0] - start[0]) * share, start[1] + (end[1] - start[1]) * share)
-                own.append(start)
-                rest = geo.haversine_py(*start, *end)
-            close()
-        own.append(end)
-        length += rest
-        if k < len(line) - 1 and end in at:
-            close()
-    close()
-    return out
+    place = np.concatenate([[0.0], np.cumsum(geo.haversine_np(line[:-1], line[1:]))])
+    inner = [k for k in range(1, len(line) - 1) if tuple(line[k].tolist()) in at]
+    ends = place[[0, *inner, len(line) - 1]]
+    breaks = [ends[:1]]
+    for a, b in pairwise(ends.tolist()):
+        more = a + cap * np.arange(1, np.ceil((b - a - 1e-6) / cap)) if cap < np.inf else np.zeros(0)
+        breaks += [more, [b]]
+    breaks = np.concatenate(breaks)
+    near = np.abs(place[:, None] - breaks)
+    breaks = np.where(near.min(0) <= 1e-6, place[near.argmin(0)], breaks)
+    corners = np.stack([np.interp(breaks, place, line[:, k]) for k in (0, 1)], 1)
+    first, last = np.searchsorted(place, breaks[:-1], "right"), np.searchsorted(place, breaks[1:], "left")
+    return [np.concatenate([corners[k : k + 1], line[f:t], corners[k + 1 : k + 2]]) for k, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True))]
 
 
 def split(streets: DataFrame, crossings: DataFrame | None = None, max_length_m: float | None = 200.0) -> DataFrame:
@@ -87,24 +78,27 @@ def split(streets: DataFrame, crossings: DataFrame | None = None, max_length_m:
         for b in batches:
             ids, nos, pts = [], [], []
             for i, p, at in zip(*(b.column(c).to_pylist() for c in ("street_id", "pts", "at")), strict=True):
-                for no, seg in enumerate(cut([(x["lon"], x["lat"]) for x in p], {(x["lon"], x["lat"]) for x in at or ()}, cap)):
+                for no, seg in enumerate(cut(np.array([(x["lon"], x["lat"]) for x in p]), {(x["lon"], x["lat"]) for x in at or ()}, cap)):
                     ids.append(i)
                     nos.append(no)
-                    pts.append([{"lon": x, "lat": y} for x, y in seg])
+                    pts.append([{"lon": x, "lat": y} for x, y in seg.tolist()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("street_id").type), pa.array(nos, pa.int32()), pa.array(pts, pair)], names=["street_id", "seg_no", "pts"])
 
     return lines.select("street_id", "pts", "at").mapInArrow(run, f"street_id {kind}, seg_no int, pts {POINTS}")
 
 
 def numbered(segments: DataFrame) -> DataFrame:
-    """With the running index i in the order of street_id and seg_no: counts of streets first, ranks within a street then."""
-    per = segments.groupBy("street_id").agg(F.count(F.lit(1)).alias("n"))
-    span = 1000
-    bucket = per.withColumn("bucket", F.floor(F.col("street_id") / span))
-    sums = bucket.groupBy("bucket").agg(F.sum("n").alias("n"))
-    before = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("b0"))
-    first = bucket.join(before, "bucket").withColumn("first", F.col("b0") + F.sum("n").over(Window.partitionBy("bucket").orderBy("street_id")) - F.col("n")).select("street_id", "first")
-    return segments.join(first, "street_id").withColumn("i", F.col("first") + F.row_number().over(Window.partitionBy("street_id").orderBy("seg_no")) - 1).drop("first")
+    """With the running index i in the order of street_id and seg_no.
+
+    The segments are dealt into ranges of the order, each counted first; what stands before
+    a range is summed over a row for each range.
+    """
+    spark = segments.sparkSession
+    ranges = stored(segments.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "street_id", "seg_no").withColumn("range", F.spark_partition_id()), "segments")
+    counts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("range").orderBy("street_id", "seg_no")
+    return ranges.join(before, "range").withColumn("i", F.col("before") + F.row_number().over(order) - 1).drop("range", "before")
 
 
 def live(roads: DataFrame, classes: list[str], layer: str = "road|street|transport", zoom: float = 14) -> tuple[DataFrame, float]:
@@ -121,6 +115,4 @@ def tile_rows(access: DataFrame, highway: DataFrame) -> DataFrame:
 
 def wide(by_mode: DataFrame) -> DataFrame:
     """(street_id, one column for each mode): the long form as the sidecars have it."""
-    from wayfare.operators.tables import MODES
-
     return by_mode.groupBy("street_id").pivot("mode", [m for _, m, *_ in MODES]).agg(F.first("dist_m"))

@@ -47,6 +47,7 @@ def case_mode(values: list[float], other: float, mode: str = "mode") -> str:
     return f"case {mode} " + " ".join(f"when '{m}' then {v}e0" for (_, m, *_), v in zip(MODES, values, strict=True)) + f" else {other}e0 end"
 
 
+MATCHED = f"(x <> '' and y <> '' and (x = y or (length(x) >= 5 and (contains(x, y) or contains(y, x))) or (case when least(len(wx), len(wy)) > 0 then len(list_intersect(wx, wy))/least(len(wx), len(wy)) >= 0.6 else false end)))"
 SPEED, LINK = case_mode([m[3] for m in MODES], 22, "{m}"), case_mode([m[4] for m in MODES], 3000, "{m}")
 XY = "6371008.8e0*radians({p}.lon{k})*cos(radians(r.ref)) as {q}x{k}, 6371008.8e0*radians({p}.lat{k}) as {q}y{k}"
 #: Least distance of each street from each open station.
@@ -140,13 +141,13 @@ def curated_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations.reconcile(own, curated(spark)).select("id", "mode")
 
 
-@query(f"""with a as (select id, name, {norm_name('name')} as n from {{stations}} where id % 2 = 0), b as (select stop_id, name, {norm_name('name')} as n from {{stops}} where stop_id % 7 = 1),
-t as (select a.id, b.stop_id, a.n as x, b.n as y, list_distinct(list_filter(string_split(a.n, ' '), lambda w: length(w) > 2)) as wx, list_distinct(list_filter(string_split(b.n, ' '), lambda w: length(w) > 2)) as wy from a join b on b.stop_id - a.id between -30 and 30)
-select id, stop_id, (x <> '' and y <> '' and (x = y or (length(x) >= 5 and (contains(x, y) or contains(y, x))) or (case when least(len(wx), len(wy)) > 0 then len(list_intersect(wx, wy))/least(len(wx), len(wy)) >= 0.6 else false end))) as matched from t""")
+@query(f"""with p as (select s.id, t.stop_id, {hav('s', 't')} as m, {norm_name('s.name')} as x, {norm_name('t.name')} as y from {{stations}} s join {{stops}} t on s.mode = t.mode and abs(s.lat - t.lat) < 0.01),
+t as (select *, list_distinct(list_filter(string_split(x, ' '), lambda w: length(w) > 2)) as wx, list_distinct(list_filter(string_split(y, ' '), lambda w: length(w) > 2)) as wy from p where m <= 650)
+select id, stop_id, {MATCHED} as matched from t""")
 def name_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = view(spark, sf_dir, "stations").where("id % 2 = 0").select("id", F.col("name").alias("x"), F.explode(F.sequence(F.floor((F.col("id") - 30) / 64), F.floor((F.col("id") + 30) / 64))).alias("band"))
-    b = view(spark, sf_dir, "stops").where("stop_id % 7 = 1").select("stop_id", F.col("name").alias("y"), F.floor(F.col("stop_id") / 64).alias("band"))
-    return a.join(b, "band").where(F.abs(F.col("stop_id") - F.col("id")) <= 30).select("id", "stop_id", text.names_match(F.col("x"), F.col("y")).alias("matched"))
+    """Whether the names of stations and stops of one mode within 650 m match, of all such pairs."""
+    pairs = schedule.near_stops(view(spark, sf_dir, "stations"), view(spark, sf_dir, "stops"))
+    return pairs.select(F.col("station_id").alias("id"), "stop_id", text.names_match(F.col("sn"), F.col("tn")).alias("matched"))
 
 
 # --- streets and access ---
@@ -237,10 +238,26 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streets.junctions(_streets(spark, sf_dir, 3))
 
 
-@query()
+HAV_XY = HAVERSINE.replace("{lat1}", "a_lat").replace("{lat2}", "lat").replace("{lon1}", "a_lon").replace("{lon2}", "lon")
+SEGMENTS = f"""pts as (select street_id, i, round(lon, 3) as lon, round(lat, 3) as lat from {{vertices}}),
+crossings as (select lon, lat from pts group by 1, 2 having count(distinct street_id) > 1),
+lagged as (select *, lag(lon) over w as a_lon, lag(lat) over w as a_lat from pts window w as (partition by street_id order by i)),
+line as (select *, coalesce(sum(case when a_lon is null then 0e0 else {HAV_XY} end) over (partition by street_id order by i rows unbounded preceding), 0e0) as place from lagged where a_lon is null or a_lon <> lon or a_lat <> lat),
+ends as (select street_id, place from (select l.*, row_number() over (partition by street_id order by i) as k, count(*) over (partition by street_id) as n from line l) x where n > 1 and (k = 1 or k = n or exists (select 1 from crossings c where c.lon = x.lon and c.lat = x.lat))),
+stretches as (select street_id, place as s, lead(place) over (partition by street_id order by place) as e from ends),
+breaks as (select street_id, s + k*200e0 as place from stretches, range(0, 10000) r(k) where e is not null and (k = 0 or s + k*200e0 < e - 1e-6) union select street_id, max(place) from ends group by 1),
+segs as (select street_id, place as p, lead(place) over (partition by street_id order by place) as q, cast(row_number() over (partition by street_id order by place) - 1 as int) as seg_no from breaks),
+spans as (select l.street_id, l.place as p0, lead(l.place) over w as p1, l.lon as x0, l.lat as y0, lead(l.lon) over w as x1, lead(l.lat) over w as y1 from line l window w as (partition by l.street_id order by l.i)),
+spot as (select b.street_id, b.place, x0 + (x1 - x0)*((b.place - p0)/(p1 - p0)) as lon, y0 + (y1 - y0)*((b.place - p0)/(p1 - p0)) as lat, row_number() over (partition by b.street_id, b.place order by p0) as r from breaks b join spans s on s.street_id = b.street_id and b.place >= p0 and b.place <= p1)"""
+
+
+@query(f"""with {SEGMENTS} select g.street_id, seg_no, 2 + (select count(*) from line l where l.street_id = g.street_id and l.place > p and l.place < q) as points,
+  round(a.lon, 6) as lon1, round(a.lat, 6) as lat1, round(b.lon, 6) as lon2, round(b.lat, 6) as lat2
+from segs g join spot a on a.street_id = g.street_id and a.place = p and a.r = 1 join spot b on b.street_id = g.street_id and b.place = q and b.r = 1 where q is not null""")
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _streets(spark, sf_dir, 3)
-    return streets.split(own, streets.junctions(own))
+    at = lambda k, c: F.round(F.element_at("pts", k)[c], 6)
+    return streets.split(own, streets.junctions(own)).select("street_id", "seg_no", F.size("pts").cast("long").alias("points"), at(1, "lon").alias("lon1"), at(1, "lat").alias("lat1"), at(-1, "lon").alias("lon2"), at(-1, "lat").alias("lat2"))
 
 
 # --- schedules ---
@@ -307,9 +324,6 @@ def ride_edge_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.ride_edges(view(spark, sf_dir, "timed"))
 
 
-MATCHED = f"(x <> '' and y <> '' and (x = y or (length(x) >= 5 and (contains(x, y) or contains(y, x))) or (case when least(len(wx), len(wy)) > 0 then len(list_intersect(wx, wy))/least(len(wx), len(wy)) >= 0.6 else false end)))"
-
-
 @query(f"""with p as (select s.id, s.ord, t.stop_id, {hav('s', 't')} as m, {norm_name('s.name')} as x, {norm_name('t.name')} as y from {{stations}} s join {{stops}} t on s.mode = t.mode and abs(s.lat - t.lat) < 0.01),
 w as (select *, list_distinct(list_filter(string_split(x, ' '), lambda w: length(w) > 2)) as wx, list_distinct(list_filter(string_split(y, ' '), lambda w: length(w) > 2)) as wy from p where m <= 650),
 k as (select * from w where m <= 140 or {MATCHED}), c as (select *, greatest(180e0, min(m) over (partition by id) + 120) as cut from k)
@@ -391,26 +405,47 @@ def scheduled_sql(targets: tuple[int, ...]) -> str:
 select id as station_id, round(coalesce(b.minutes, 90e0), 6) as minutes from {{open_stations}} left join best b on b.node = id and b.svc = ''"""
 
 
-def _scheduled(spark: SparkSession, sf_dir: str, targets: tuple[int, ...], with_legs: bool = False) -> DataFrame:
+def _scheduled(spark: SparkSession, sf_dir: str, targets: tuple[int, ...]) -> dict[str, DataFrame]:
     own = view(spark, sf_dir, "open_stations")
     dest = spark.createDataFrame([(0, t) for t in targets], "dest int, station_id long")
-    return graph.transit_times(dest, own, graph.transfer_edges(own), service_waits=view(spark, sf_dir, "waits"), rides=view(spark, sf_dir, "rides"), with_legs=with_legs)
+    return {"destinations": dest, "stations": own, "edges": graph.transfer_edges(own), "service_waits": view(spark, sf_dir, "waits"), "rides": view(spark, sf_dir, "rides")}
 
 
 @query(scheduled_sql((0,)))
 def transit_times_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scheduled(spark, sf_dir, (0,)).select("station_id", F.round("minutes", 6).alias("minutes"))
+    return graph.transit_times(**_scheduled(spark, sf_dir, (0,))).select("station_id", F.round("minutes", 6).alias("minutes"))
 
 
 @query(scheduled_sql(DESTINATIONS))
 def transit_times_multi_dest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scheduled(spark, sf_dir, DESTINATIONS).select("station_id", F.round("minutes", 6).alias("minutes"))
+    return graph.transit_times(**_scheduled(spark, sf_dir, DESTINATIONS)).select("station_id", F.round("minutes", 6).alias("minutes"))
+
+
+KINDS = """rides2 as (select * from {rides} where minutes > 0), services2 as (select src as s, service_key as k from rides2 union select dst, service_key from rides2),
+steps as (select s as src, k as ssvc, s as dst, '' as dsvc, 0e0 as minutes, 'alight' as kind from services2
+  union all select s, '', s, k, coalesce(w.wait_min, 4e0), 'wait' from services2 left join {waits} w on w.station_id = s and w.service_key = k
+  union all select src, service_key, dst, service_key, minutes, 'ride' from rides2
+  union all select src, '', dst, '', min(minutes), 'transfer' from (select src, dst, minutes from walk1 union all select dst, src, minutes from walk1) group by 1, 3)"""
+
+
+def legs_sql(target: int) -> str:
+    """Of the steps that lead on in the same time the first by kind, station and service; rides of one service and mode that follow each other are one leg."""
+    return f"""{walks_sql(250)}, {KINDS}, {_times_sql('steps', (target,))},
+tried as (select s.*, row_number() over (partition by s.src, s.ssvc order by s.kind, s.dst, s.dsvc, s.minutes) as r from steps s join best a on a.node = s.src and a.svc = s.ssvc join best b on b.node = s.dst and b.svc = s.dsvc
+  where (b.minutes < a.minutes or s.kind = 'alight') and b.minutes + s.minutes <= a.minutes + 1e-9 and not (s.src = {target} and s.ssvc = '')),
+taken as (select * from tried where r = 1),
+way(station_id, nth, kind, src, dst, service_key, minutes, node, svc) as (
+  select b.node, 0, t.kind, t.src, t.dst, case when t.dsvc <> '' then t.dsvc else t.ssvc end, t.minutes, t.dst, t.dsvc from best b join taken t on t.src = b.node and t.ssvc = '' where b.svc = '' and b.minutes < 90
+  union all select w.station_id, nth + 1, t.kind, t.src, t.dst, case when t.dsvc <> '' then t.dsvc else t.ssvc end, t.minutes, t.dst, t.dsvc from way w join taken t on t.src = w.node and t.ssvc = w.svc),
+told as (select station_id, nth, kind as type, w.src, w.dst, case when kind <> 'transfer' then service_key end as service_key, case when kind <> 'wait' then s.mode end as mode, minutes from way w join {{open_stations}} s on s.id = w.src where kind <> 'alight'),
+met as (select *, case when type = 'ride' and lag(type) over o = 'ride' and lag(service_key) over o is not distinct from service_key and lag(mode) over o is not distinct from mode and lag(dst) over o = src then 0 else 1 end as fresh from told window o as (partition by station_id order by nth)),
+run as (select *, cast(sum(fresh) over (partition by station_id order by nth rows unbounded preceding) - 1 as int) as leg_no from met),
+legs as (select station_id, leg_no, arg_min(type, nth) as type, arg_min(src, nth) as src, arg_max(dst, nth) as dst, any_value(service_key) as service_key, any_value(mode) as mode, sum(minutes) as minutes from run group by 1, 2)"""
 
 
-@query()
+@query(f"/*recursive*/with {legs_sql(0)} select station_id, leg_no, type, src, dst, service_key, mode, round(minutes, 6) as minutes from legs")
 def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = _scheduled(spark, sf_dir, (0,), with_legs=True).select("station_id", F.posexplode("legs").alias("leg_no", "leg"))
-    return legs.select("station_id", "leg_no", "leg.*")
+    return graph.routes(**_scheduled(spark, sf_dir, (0,))).drop("dest").withColumn("minutes", F.round("minutes", 6))
 
 
 TIMES = "times as (select id as station_id, cast(id*7 % 110 as double) as minutes from {open_stations} where id % 6 <> 2)"
@@ -439,10 +474,10 @@ def viewport_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.viewport_counts(view(spark, sf_dir, "stations"), _best(spark, sf_dir), BOX, 2 * YELLOW)
 
 
-@query(f"""/*recursive*/with pairs as (select a.id as x, b.id as y from {{stations}} a join {{stations}} b on a.mode = b.mode and {norm('a.name')} = {norm('b.name')} and a.id <> b.id and {hav('a', 'b')} <= 180
-  union select id, id + 9 from {{stations}} where id % 4 = 1 and id + 9 in (select id from {{stations}}) union select id + 9, id from {{stations}} where id % 4 = 1 and id + 9 in (select id from {{stations}})),
-reach(src, node) as (select id, id from {{stations}} union select r.src, p.y from reach r join pairs p on p.x = r.node)
-select src as station_id, arg_min(node, row(name, node)) as complex_id from reach join {{stations}} on id = node group by 1""")
+@query(f"""/*recursive*/with pairs as (select a.id as x, b.id as y from {{open_stations}} a join {{open_stations}} b on a.mode = b.mode and {norm('a.name')} = {norm('b.name')} and a.id <> b.id and {hav('a', 'b')} <= 180
+  union select id, id + 9 from {{open_stations}} where id % 4 = 1 and id + 9 in (select id from {{open_stations}}) union select id + 9, id from {{open_stations}} where id % 4 = 1 and id + 9 in (select id from {{open_stations}})),
+reach(src, node) as (select id, id from {{open_stations}} union select r.src, p.y from reach r join pairs p on p.x = r.node)
+select src as station_id, arg_min(node, row(name, node)) as complex_id from reach join {{open_stations}} on id = node group by 1""")
 def station_complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = view(spark, sf_dir, "stations")
     return graph.complexes(own, own.where("id % 4 = 1").select(F.col("id").alias("src"), (F.col("id") + 9).alias("dst")))

@@ -23,6 +23,20 @@ select s_suppkey as id, cast(s_suppkey as int) as ord, concat('Estación ', cast
   case when s_suppkey % 2 = 0 then 'Metrobús' else concat('Red ', cast(s_suppkey % 9 as string)) end as network
 from {{supplier}}""",
     "open_stations": "select * from {stations} where status = 'open'",
+    "future_stations": "select * from {stations} where status <> 'open'",
+    "station_times": "select id as station_id, cast(id*7 % 110 as double) + cast(0.255 as double) as minutes from {stations} where id % 6 <> 2",
+    "services": "select * from (values ('S0', 'subway', '1'), ('S1', 'brt', ''), ('S3', 'tram', '3'), ('X', 'cable_car', 'X')) as v(route_id, mode, name)",
+    "transfers": """
+select concat('t', cast(s_suppkey as string)) as from_stop_id, concat('t', cast((s_suppkey*7 + s_suppkey % 3) % 11 as string)) as to_stop_id,
+  case s_suppkey % 4 when 0 then '3' when 1 then '' else '2' end as transfer_type, case s_suppkey % 5 when 0 then '' when 1 then '0' else cast(s_suppkey*10 % 400 as string) end as min_transfer_time
+from {supplier}""",
+    "stop_station": "select concat('t', cast(s_suppkey as string)) as stop_id, s_suppkey {D} 2 as station_id from {supplier}",
+    "roads": """
+select p_partkey as ord, case p_partkey % 5 when 0 then 'motorway' when 1 then 'primary' when 2 then 'path' when 3 then 'street' else 'rail' end as class,
+  case p_partkey % 3 when 0 then '' else 'bridge' end as brunnel, case p_partkey % 4 when 0 then 'road_major' when 1 then 'transport' else 'water' end as layer,
+  case when p_partkey % 13 = 7 then null else cast(p_partkey*17 % 300 as bigint) end as i, case when p_partkey % 26 = 7 then null else concat('f', cast(p_partkey % 40 as string)) end as feature_id,
+  cast(p_partkey % 50 as double) as x
+from {part}""",
     "vertices": """
 select p_partkey as street_id, i,
   cast(-99.21 as double) + ((p_partkey*613) % 1009)/cast(9000 as double) + i*((p_partkey % 5) - 2)*cast(0.0011 as double) as lon,
@@ -66,13 +80,13 @@ select s_suppkey as stop_id, concat('Metro Estación ', cast(s_suppkey {D} 3 as
 from {supplier} join {stations} on id = s_suppkey""",
     "calendar": """
 select distinct o_orderpriority as service_id, cast(o_custkey % 2 as string) as monday, cast(length(o_orderpriority) % 2 as string) as tuesday, '1' as wednesday, '0' as thursday,
-  cast(o_custkey % 3 {D} 2 as string) as friday, '0' as saturday, '0' as sunday from {orders} where o_custkey % 50 = 1""",
+  cast(o_custkey % 3 {D} 2 as string) as friday, '0' as saturday, '0' as sunday from {orders}""",
     "calendar_dates": """
 select distinct o_orderpriority as service_id, concat('2024', substr('010203040506070809101112', cast(1 + 2*(o_orderkey % 12) as int), 2), substr('0611162126', cast(1 + 2*(o_custkey % 5) as int), 2)) as date,
-  cast(1 + o_orderkey % 2 as string) as exception_type from {orders} where o_orderkey % 97 = 0""",
+  cast(1 + o_orderkey % 2 as string) as exception_type from {orders}""",
     "frequencies": """
 select o_orderkey as trip_id, cast(300 + o_custkey % 200 as double) as start_min, cast(300 + o_custkey % 200 + 30 + o_orderkey % 90 as double) as end_min,
-  cast(5 + o_orderkey % 8 as double) as headway_min, cast(o_custkey % 4 as double) as offset_min from {orders} where o_orderkey % 3 = 0""",
+  cast(5 + o_orderkey % 8 as double) as headway_min, cast(o_custkey % 4 as double) as offset_min from {orders}""",
     "tagged": """
 select s_suppkey as id, cast(s_suppkey as int) as ord,
   case s_suppkey % 12 when 0 then 'Plaza Maguey' when 1 then 'Lechería' when 2 then 'Cantil' else concat('Parada ', cast(s_suppkey as string)) end as name,
@@ -89,8 +103,8 @@ select s_suppkey as ord, concat('node/', cast(s_suppkey as string)) as id, case
   case s_suppkey % 4 when 0 then cast(19.337368 as double) when 1 then cast(19.7236 as double) when 2 then cast(19.2731 as double) else cast(19.329607 as double) end + (s_suppkey % 19 - 9)*cast(0.003 as double) as lat
 from {supplier}""",
 }
-#: The same of all orders.
-VIEWS |= {f"all_{n}": VIEWS[n][: VIEWS[n].rindex(" where ")] for n in ("calendar", "calendar_dates", "frequencies")}
+#: The same under names that queries had for all orders.
+VIEWS |= {f"all_{n}": VIEWS[n] for n in ("calendar", "calendar_dates", "frequencies")}
 TABLES = ("supplier", "part", "lineitem", "orders", "events", "nation", "customer", "region")
 WORDS = {"spark": {"D": "div", "WEEKDAY": "weekday(ts)", "SECOND": "floor(second(ts))"}, "duckdb": {"D": "//", "WEEKDAY": "cast(isodow(ts) - 1 as int)", "SECOND": "second(ts)"}}
 

@@ -120,4 +120,5 @@ def in_metro(stations: DataFrame, edges: DataFrame, box: tuple[float, float, flo
     west, south, east, north = box
     own = stations.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
     ids = own.select("id")
-    return own, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return own, inside.select(*edges.columns)
