@@ -69,3 +69,13 @@ def test_rows(spark):
     assert [[s["kind"] for s in r.spans] for r in got] == [["email", "ip"], ["email", "ip"], [], [], [], []]
     assert got[0].redacted == "[EMAIL] [IP]" and got[2].redacted is None
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_long_stretches_are_whole():
+    """In digits without a gap a span is found wherever it stands, and in every case of the words."""
+    weights = pii.trained()
+    for pad in range(4000, 4130, 7):
+        text = ("7 " * 3000)[:pad] + "call (415) 555-2671 or anna [at] mail [dOT] org " + "7 " * 500
+        at = pad + 5
+        assert ("phone", at, at + 14) in pii.all_spans(text, weights)[1]
+        assert ("email", at + 18, at + 42) in pii.all_spans(text, weights)[1]

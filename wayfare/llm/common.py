@@ -16,13 +16,16 @@ def work_root(spark: SparkSession) -> str:
     """The folder for work tables: spark.checkpoint.dir, which all executors share.
 
     Where it is unset, a local master gets one temporary folder per process, and a
-    cluster the warehouse folder, never a machine-local one.
+    cluster the warehouse folder, if that isn't local to a machine; else there is none, and an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if ":" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return warehouse + "/_work"
     if not _LOCAL_WORK:
         folder = tempfile.mkdtemp(prefix="wayfare-work-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

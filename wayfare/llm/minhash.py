@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Documents are linked if 100 * intersection >= percent * union of their shingle
     sets. component_id is the smallest id reachable over links. Texts that are
-    null, empty or white space have no shingles and no links. Rows that share an id
+    null, empty or white space have no shingles and no links. Ids are whole numbers, as columns or text of them. Rows that share an id
     count as linked; rows with a null id follow the documents with an equal set,
     and have a null component, and are kept, where there are none. An empty table
     gives an empty result.

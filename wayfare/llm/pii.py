@@ -26,7 +26,6 @@ from wayfare.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a match that fails at the start of a run of digits fails inside it too, so runs are tried once
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -81,23 +80,22 @@ DOT = re.compile(r"\bdot\b", re.I)
 AT = re.compile(r"[ \[(+-]at\b(?=[\])]? ?[a-z0-9-]{1,80}(?:\.| ?[\[(]?\bdot\b[\])]? ?)[a-z0-9-])", re.I)
 LONGEST = 15
 CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell"}, "card": {"card", "visa", "mastercard", "amex"}, "email": {"email", "mail", "contact"}, "ip": {"ip", "host", "server"}}
-GROUPS = 4096
 
 
 def signs(text: str) -> list[int]:
     """Where digits, at signs, the word dot and the word at of an address stand: without these a text has no segment that the field can be sure of."""
     found = [m.start() for m in SIGN.finditer(text)]
     words = [m.start() + 1 for m in AT.finditer(text)]
-    if "dot" in text or "DOT" in text or "Dot" in text:
+    if "dot" in text.lower():
         words += [m.start() for m in DOT.finditer(text)]
     return sorted({*found, *words}) if words else found
 
 
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Atoms around the signs, in stretches of about ``GROUPS`` characters."""
+    """Atoms around the signs: a stretch goes on as long as the next sign's surroundings touch it."""
     low = high = -1
     for at in signs(text):
-        if high >= 0 and at - 50 <= high and high - low < GROUPS:
+        if high >= 0 and at - 50 <= high:
             high = at + 60
             continue
         if high >= 0:
@@ -160,19 +158,25 @@ def scores(weights: Weights, found: list[list[tuple[int, list[str]]]]) -> list[l
     return [[(i, k, sum(weights.get((k, x), 0.0) for x in f), f) for i, f in own for k in KINDS] for own in found]
 
 
-def best(scored: list[list[tuple[int, str, float, list[str]]]]) -> list[tuple[int, int, str]]:
-    """The best segmentation: atoms outside of entities score 0, each on its own."""
-    value, back = [0.0] * len(scored), [(0, "")] * len(scored)
-    for j in range(1, len(scored)):
-        value[j], back[j] = value[j - 1], (j - 1, "")
-        for i, kind, s, _ in scored[j]:
-            if value[i] + s > value[j]:
-                value[j], back[j] = value[i] + s, (i, kind)
-    out, j = [], len(scored) - 1
+def best(text: str, atoms: list[tuple[str, int, int]], weights: Weights) -> list[tuple[int, int, str, float]]:
+    """The best segmentation and its scores: atoms outside of entities score 0, each on its own.
+
+    Segments are scored as their end is reached and only the best is kept, so however long a stretch is it is solved as a whole.
+    """
+    value, back = [0.0] * (len(atoms) + 1), [(0, "", 0.0)] * (len(atoms) + 1)
+    for j in range(1, len(atoms) + 1):
+        value[j], back[j] = value[j - 1], (j - 1, "", 0.0)
+        for i in range(max(0, j - LONGEST), j):
+            if f := features(text, atoms, i, j):
+                for kind in KINDS:
+                    s = sum(weights.get((kind, x), 0.0) for x in f)
+                    if value[i] + s > value[j]:
+                        value[j], back[j] = value[i] + s, (i, kind, s)
+    out, j = [], len(atoms)
     while j > 0:
-        i, kind = back[j]
+        i, kind, s = back[j]
         if kind:
-            out.append((i, j, kind))
+            out.append((i, j, kind, s))
         j = i
     return out[::-1]
 
@@ -274,10 +278,8 @@ def all_spans(text: str, weights: Weights, sure: float = 2.0) -> tuple[list[Span
     added: list[Span] = []
     taken, done = sorted((s, e) for _, s, e in base), 0
     for atoms in windows(text):
-        scored = scores(weights, candidates(text, atoms))
-        for i, j, kind in best(scored):
+        for i, j, kind, value in best(text, atoms, weights):
             start, end = atoms[i][1], atoms[j - 1][2]
-            value = next(s for a, k, s, _ in scored[j] if a == i and k == kind)
             near = bisect_left(taken, (end, -1))  # spans of one kind don't overlap, so at most a few before it reach here
             if value >= sure and start >= done and not any(e > start for _, e in taken[max(0, near - 8) : near]):
                 added.append((kind, start, end))
