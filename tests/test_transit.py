@@ -172,11 +172,11 @@ def test_scheduled_times(spark, nodes, rows_):
 
 def test_search_and_joins_agree(spark):
     """On the network of the tables, for several destinations: times, what is boarded, and legs."""
-    sf = "/root/testdata/sf0.01"
-    net = catalog._scheduled(spark, sf, (0, 12)) | {"destinations": spark.createDataFrame([(1, 0), (1, 12), (2, 7)], "dest int, station_id long")}
+    sf = "/root/testdata/sf0.001"
+    net = catalog._scheduled(spark, sf, (0,)) | {"destinations": spark.createDataFrame([(1, 0), (1, 3), (2, 7)], "dest int, station_id long")}
     for what in (graph.transit_times, graph.routes):
         a, b = (sorted([tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in what(**net, graph_rows=n).collect()], key=str) for n in (graph.GRAPH_ROWS, 0))
-        assert a == b and len(a) > 100
+        assert a == b and len(a) > 10
 
 
 def test_best_access(spark):

@@ -66,6 +66,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             root = "file://" + _LOCAL[0]
         else:
             root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+            if ":" not in root or root.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
