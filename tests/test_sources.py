@@ -19,6 +19,8 @@ def test_gtfs(spark, tmp_path):
     assert table.count() == 5 and table.first().stop_name == 'Big "A", hall' and table.first().stop_code == ""
     assert gtfs.read_zip(spark, str(tmp_path / "feed.zip"), "stops").collect() == table.collect()
     assert gtfs.read_zip(spark, str(tmp_path / "feed.zip"), "transfers").count() == 0
+    (tmp_path / "routes.txt").write_text('route_id,route_desc\n1,"two\nlines"\n2,x\n')
+    assert [(r.route_id, r.route_desc) for r in gtfs.read_table(spark, str(tmp_path), "routes").collect()] == [("1", "two\nlines"), ("2", "x")]
     rows = gtfs.stop_rows(table)
     assert sorted(r.stop_id for r in rows.collect()) == ["p", "s"]
     assert {r.stop_id: r.station_id for r in gtfs.station_of_stop(table, rows).collect()}["q"] == "p"
@@ -37,6 +39,10 @@ def test_geojson(spark, tmp_path):
     assert lines.first().pts[1].lon == -99.2 and geojson.as_elements(lines, ["h", "n"]).first().tags["h"] == "primary"
     geojson.write_features(lines, str(tmp_path / "out"), ["h", "n"], line=True)
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0])["geometry"]["coordinates"][0] == [-99.1, 19.4]
+    for n, some in ((1, lines), (2, lines.unionByName(lines))):
+        geojson.write_collection(some, str(tmp_path / f"c{n}"), ["h", "n"], line=True)
+        whole = json.loads("".join(r[0] for r in spark.read.text(str(tmp_path / f"c{n}")).collect()))
+        assert whole["type"] == "FeatureCollection" and [f["properties"]["n"] for f in whole["features"]] == ["Uno"] * n
     geojson.write_tiles(lines.withColumn("minzoom", F.lit(10)), str(tmp_path / "tiles"))
     assert geojson.read_tiles(spark, str(tmp_path / "tiles"), 12, -99.2, 19.3, -99.0, 19.5).count() == 1
     assert geojson.read_tiles(spark, str(tmp_path / "tiles"), 9, -99.2, 19.3, -99.0, 19.5).count() == 0
@@ -61,6 +67,7 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     q = departures.start(departures.departures_of(stream), str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert q.awaitTermination(120)
+    assert any(p.name.startswith("bucket=") for p in (tmp_path / "store").glob("batch=*/*"))
     got = departures.latest(spark, str(tmp_path / "out")).orderBy("user_id").collect()
     assert [(r.user_id, r.start_min, r.headway_min) for r in got] == [(0, 480.0, 20.0), (1, 490.0, 20.0)]
 

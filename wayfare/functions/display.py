@@ -57,6 +57,11 @@ def clamped_distance(metres: Column, most: int = MAX_DISTANCE_M) -> tuple[Column
     return F.least(metres, F.lit(most)), F.when(metres > most, F.lit(1))
 
 
+def format_integer(value: Column) -> Column:
+    """Rounded, with commas between thousands."""
+    return F.format_number(F.floor(value + 0.5).cast("long"), 0)
+
+
 def format_distance(metres: Column) -> Column:
     """Whole metres under 950, else kilometres with a decimal."""
     return F.when(metres < 950, F.concat(F.floor(metres + 0.5).cast("long").cast("string"), F.lit(" m"))).otherwise(F.format_string("%.1f km", metres.cast("double") / 1000))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geo
 from wayfare.functions.text import normalize
-from wayfare.operators.tables import MODES, stored
+from wayfare.operators.tables import MODES, small, stored
 
 TAGS = "map<string, string>"
 
@@ -200,8 +200,7 @@ def reconcile(stations: DataFrame, curated: DataFrame) -> DataFrame:
     c = curated.select(F.col("mode").alias("c_mode"), normalize(F.col("name"), trim=False).alias("c_name"), normalize(F.col("route_ref"), trim=False).alias("c_ref"), F.round("lon", 4).alias("c_lon"), F.round("lat", 4).alias("c_lat"))
     same = (F.col("mode") == F.col("c_mode")) & ((normalize(F.col("name"), trim=False) == F.col("c_name")) | ((F.col("mode") == "brt") & F.array_contains(refs(F.col("route_ref")), F.col("c_ref"))))
     near = geo.planar_distance(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat")) <= CURATED_M
-    # the curated rows are a fixed relation of a few dozen
-    left = own.join(F.broadcast(c), same & near, "left_anti")
+    left = own.join(small(c), same & near, "left_anti")
     return left.select(*curated.columns).unionByName(curated)
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions import display
+from wayfare.functions import display, geo
 from wayfare.operators import access, graph, schedule, stations, streets
 from wayfare.operators.tables import MODES
 from wayfare.plans.catalog import ACTIVE, BOX, BY_MODE, DAY_FLAGS, DISTANCES, SEGMENTS, TOP5, YELLOW, _scheduled, _streets, case_mode, legs_sql, query, ramp_sql
@@ -236,3 +236,21 @@ def boarding_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     return view(spark, sf_dir, "stations").select(i.alias("station_id"), F.concat(F.lit("#"), i.cast("string"), F.lit(" "), display.format_minutes((i * 7 % 130).cast("double")), F.lit(" "), display.format_clock(i % 24 * 60 + i * 7 % 60)).alias("label"))
+
+
+@query("""with v as (select p_partkey as k, -99.2e0 + p_partkey % 97*0.003e0 as lon, 19.3e0 + p_partkey % 89*0.002e0 as lat, p_partkey % 11/10e0 as t, p_partkey*7 % 6500 as d from part)
+select k, round((lon - (-99.1e0))*111320e0*cos(radians(19.4e0)), 3) as x, round((lat - 19.4e0)*111320e0, 3) as y, round(lon + (-99.1e0 - lon)*t, 6) as mid_lon, round(lat + (19.4e0 - lat)*t, 6) as mid_lat,
+  least(d, 5000) as clamped, case when d > 5000 then 1 end as over, case when d >= 1000 then concat(d // 1000, ',', lpad(cast(d % 1000 as varchar), 3, '0')) else cast(d as varchar) end as shown from v""")
+def street_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    own = view(spark, sf_dir, "part").select(k.alias("k"), (-99.2 + k % 97 * 0.003).alias("lon"), (19.3 + k % 89 * 0.002).alias("lat"), (k % 11 / 10).alias("t"), (k * 7 % 6500).alias("d"))
+    x, y = geo.project_planar(F.col("lon"), F.col("lat"), F.lit(-99.1), F.lit(19.4))
+    mid = geo.interpolate(F.col("lon"), F.lit(-99.1), F.col("t")), geo.interpolate(F.col("lat"), F.lit(19.4), F.col("t"))
+    clamped, over = display.clamped_distance(F.col("d"))
+    return own.select("k", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(mid[0], 6).alias("mid_lon"), F.round(mid[1], 6).alias("mid_lat"), clamped.alias("clamped"), over.alias("over"), display.format_integer(F.col("d")).alias("shown"))
+
+
+@query("""with b as (select min(lon) as w, max(lon) as e, min(lat) as s, max(lat) as n from {open_stations}), d as (select *, 500e0/111320e0 as dy, 500e0/(111320e0*cos(radians((s + n)/2))) as dx from b)
+select round(w - dx, 6) as west, round(s - dy, 6) as south, round(e + dx, 6) as east, round(n + dy, 6) as north from d""")
+def station_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "open_stations").agg(*geo.bounds(F.col("lon"), F.col("lat"), 6, 500.0))

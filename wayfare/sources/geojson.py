@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +51,31 @@ def as_elements(lines: DataFrame, tags: list[str]) -> DataFrame:
     return lines.select(F.lit("way").alias("type"), F.col("ord").cast("bigint").alias("id"), F.col("pts").cast(POINTS).alias("geometry"), F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*(F.col(t).cast("string") for t in tags))).alias("tags"))
 
 
-def write_features(df: DataFrame, path: str, properties: list[str], line: bool = False) -> None:
-    """One GeoJSON feature a line (newline-delimited), by as many writers as there are partitions."""
+def _as_features(df: DataFrame, properties: list[str], line: bool) -> DataFrame:
     coordinates = F.transform("pts", lambda p: F.array(p["lon"], p["lat"])) if line else F.array("lon", "lat")
     geometry = F.struct(F.lit("LineString" if line else "Point").alias("type"), coordinates.alias("coordinates"))
-    df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value")).write.mode("overwrite").text(path)
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+
+
+def write_features(df: DataFrame, path: str, properties: list[str], line: bool = False) -> None:
+    """One GeoJSON feature a line (newline-delimited), by as many writers as there are partitions."""
+    _as_features(df, properties, line).write.mode("overwrite").text(path)
+
+
+def write_collection(df: DataFrame, path: str, properties: list[str], line: bool = False) -> None:
+    """One FeatureCollection in the order of df: a single file, as the format asks for, so for what a map loads whole; its writer streams the features. Without features there is no file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                rows = "," + pdf["value"]
+                yield pd.DataFrame({"value": [rows.iloc[0][first:], *rows.iloc[1:]]})
+                first = False
+        yield pd.DataFrame({"value": ["]}"]})
+
+    _as_features(df, properties, line).coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_tiles(segments: DataFrame, path: str, degrees: float = 0.05) -> None:

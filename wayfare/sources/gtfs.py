@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,36 +30,34 @@ COLUMNS = {
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table of an extracted feed by its header; columns that the file lacks are empty."""
-    raw = spark.read.csv(f"{folder}/{table}.txt", header=True, multiLine=True, escape='"', inferSchema=False)
-    raw = raw.toDF(*(c.strip().lstrip("﻿") for c in raw.columns))
+    """A table of an extracted feed by its header; columns that the file lacks are empty.
+
+    A file is read in as many splits as it has, unless a quoted cell goes over a line's end: then it is one task's.
+    """
+    path = f"{folder}/{table}.txt"
+    open_ = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).limit(1).count()
+    raw = spark.read.csv(path, header=True, multiLine=bool(open_), escape='"', inferSchema=False)
+    raw = raw.toDF(*(c.strip().lstrip("\ufeff") for c in raw.columns))
     return raw.select(*((F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in raw.columns else F.lit("")).alias(c) for c in COLUMNS[table].split())).where(F.concat(*COLUMNS[table].split()) != "")
 
 
 def read_zip(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The same from zip files (a folder or pattern too), a file to a task; without the member no rows."""
+    """The same from zip files (a folder or pattern too), a file to a task, which streams the member from where it lies; without the member no rows."""
     names = COLUMNS[table].split()
 
-    def run(batches) -> Iterator:  # noqa: ANN001
-        import pandas as pd
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for place in pdf["path"]:
+                fs, own = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", place))
+                with fs.open_input_file(own) as f, zipfile.ZipFile(f) as z:
                     if f"{table}.txt" not in z.namelist():
                         continue
                     rows = csv.DictReader(io.TextIOWrapper(z.open(f"{table}.txt"), "utf-8-sig", newline=""))
-                    chunk = []
-                    for r in rows:
-                        own = [(r.get(n) or "") for n in names]
-                        if any(own):
-                            chunk.append(own)
-                        if len(chunk) == 50_000:
-                            yield pd.DataFrame(chunk, columns=names)
-                            chunk = []
-                    yield pd.DataFrame(chunk, columns=names, dtype=str)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{n} string" for n in names))
+                    while chunk := [[(r.get(n) or "") for n in names] for r in islice(rows, 50_000)]:
+                        yield pd.DataFrame([r for r in chunk if any(r)], columns=names, dtype=str)
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # their content isn't read here
+    return files.mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
 def stop_rows(stops: DataFrame) -> DataFrame:
