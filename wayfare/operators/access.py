@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo
-from wayfare.operators.tables import BROADCAST_ROWS, MODES, UNREACHABLE_MIN, small, stored
+from wayfare.operators.streets import MIN_ZOOM, OTHER_ZOOM, junctions, split
+from wayfare.operators.tables import BROADCAST_ROWS, MODES, UNREACHABLE_MIN, lookup, small, stored
 
 CELL_M = 2000.0
 FIRST_RADIUS_M = 1000.0
@@ -238,6 +239,21 @@ def street_features(edges: DataFrame, stations: DataFrame, most: int = 5000) ->
     return out[0].unionByName(out[1])
 
 
+def tile_features(streets: DataFrame, stations: DataFrame, max_length_m: float = 200.0, most: int = 5000) -> DataFrame:
+    """(street_id, seg_no, pool, mode, dist_m, station_ord, nearest_m, over, minzoom): streets as tiles have them.
+
+    Streets (street_id, pts, h) are cut at junctions and at max_length_m; each segment has the nearest open and
+    future station of each mode, distances to 25 m, most + 1 beyond. nearest_m: the least to an open
+    station, over: 1 where that is beyond; minzoom: the first zoom of the road's class.
+    """
+    cut = stored(split(streets, junctions(streets), max_length_m), "segments")
+    found = street_features(edges_of(cut.select(F.struct("street_id", "seg_no").alias("street_id"), "pts")), stations, most)
+    found = found.withColumn("nearest", F.min(F.when(F.col("pool") == "open", F.col("dist_m"))).over(Window.partitionBy("street_id")))
+    rows = found.select("street_id.*", "pool", "mode", display.tile_distance(F.col("dist_m"), most=most).alias("dist_m"), "station_ord", display.tile_distance(F.col("nearest"), most=most).alias("nearest_m"), F.when(F.col("nearest") > most, 1).alias("over"))
+    zoom = lookup(MIN_ZOOM, F.coalesce("h", F.lit("")), OTHER_ZOOM).cast("int").alias("minzoom")
+    return rows.join(streets.select("street_id", zoom).distinct(), "street_id").select("street_id", "seg_no", "pool", "mode", "dist_m", "station_ord", "nearest_m", "over", "minzoom")
+
+
 def included(stations: DataFrame, include_future: bool = False) -> DataFrame:
     """Open stations, and all with include_future."""
     return stations if include_future else stations.where("status = 'open'")

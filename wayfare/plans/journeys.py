@@ -72,6 +72,25 @@ def wide_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streets.wide(access.nearest(view(spark, sf_dir, "edges"), view(spark, sf_dir, "open_stations"), 1, by_mode=True))
 
 
+SEGMENT_EDGES = f"""{SEGMENTS},
+seg_points as (select g.street_id*1000 + seg_no as sid, a.place, a.lon, a.lat from segs g join spot a on a.street_id = g.street_id and a.place = p and a.r = 1 where q is not null
+  union all select g.street_id*1000 + seg_no, a.place, a.lon, a.lat from segs g join spot a on a.street_id = g.street_id and a.place = q and a.r = 1 where q is not null
+  union all select g.street_id*1000 + seg_no, l.place, l.lon, l.lat from segs g join line l on l.street_id = g.street_id and l.place > p and l.place < q where q is not null),
+seg_edges as (select * from (select sid as street_id, lon as lon1, lat as lat1, lead(lon) over w as lon2, lead(lat) over w as lat2 from seg_points window w as (partition by sid order by place)) where lon2 is not null)"""
+TILE = "case when {d} > 5000 then 5001 else cast(floor({d}/25e0 + 5e-1)*25 as int) end"
+TILES = f"""{SEGMENT_EDGES}, {BY_MODE}, {LATER},
+both_pools as (select street_id as sid, 'open' as pool, m.mode, least(dist_m, 5001) as dist_m, case when dist_m > 5000 then -1 else s.ord end as station_ord from by_mode m join {{stations}} s on s.id = station_id
+  union all select street_id, 'future', m.mode, least(dist_m, 5001), case when dist_m > 5000 then -1 else s.ord end from f_by_mode m join {{stations}} s on s.id = station_id),
+nearest as (select sid, min(dist_m) as n from both_pools where pool = 'open' group by 1)"""
+
+
+@query("with " + TILES.replace("{edges}", "seg_edges") + f""" select sid // 1000 as street_id, cast(sid % 1000 as int) as seg_no, pool, mode, {TILE.format(d='dist_m')} as dist_m, station_ord, {TILE.format(d='n')} as nearest_m, case when n > 5000 then 1 end as over,
+  case sid // 1000 % 4 when 0 then 8 when 1 then 10 else 13 end as minzoom from both_pools join nearest using (sid)""")
+def tile_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.element_at(F.array(*map(F.lit, ("motorway", "primary", "residential", "path"))), (F.col("street_id") % 4 + 1).cast("int"))
+    return access.tile_features(_streets(spark, sf_dir, 3).withColumn("h", h), view(spark, sf_dir, "stations"))
+
+
 @query("select ord, class, i from (select *, row_number() over (partition by coalesce('i' || cast(i as varchar), 'f' || feature_id) order by ord) as r from {roads} where i is not null or feature_id is not null) where r = 1")
 def rendered_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.rendered_once(view(spark, sf_dir, "roads")).select("ord", "class", "i")
