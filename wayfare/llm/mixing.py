@@ -100,12 +100,12 @@ def schedule(per: DataFrame) -> DataFrame:
     ranges = at.agg(F.max("total").alias("total"), F.max("wide").alias("wide")).where("total > 0").select("total", "wide", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / STEP))).alias("range"))
     dealt = ranges.repartition("range").select("total", "wide", "range", F.explode(F.sequence(F.col("range") * STEP, F.least(F.col("range") * STEP + STEP, F.col("total")) - 1)).alias("slot"))
     dealt = dealt.withColumn("t", F.floor(point(F.col("slot")) / F.lit(float(POINTS)) * F.col("total"))).withColumn("cell", F.floor(F.col("t") / F.col("wide")))
-    drawn = dealt.join(spread, "cell").where("low <= t and t < high").select("slot", "range", "s", "n", "blocks", "low")
+    drawn = dealt.join(spread.hint("merge"), "cell").where("low <= t and t < high").select("slot", "range", "s", "n", "blocks", "low")
     # ranks within ranges of slots first, then over the ranges' counts
     counts = drawn.groupBy("low", "range").agg(F.count(F.lit(1)).alias("c"))
     before = counts.select("low", "range", (F.sum("c").over(Window.partitionBy("low").orderBy("range")) - F.col("c")).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("low", "range").orderBy("slot")) - 1
-    return drawn.join(before, ["low", "range"]).select("slot", "s", "n", "blocks", rank.cast("long").alias("rank"))
+    return drawn.join(before.hint("merge"), ["low", "range"]).select("slot", "s", "n", "blocks", rank.cast("long").alias("rank"))
 
 
 def pieces(sized: DataFrame, per: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def pieces(sized: DataFrame, per: DataFrame) -> DataFrame:
     sums = hashed.groupBy(*key).agg(F.sum("size").alias("words"))
     sums = sums.select(*key, (F.sum("words").over(Window.partitionBy("s", "n").orderBy("bucket")) - F.col("words")).alias("before"))
     within = Window.partitionBy(*key).orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(sums, key).withColumn("first", F.col("before") + F.sum("all").over(within) - F.col("all"))
+    placed = rows.join(sums.hint("merge"), key).withColumn("first", F.col("before") + F.sum("all").over(within) - F.col("all"))
     placed = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: F.col("first") + k * F.col("size"))))
     placed = placed.join(per.select("s", "n", "length"), ["s", "n"])
     start, end, length = F.col("start"), F.col("start") + F.col("size"), F.col("length")
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     per, _ = stored(blocks(targets(sized, weights, share, most), block, least_slots), "mix-targets")
     used = schedule(per).where(F.col("rank") < most * F.col("blocks")).groupBy("s", "n", F.pmod("rank", "blocks").alias("b")).agg(F.count(F.lit(1)).alias("uses"), F.min("slot").alias("slot"))
 
-    got = pieces(sized, per).join(used, ["s", "n", "b"], "left").groupBy("s", "n", "start").agg(
+    got = pieces(sized, per).join(used.hint("merge"), ["s", "n", "b"], "left").groupBy("s", "n", "start").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("size").alias("size"),
         F.coalesce(F.sum(F.col("uses") * F.col("words")), F.lit(0)).cast("long").alias("taken"),
