@@ -39,3 +39,9 @@ def test_query_rows(spark):
     assert [r.n_tokens for r in got] == [2, 2, 0, 0] and got[2].decoded == "" and got[0].decoded == "the</w> cat</w>"
     assert hashlib.sha256(bytes(got[2].ids)).hexdigest() == hashlib.sha256(b"").hexdigest()
     assert encode(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "The cat sat, on 12 mats. " * 60_000 + "x" * 20_000
+    got = encode(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), VOCABULARY).orderBy("doc_id").collect()
+    assert np.frombuffer(got[0].ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids and got[1].n_tokens == 1

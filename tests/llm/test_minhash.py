@@ -95,8 +95,8 @@ def test_shared_most_but_not_enough(spark):
     assert seen[0] < 400
 
 
-def test_sizes_and_thresholds(spark):
-    """Pairs at the edge of the similarity, of unlike sizes, at several thresholds."""
+def test_unlike_sizes(spark):
+    """Pairs at the edge of the similarity, of unlike sizes."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
     rows = []
@@ -104,8 +104,5 @@ def test_sizes_and_thresholds(spark):
         base = [word() for _ in range(rng.randint(30, 120))]
         rows += [base, base + [word() for _ in range(int((len(base) - 4) * rng.choice([0.1, 0.3, 0.33, 0.34, 0.4])))]]
     rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
-    for percent in (75, 90):
-        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent)
-        want = brute(rows) if percent == 75 else None
-        assert want is None or set(map(tuple, got.collect())) == want
-        assert got.where("kept").count() >= 40
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(map(tuple, got.collect())) == brute(rows)
