@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import display, geo
 from wayfare.operators import access, graph, schedule, stations, streets
 from wayfare.operators.tables import MODES
-from wayfare.plans.catalog import ACTIVE, BOX, BY_MODE, DAY_FLAGS, DISTANCES, SEGMENTS, TOP5, YELLOW, _scheduled, _streets, case_mode, legs_sql, query, ramp_sql
+from wayfare.plans.catalog import ACTIVE, BOX, BY_MODE, DAY_FLAGS, DISTANCES, SEGMENTS, STATES, TOP5, YELLOW, _scheduled, _streets, case_mode, legs_sql, query, ramp_sql, walks_sql
 from wayfare.plans.synth import view
 from wayfare.sources import gtfs
 
@@ -273,3 +273,15 @@ def street_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 select round(w - dx, 6) as west, round(s - dy, 6) as south, round(e + dx, 6) as east, round(n + dy, 6) as north from d""")
 def station_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "open_stations").agg(*geo.bounds(F.col("lon"), F.col("lat"), 6, 500.0))
+
+
+@query(f"""/*recursive*/with {walks_sql(250)}, {STATES},
+best(dest, node, svc, minutes) using key (dest, node, svc) as (select id as dest, id as node, '' as svc, 0e0 as minutes from {{open_stations}} union
+  select n.dest, n.src, n.ssvc, n.m from (select b.dest, e.src, e.ssvc, min(b.minutes + e.minutes) as m from best b join steps e on e.dst = b.node and e.dsvc = b.svc group by 1, 2, 3) n
+  left join recurring.best r on r.dest = n.dest and r.node = n.src and r.svc = n.ssvc where r.minutes is null or n.m < r.minutes)
+select d.id as dest, s.id as station_id, round(coalesce(b.minutes, 90e0), 6) as minutes from {{open_stations}} d cross join {{open_stations}} s left join best b on b.dest = d.id and b.node = s.id and b.svc = ''""")
+def transit_times_every_dest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each station to each other."""
+    net = _scheduled(spark, sf_dir, (0,))
+    net["destinations"] = net["stations"].select(F.col("id").alias("dest"), F.col("id").alias("station_id"))
+    return graph.transit_times(**net).select("dest", "station_id", F.round("minutes", 6).alias("minutes"))
