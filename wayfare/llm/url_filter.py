@@ -135,8 +135,8 @@ def templates(pages: DataFrame, least: int = 5, z: float = 1.96, weight: float =
         seg = live.groupBy("host", "template", "s").agg(*sums, *deeper(F.col("rest") - 1), F.first("pp").alias("up"))
         own = F.replace(F.replace(F.col("s"), F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C"))
         seg = keep(seg.withColumn("name", F.when((F.col("n") >= least) & (F.col("labelled") > 0), own).otherwise("*")), "url-segments")
-        kids = keep(seg.groupBy("host", "template", "name").agg(*sums, F.first("up").alias("up")), "url-kids")
-        label = keep(merged(kids, z, weight), "url-labels")
+        kids = seg.groupBy("host", "template", "name").agg(*sums, F.first("up").alias("up"))
+        label = merged(kids, z, weight)
         seg = keep(seg.join(label.hint("merge"), ["host", "template", "name"]).withColumn("next", F.concat("template", F.lit("/"), "label")), "url-level")
         nodes = seg.groupBy("host", F.col("next").alias("template")).agg(*sums, *(F.sum(f"deep_{c}").alias(f"deep_{c}") for c in ("n", "labelled", "good")), F.first("up").alias("up"))
         nodes = keep(nodes.select("host", "template", smoothed("good", "labelled", "up").alias("pp"), grows.alias("grows")), "url-nodes")
