@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +26,6 @@ def haversine_py(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(a)))
 
 
-def haversine_np(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same for rows of lon, lat."""
-    (dlon, dlat), lat1, lat2 = np.radians(b - a).T / 2, np.radians(a[:, 1]), np.radians(b[:, 1])
-    return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(np.sin(dlat) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(dlon) ** 2)))
-
-
 def project(lon: Column, lat: Column, reference_lat: Column | float) -> tuple[Column, Column]:
     """Equirectangular x and y about a reference latitude."""
     ref = F.lit(reference_lat) if isinstance(reference_lat, (int, float)) else reference_lat

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +37,31 @@ def junctions(streets: DataFrame) -> DataFrame:
     return points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("streets")).where("streets > 1")
 
 
-def cut(points: np.ndarray, at: set[tuple[float, float]], cap: float) -> list[np.ndarray]:
-    """A polyline (rows of lon, lat) in segments: at inner junctions, and in each stretch between them wherever a multiple of the cap is reached.
+def cut(points: list[tuple[float, float]], at: set[tuple[float, float]], cap: float) -> list[list[tuple[float, float]]]:
+    """A polyline in segments: at inner junctions, and in each stretch between them wherever a multiple of the cap is reached.
 
     Places are lengths along the line. A break within a micrometre of a vertex is that vertex.
     """
-    line = points[np.concatenate([[True], (points[1:] != points[:-1]).any(1)])]
+    line = [p for k, p in enumerate(points) if not k or p != points[k - 1]]
     if len(line) < 2:
         return []
-    place = np.concatenate([[0.0], np.cumsum(geo.haversine_np(line[:-1], line[1:]))])
-    inner = [k for k in range(1, len(line) - 1) if tuple(line[k].tolist()) in at]
-    ends = place[[0, *inner, len(line) - 1]]
-    breaks = [ends[:1]]
-    for a, b in pairwise(ends.tolist()):
-        more = a + cap * np.arange(1, np.ceil((b - a - 1e-6) / cap)) if cap < np.inf else np.zeros(0)
-        breaks += [more, [b]]
-    breaks = np.concatenate(breaks)
-    near = np.abs(place[:, None] - breaks)
-    breaks = np.where(near.min(0) <= 1e-6, place[near.argmin(0)], breaks)
-    corners = np.stack([np.interp(breaks, place, line[:, k]) for k in (0, 1)], 1)
-    first, last = np.searchsorted(place, breaks[:-1], "right"), np.searchsorted(place, breaks[1:], "left")
-    return [np.concatenate([corners[k : k + 1], line[f:t], corners[k + 1 : k + 2]]) for k, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True))]
+    place = [0.0, *accumulate(geo.haversine_py(*a, *b) for a, b in pairwise(line))]
+    inner = [place[k] for k in range(1, len(line) - 1) if line[k] in at]
+    breaks = [0.0]
+    for a, b in pairwise([0.0, *inner, place[-1]]):
+        breaks += [a + cap * k for k in range(1, math.ceil((b - a - 1e-6) / cap))] if cap < math.inf else []
+        breaks.append(b)
+
+    def corner(x: float) -> tuple[float, tuple[float, float]]:
+        k = min(bisect_right(place, x), len(place) - 1)
+        for near in (k - 1, k):
+            if abs(place[near] - x) <= 1e-6:
+                return place[near], line[near]
+        share = (x - place[k - 1]) / (place[k] - place[k - 1])
+        return x, tuple(u + (v - u) * share for u, v in zip(line[k - 1], line[k], strict=True))
+
+    corners = list(map(corner, breaks))
+    return [[a, *line[bisect_right(place, p) : bisect_left(place, q)], b] for (p, a), (q, b) in pairwise(corners)]
 
 
 def split(streets: DataFrame, crossings: DataFrame | None = None, max_length_m: float | None = 200.0) -> DataFrame:
@@ -72,17 +79,25 @@ def split(streets: DataFrame, crossings: DataFrame | None = None, max_length_m:
     else:
         lines = lines.withColumn("at", F.lit(None).cast(POINTS))
     kind = lines.schema["street_id"].dataType.simpleString()
-    pair = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+    def listed(column: pa.ListArray) -> list[list[tuple[float, float]]]:
+        flat = column.flatten()
+        points = list(zip(*(flat.field(k).to_numpy().tolist() for k in (0, 1)), strict=True))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+        return [points[a:b] for a, b in pairwise([0, *ends])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos, pts = [], [], []
-            for i, p, at in zip(*(b.column(c).to_pylist() for c in ("street_id", "pts", "at")), strict=True):
-                for no, seg in enumerate(cut(np.array([(x["lon"], x["lat"]) for x in p]), {(x["lon"], x["lat"]) for x in at or ()}, cap)):
-                    ids.append(i)
+            who, nos, sizes, out = [], [], [], []
+            for k, (p, at) in enumerate(zip(listed(b.column(1)), listed(b.column(2)), strict=True)):
+                for no, seg in enumerate(cut(p, set(at), cap)):
+                    who.append(k)
                     nos.append(no)
-                    pts.append([{"lon": x, "lat": y} for x, y in seg.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("street_id").type), pa.array(nos, pa.int32()), pa.array(pts, pair)], names=["street_id", "seg_no", "pts"])
+                    sizes.append(len(seg))
+                    out += seg
+            xy = np.array(out, float).reshape(-1, 2)
+            points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["lon", "lat"])
+            pts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), points)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(nos, pa.int32()), pts], names=["street_id", "seg_no", "pts"])
 
     return lines.select("street_id", "pts", "at").mapInArrow(run, f"street_id {kind}, seg_no int, pts {POINTS}")
 
