@@ -56,21 +56,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(texts: list[str | None]) -> list[np.ndarray]:
+def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """sets_of(), some texts at a time."""
     out, some, held = [], [], 0
     for t in texts:
         some.append(t)
         held += len(t or "")
         if held >= AT_ONCE:
-            out += sets_of(some)
+            out += sets_of(some, words)
             some, held = [], 0
-    return out + sets_of(some) if some else out
+    return out + sets_of(some, words) if some else out
 
 
-def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+def sets_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's set of shingles as sorted 64-bit hashes: words between ASCII white
-    space, A-Z lower-cased, five at a time; all words as one where there are fewer."""
+    space, A-Z lower-cased, some at a time; all words as one where there are fewer."""
     raw = [(t or "").encode().lower() for t in texts]
     sizes = np.array([len(t) + 1 for t in raw], np.int64)
     code = np.frombuffer(b"".join(t + b" " for t in raw), np.uint8)
@@ -86,18 +86,18 @@ def sets_of(texts: list[str | None]) -> list[np.ndarray]:
     del word
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(inside.max()), 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
     value = np.where(blank, np.uint64(0), (code.astype(np.uint64) + np.uint64(1)) * powers[inside])
-    words = mixed(np.add.reduceat(value, at))
+    every = mixed(np.add.reduceat(value, at))
     first = np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
     count = np.diff(first)
-    five = mixed(sum((words[k : len(words) - WORDS + 1 + k] * np.uint64(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(WORDS)), np.uint64(0))) if len(words) >= WORDS else empty
+    some = mixed(sum((every[k : len(every) - words + 1 + k] * np.uint64(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(words)), np.uint64(0))) if len(every) >= words else empty
     out = []
     for a, n in zip(first[:-1].tolist(), count.tolist(), strict=True):
-        if n >= WORDS:
-            out.append(np.unique(five[a : a + n - WORDS + 1]))
+        if n >= words:
+            out.append(np.unique(some[a : a + n - words + 1]))
         elif n:
             whole = np.array([n], np.uint64)
             for k in range(a, a + n):
-                whole = mixed(whole * np.uint64(0xA0761D6478BD642F) + words[k : k + 1])
+                whole = mixed(whole * np.uint64(0xA0761D6478BD642F) + every[k : k + 1])
             out.append(whole)
         else:
             out.append(empty)

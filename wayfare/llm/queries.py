@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, media, minhash, mixing, pii, quality, tokenfile, topk, url_filter, warc
+from wayfare.llm import bpe, divergence, media, minhash, mixing, ngram_join, pii, quality, spelling, tokenfile, topk, url_filter, warc
 from wayfare.llm.common import new_path, table
 
 #: The vocabulary file; a parameter of the operators.
@@ -83,6 +83,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op5_pii, op6_media, op7_minhash, op8_url_templates, op9_token_file, op10_quality)}
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL}
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_bpe, op3_warc, op4_topk, op5_pii, op6_media, op7_minhash, op8_url_templates, op9_token_file, op10_quality, op11_ngram_join, op12_divergence, op13_spelling)}
+
+ORACLES: dict[str, str] = {"op1_source_mix": mixing.SQL, "op3_warc": warc.SQL, "op4_topk": topk.SQL, "op11_ngram_join": ngram_join.SQL, "op12_divergence": divergence.SQL, "op13_spelling": spelling.SQL}
