@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -298,3 +299,38 @@ def test_frequencies_of_all_orders(spark):
     assert view(spark, sf, "all_calendar_dates").count() == dates
     same, every = (set(map(tuple, catalog.QUERIES[q](spark, sf).collect())) for q in ("service_weekdays", "service_weekdays_all"))
     assert same == every
+
+
+def tangled(seed):
+    """A network with walks and waits of no time, ties, and services that share stations."""
+    rng = random.Random(seed)
+    ids = [f"s{k}" for k in range(12)]
+    walks = [(*rng.sample(ids, 2), rng.choice([0.0, 0.0, 0.35, 1.0, 4.0])) for _ in range(14)]
+    rides = [(*rng.sample(ids, 2), rng.choice([0.5, 1.0, 2.0, 3.5]), f"line{rng.randrange(3)}/0") for _ in range(26)]
+    waits = [(i, f"line{k}/0", rng.choice([0.0, 0.0, 1.0, 6.0])) for i in ids for k in range(3) if rng.random() < 0.7]
+    return ids, walks, rides, waits
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_steps_of_no_time(spark, seed):
+    """Both forms find the same times, services and legs where walks and waits take none."""
+    ids, walks, rides, waits = tangled(seed)
+    own = spark.createDataFrame([(i, "subway") for i in ids], "id string, mode string")
+    net = {
+        "destinations": spark.createDataFrame([("x", "s0"), ("y", "s5"), ("y", "s7")], "dest string, station_id string"),
+        "stations": own,
+        "edges": spark.createDataFrame(walks, "src string, dst string, minutes double"),
+        "rides": spark.createDataFrame(rides, "src string, dst string, minutes double, service_key string"),
+        "service_waits": spark.createDataFrame(waits, "station_id string, service_key string, wait_min double"),
+    }
+    for what in (graph.transit_times, graph.routes):
+        a, b = (sorted(map(tuple, what(**net, graph_rows=n).collect()), key=str) for n in (graph.GRAPH_ROWS, 0))
+        assert a == b and len(a) > 20
+
+
+def test_rounds_follow_buckets(spark):
+    """A chain of many short steps takes a round for each bucket that it spans."""
+    chain = spark.createDataFrame([(k + 1, k, 0.25) for k in range(64)] + [(100, 64, 50.0)], "src int, dst int, minutes double")
+    got, rounds = graph.settled(spark.createDataFrame([("x", 0)], "dest string, node int"), chain, 4.0)
+    found = {r.node: (r.cost / graph.QUANTA, r.hops) for r in got.collect()}
+    assert found == {**{k: (k / 4, k) for k in range(65)}, 100: (66.0, 65)} and rounds == 6

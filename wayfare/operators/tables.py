@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ UNREACHABLE_MIN = 90.0
 BROADCAST_ROWS = 100_000
 
 _LOCAL: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def modes(spark: SparkSession) -> DataFrame:
@@ -54,20 +56,39 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def work_root(spark: SparkSession) -> str:
+    """The folder for work tables, which all executors share: spark.checkpoint.dir, else the warehouse's; on a local master a temporary one. A
+    cluster's can't be local to a machine, unless all its machines are this one (local-cluster)."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not root:
-        if spark.sparkContext.master.startswith("local"):
+        if master.startswith("local["):
             if not _LOCAL:
                 _LOCAL.append(tempfile.mkdtemp(prefix="wayfare-"))
                 atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-            root = "file://" + _LOCAL[0]
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-            if ":" not in root or root.startswith("file:"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+            return "file://" + _LOCAL[0]
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    if not master.startswith("local") and (":" not in root or root.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
+    path = f"{work_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def path_of(df: DataFrame) -> str:
+    """Where a stored() table lies."""
+    return _PATHS[df]
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored() tables that no frame in use reads any more; others are left alone."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
