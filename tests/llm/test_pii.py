@@ -79,3 +79,44 @@ def test_long_stretches_are_whole():
         at = pad + 5
         assert ("phone", at, at + 14) in pii.all_spans(text, weights)[1]
         assert ("email", at + 18, at + 42) in pii.all_spans(text, weights)[1]
+
+
+def whole(text, weights, sure=2.0):
+    """What the field over the whole text adds to the base spans."""
+    base = pii.base_spans(text)
+    atoms = [(a.group(), *a.span()) for a in pii.ATOM.finditer(text)]
+    added, done = [], 0
+    for i, j, kind, value in pii.best(text, atoms, weights):
+        start, end = atoms[i][1], atoms[j - 1][2]
+        if value >= sure and start >= done and not any(s < end and e > start for _, s, e in base):
+            added.append((kind, start, end))
+            done = end
+    return sorted([*base, *added], key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+
+
+@pytest.mark.parametrize("n", [20, 48, 49, 50, 55, 60])
+def test_long_names_are_found(n):
+    """A segment may have 80 characters, on whichever side of its sign they stand."""
+    weights = pii.trained()
+    for name, host in (("x" * n, "example"), ("anna", "y" * n)):
+        form = f"{name} at {host} dot com"
+        text = f"please write to {form} now"
+        assert len(form) <= 80 and pii.all_spans(text, weights)[1] == [("email", 16, 16 + len(form))] == whole(text, weights)
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    rng = np.random.default_rng(8)
+    weights = pii.trained()
+    parts = ["at", "dot", "call", "phone", "mail", ":", "is", "[at]", "(dot)", "x" * 70, "y" * 45, "z" * 130, "a@b.co", "555", "555-8500", "(651)", "+1", "1.2.3", "4111", "1111", "é²", "_", "com", "anna", "-", ".", "\n", "host", "٣٤"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "", "  ", " " * 90]) for _ in range(int(rng.integers(1, 40))))
+        assert pii.all_spans(text, weights)[1] == whole(text, weights), text
+
+
+def test_no_segment_without_a_sign_is_chosen():
+    weights = pii.trained()
+    for glued in (True, False):
+        for top in (True, False):
+            for cue in (None, *pii.CUES):
+                found = ["bias", "letters", "digits=0", f"glued={glued}", "address=False", "dots=False", f"top={top}", *([f"cue={cue}"] if cue else [])]
+                assert all(sum(weights.get((k, x), 0.0) for x in found) < 0 for k in pii.KINDS)

@@ -15,7 +15,9 @@ members can be connected otherwise:
    where their rarest shingles allow the similarity: an exact search by the order of
    their shingles. A set is found by the first shingles of its own (``1 - 2t / (1 + t)`` of
    them, a seventh at 0.75) among the first quarter of another's, so texts that share a
-   passage, or most of a text but less than they must, never meet in what they share.
+   passage, or most of a text but less than they must, never meet in what they share. Sets whose first
+   shingles are common too meet in the buckets that they share, block by block: signatures and
+   parity maps are compared in the task, and only pairs that pass both are written down.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm.blocks import alike, meetings, parity
 from wayfare.llm.common import drop, small_batches, stored
 
 WORDS = 5
@@ -41,6 +44,8 @@ MISS = 1e-7
 BROADCAST_IDS = 500_000
 #: Characters whose shingles are hashed side by side.
 AT_ONCE = 1 << 18
+#: Sets that have a shingle among their first, beyond which they meet in buckets instead.
+COMMON = 128
 #: Slots of the sketch of shingle counts, and the bits of a shingle's hash below its slot.
 COUNTERS, SLOT = 1 << 20, np.uint64(44)
 
@@ -162,6 +167,40 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
             return labels, at
 
 
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label, n, own) with the parity map in place of the set."""
+    for b in batches:
+        bits = [parity(np.frombuffer(v.as_buffer(), np.uint64)) for v in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits, pa.binary())], names=["node", "label", "n", "bits"])
+
+
+def _judge(percent: int):
+    """Of two sets of a bucket whether sizes, signatures and parity maps allow the similarity."""
+    least = least_matches(percent / 100)
+
+    def judge(cols: dict[str, pa.Array]):
+        n = cols["n"].to_numpy()
+        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        maps = alike(n, cols["bits"].to_pylist(), percent)
+
+        def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            stays = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            stays = stays[maps(i[stays], j[stays])]
+            matches = np.zeros(len(stays), np.int64)
+            for k, need in enumerate(least):
+                part = slice(k * STEP, (k + 1) * STEP)
+                matches = matches + (sig[i[stays], part] == sig[j[stays], part]).sum(1)
+                kept = matches >= need
+                stays, matches = stays[kept], matches[kept]
+            out = np.zeros(len(i), bool)
+            out[stays] = True
+            return out
+
+        return passes
+
+    return judge
+
+
 class Search:
     """The state of one run: classes, and the components found so far."""
 
@@ -266,7 +305,7 @@ class Search:
     def apart(self) -> DataFrame:
         """Pairs of classes that lie in buckets with several components, in different ones, and may be similar.
 
-        Exact: let the sets' shingles stand in one order, rare ones first, and two sets
+        Exact but for sets whose first shingles over ``COMMON`` others have among theirs, which the bands find: let the sets' shingles stand in one order, rare ones first, and two sets
         have sizes m <= n. They can only share the p shingles that they must, t / (1 + t) of m + n,
         if one of the first m - ceil(2t / (1 + t) * m) + 1 of the smaller is among the first
         n - ceil(t * n) + 1 of the larger, with enough left behind both places. The larger has at most m / t
@@ -310,8 +349,14 @@ class Search:
 
         heads = self.keep(own.mapInArrow(prefixes, "shingle long, place int, index boolean, node long, label long, n long"), "near-heads")
         # of each shingle the component that most have it in: of two in different components one isn't in that
-        per = heads.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        shared = self.keep(per.where("labels > 1").select("shingle", "main"), "near-heads-shared")
+        per = heads.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("index").alias("i")).groupBy("shingle")
+        per = per.agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.sum("i").alias("indexed"))
+        every = self.keep(per.where("labels > 1 and indexed > 0").select("shingle", "main", (F.col("all") > COMMON).alias("common")), "near-heads-shared")
+        shared = every.where("not common").drop("common")
+        held_by = heads.join(every.where("common").select("shingle"), "shingle", "left_semi").select("node").distinct()
+        crowded = self.keep(own.join(held_by, "node", "left_semi").mapInArrow(_maps, "node long, label long, n long, bits binary"), "near-crowded")
+        buckets = self.members.select("key", "node").join(crowded, "node").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
+        crowd = meetings(buckets, ["n", "sig", "bits"], _judge(percent))
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
         open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")
         side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("place", "node", "label", "n", "rare")]
@@ -322,7 +367,7 @@ class Search:
         near = (100 * F.col("x_n") >= percent * F.col("y_n")) & (left >= share) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
         met = x.where("x_rare").join(y, ["shingle", "step"]).unionByName(x.where("not x_rare").join(y.where("y_rare"), ["shingle", "step"]))
         pairs = met.where((F.col("x_label") != F.col("y_label")) & near)
-        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).unionByName(crowd).distinct()
 
     def run(self) -> DataFrame:
         self.labels: DataFrame | None = None

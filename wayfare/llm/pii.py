@@ -3,7 +3,7 @@
 The base patterns find the plain forms. Around digits, at signs and the words of
 spelt-out addresses (at, dot) the field scores whole candidate segments, by features of the span as
 a whole, and bounded-entity dynamic programming chooses boundaries and types
-together: no segment has more than ``LONGEST`` atoms, so the work is linear in
+together: no segment has more than ``LONGEST`` atoms or ``WIDEST`` characters, so the work is linear in
 the text. Its weights are trained by the gradient of the conditional likelihood
 over generated sentences, on first use and alike everywhere.
 """
@@ -78,7 +78,7 @@ SIGN = re.compile("[0-9@]")
 DOT = re.compile(r"\bdot\b", re.I)
 # the word at after what can part it from a name, before a host with a dot in any form; a segment is no longer than 80
 AT = re.compile(r"[ \[(+-]at\b(?=[\])]? ?[a-z0-9-]{1,80}(?:\.| ?[\[(]?\bdot\b[\])]? ?)[a-z0-9-])", re.I)
-LONGEST = 15
+LONGEST, WIDEST = 15, 80
 CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell"}, "card": {"card", "visa", "mastercard", "amex"}, "email": {"email", "mail", "contact"}, "ip": {"ip", "host", "server"}}
 
 
@@ -91,18 +91,41 @@ def signs(text: str) -> list[int]:
     return sorted({*found, *words}) if words else found
 
 
+def _from(text: str, at: int, least: int) -> int:
+    """Where the atom at a place begins, after the two atoms before it that its features look at; not before ``least``."""
+    inner = lambda k: text[k - 1].isalnum() and text[k].isalnum()
+    while at > least and inner(at):
+        at -= 1
+    for _ in range(2):
+        while at > least and text[at - 1].isspace():
+            at -= 1
+        at = max(at - 1, least)
+        while at > least and inner(at):
+            at -= 1
+    return at
+
+
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Atoms around the signs: a stretch goes on as long as the next sign's surroundings touch it."""
+    """Atoms around the signs: a stretch goes on as long as the next sign's surroundings touch it.
+
+    A segment that the field may choose has a sign in it and at most ``WIDEST`` characters, so a stretch
+    that holds as many before and after each sign, whole atoms, and the two atoms that the first segment's features look
+    at, gives what the whole text would.
+    """
     low = high = -1
     for at in signs(text):
-        if high >= 0 and at - 50 <= high:
-            high = at + 60
-            continue
-        if high >= 0:
-            yield [(a.group(), *a.span()) for a in ATOM.finditer(text, low, min(high, len(text)))]
-        low, high = max(0, at - 50), at + 60
+        if high < 0 or at - WIDEST > high:
+            start = _from(text, max(0, at - WIDEST), max(high, 0))
+            if high >= 0 and start > high:
+                yield [(a.group(), *a.span()) for a in ATOM.finditer(text, low, high)]
+                low = start
+            elif high < 0:
+                low = start
+        high = max(high, min(at + WIDEST, len(text)))
+        while 0 < high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
+            high += 1
     if high >= 0:
-        yield [(a.group(), *a.span()) for a in ATOM.finditer(text, low, min(high, len(text)))]
+        yield [(a.group(), *a.span()) for a in ATOM.finditer(text, low, high)]
 
 
 def features(text: str, atoms: list[tuple[str, int, int]], i: int, j: int) -> list[str] | None:
@@ -111,7 +134,7 @@ def features(text: str, atoms: list[tuple[str, int, int]], i: int, j: int) -> li
     if not (first[0].isalnum() or first in "+(") or not last[-1].isalnum():
         return None
     start, end = atoms[i][1], atoms[j - 1][2]
-    if end - start > 80:
+    if end - start > WIDEST:
         return None
     span = text[start:end]
     digits = NOT_DIGIT.sub("", span)
