@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BLOCK = 512
 #: Pairs that are judged side by side.
 AT_ONCE = 1 << 15
-#: Bytes of the smallest parity map; longer sets have longer ones, always by powers of two.
-LEAST = 256
+#: Bytes of the smallest parity map; sets of more elements have longer ones, of as many bits at least, always by powers of two.
+LEAST = 32
 
 Columns = dict[str, pa.Array]
 #: From the columns of a batch's members, a function of two index arrays that says which pairs pass.
@@ -29,7 +29,7 @@ def parity(own: np.ndarray) -> bytes:
     other lacks, so they bound the similarity from above, without error.
     """
     size = LEAST
-    while size * 16 < len(own):
+    while size * 8 < len(own):
         size *= 2
     odd = np.bincount((own & np.uint64(size * 8 - 1)).astype(np.int64), minlength=size * 8) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -50,55 +50,85 @@ def most_apart(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def alike(n: np.ndarray, maps: list[bytes], percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Says of pairs of sets whether their parity maps allow the similarity."""
-    small = np.frombuffer(b"".join(map(folded, maps)), np.uint64).reshape(len(maps), -1)
+    """Says of pairs of sets whether their parity maps allow the similarity: those of the least size first, then those of the smaller of the two sizes."""
+    stack = lambda some, size: np.frombuffer(b"".join(folded(m, size) for m in some), np.uint64).reshape(len(some), -1)
+    small, sizes = stack(maps, LEAST), np.array(list(map(len, maps)), np.int64)
 
     def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = most_apart(n[i], n[j], percent)
         ok = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64) <= most
-        for k in np.flatnonzero(ok):
-            size = min(len(maps[i[k]]), len(maps[j[k]]))
-            if size > LEAST:
-                x, y = (np.frombuffer(folded(maps[p], size), np.uint64) for p in (i[k], j[k]))
-                ok[k] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= most[k]
+        size = np.minimum(sizes[i], sizes[j])
+        for s in np.unique(size[ok]).tolist():
+            if s > LEAST:
+                pair = np.flatnonzero(ok & (size == s))
+                used, where = np.unique(np.concatenate([i[pair], j[pair]]), return_inverse=True)
+                wide = stack([maps[k] for k in used.tolist()], s)
+                x, y = where[: len(pair)], where[len(pair) :]
+                for lo in range(0, len(pair), 4096):
+                    part = slice(lo, lo + 4096)
+                    ok[pair[part]] = np.bitwise_count(wide[x[part]] ^ wide[y[part]]).sum(1, dtype=np.int64) <= most[pair[part]]
         return ok
 
     return check
 
 
-def meetings(entries: DataFrame, extra: list[str], judge: Judge, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: the pairs of different labels under a key of entries (key, node, label, *extra) that pass.
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges between labels the places of some that connect the same labels without a cycle."""
+    labels, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(labels)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(where[: len(a)].tolist(), where[len(a) :].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def meetings(entries: DataFrame, traits: DataFrame, judge: Judge, forest: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: the pairs of different labels under a key of entries (key, node, label, ...) that pass, by what entries and traits (node, ...) have of them.
 
     Members of a key's most frequent label never meet each other: of two different labels one isn't
     that. The rest, in blocks, meets all members, in blocks; a block pair is a row, so no task holds a
-    whole key, and within it pairs are judged without being written down.
+    whole key, and within it pairs are judged without being written down. With ``forest`` only as many pairs of a batch
+    are written as connect its labels in the way that all of them would.
     """
+    extra = [c for c in (*entries.columns, *traits.columns) if c not in ("key", "node", "label")]
     per = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     sizes = per.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     cut = lambda n: F.ceil(F.col(n) / block).cast("int")
     sizes = sizes.where("labels > 1").select("key", "main", cut("all").alias("wide"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("narrow"))
-    own = entries.join(sizes, "key").withColumn("own", F.struct("node", "label", *extra))
+    own = entries.join(sizes, "key").join(traits, "node").withColumn("own", F.struct("node", "label", *extra))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rare = own.where("label <> main").select("key", part("narrow").alias("i"), each("wide").alias("j"), F.lit(True).alias("rare"), "own")
-    whole = own.select("key", each("narrow").alias("i"), part("wide").alias("j"), F.lit(False).alias("rare"), "own")
-    rows = rare.unionByName(whole).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rare", "own")).alias("members")).select("members")
+    # in keys of one block a member stands once, and says whether it is one of the rest
+    single = own.where("wide = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("label") != F.col("main")).alias("rare"), F.lit(True).alias("whole"), "own")
+    own = own.where("wide > 1")
+    rare = own.where("label <> main").select("key", part("narrow").alias("i"), each("wide").alias("j"), F.lit(True).alias("rare"), F.lit(False).alias("whole"), "own")
+    whole = own.select("key", each("narrow").alias("i"), part("wide").alias("j"), F.lit(False).alias("rare"), F.lit(True).alias("whole"), "own")
+    rows = single.unionByName(rare).unionByName(whole).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rare", "whole", "own")).alias("members")).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             count = pc.list_value_length(lists).to_numpy().astype(np.int64)
             flat = lists.flatten()
-            side = flat.field("rare").to_numpy(zero_copy_only=False)
+            side, other = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("rare", "whole"))
             cols = dict(zip([f.name for f in flat.field("own").type], flat.field("own").flatten(), strict=True))
             node, label = cols["node"].to_numpy(), cols["label"].to_numpy()
             row = np.repeat(np.arange(len(count)), count)
-            left, right = np.flatnonzero(side), np.flatnonzero(~side)
-            n_left, n_right = np.bincount(row[left], minlength=len(count)), np.bincount(row[right], minlength=len(count))
+            left, right = np.flatnonzero(side), np.flatnonzero(other)
+            n_right = np.bincount(row[right], minlength=len(count))
             ends, first_right = np.cumsum(n_right[row[left]]), (np.cumsum(n_right) - n_right)[row[left]]
             passes, a, b = judge(cols), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             total = int(ends[-1]) if len(ends) else 0
-            del n_left
             for lo in range(0, total, AT_ONCE):
                 pair = np.arange(lo, min(total, lo + AT_ONCE))
                 at = np.searchsorted(ends, pair, "right")
@@ -107,7 +137,9 @@ def meetings(entries: DataFrame, extra: list[str], judge: Judge, block: int = BL
                 open_ = label[i] != label[j]
                 i, j = i[open_], j[open_]
                 if len(i):
-                    ok = passes(i, j)
+                    ok = np.flatnonzero(passes(i, j))
+                    if forest:
+                        ok = ok[_forest(label[i[ok]], label[j[ok]])]
                     a.append(node[i[ok]])
                     b.append(node[j[ok]])
             both = np.unique(np.sort(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=1), axis=0)

@@ -273,18 +273,22 @@ class Search:
 
         return self.keep(rows.mapInArrow(verify, "a long, b long"), "near-links")
 
-    def connect(self, links: DataFrame) -> None:
-        """Joins components by the links between them."""
+    def connect(self, links: DataFrame) -> bool:
+        """Joins components by the links between them; whether there were any."""
         edges = self.label(self.label(links, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        edges = self.keep(edges, "near-between")
+        if not edges.limit(1).count():
+            return False
         found, path = components(edges)
         self.paths.append(path)
         if self.labels is None:
             self.labels = found
-            return
+            return True
         # classes that had a label get their label's new one; labels that had been classes of their own come new
         old = self.label_of(found)
         new = found.join(self.labels, "node", "left_anti")
         self.labels = self.keep(old.unionByName(new), "near-labelled")
+        return True
 
     def label_of(self, found: DataFrame) -> DataFrame:
         return self.labels.join(found.toDF("label", "__new"), "label", "left").select("node", F.coalesce("__new", "label").alias("label"))
@@ -305,8 +309,8 @@ class Search:
     def apart(self) -> DataFrame:
         """Pairs of classes that lie in buckets with several components, in different ones, and may be similar.
 
-        Exact but for sets whose first shingles over ``COMMON`` others have among theirs, which the bands find: let the sets' shingles stand in one order, rare ones first, and two sets
-        have sizes m <= n. They can only share the p shingles that they must, t / (1 + t) of m + n,
+        Exact but for sets whose first shingles over ``COMMON`` others have among theirs, which
+        crowd() finds by their bands: let the sets' shingles stand in one order, rare ones first, and two sets have sizes m <= n. They can only share the p shingles that they must, t / (1 + t) of m + n,
         if one of the first m - ceil(2t / (1 + t) * m) + 1 of the smaller is among the first
         n - ceil(t * n) + 1 of the larger, with enough left behind both places. The larger has at most m / t
         shingles, so sets meet in steps of their size by that ratio, a step up at most.
@@ -355,8 +359,8 @@ class Search:
         shared = every.where("not common").drop("common")
         held_by = heads.join(every.where("common").select("shingle"), "shingle", "left_semi").select("node").distinct()
         crowded = self.keep(own.join(held_by, "node", "left_semi").mapInArrow(_maps, "node long, label long, n long, bits binary"), "near-crowded")
-        buckets = self.members.select("key", "node").join(crowded, "node").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
-        crowd = meetings(buckets, ["n", "sig", "bits"], _judge(percent))
+        self.crowded = self.members.select("key", "node").join(crowded.select("node"), "node")
+        self.traits = crowded.drop("label").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
         open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")
         side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("place", "node", "label", "n", "rare")]
@@ -367,7 +371,11 @@ class Search:
         near = (100 * F.col("x_n") >= percent * F.col("y_n")) & (left >= share) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
         met = x.where("x_rare").join(y, ["shingle", "step"]).unionByName(x.where("not x_rare").join(y.where("y_rare"), ["shingle", "step"]))
         pairs = met.where((F.col("x_label") != F.col("y_label")) & near)
-        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).unionByName(crowd).distinct()
+        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+    def crowd(self, forest: bool) -> DataFrame:
+        """Pairs of the crowded sets, in different components, that share a bucket and may be similar."""
+        return meetings(self.label(self.crowded, "node", "label"), self.traits, _judge(self.percent), forest)
 
     def run(self) -> DataFrame:
         self.labels: DataFrame | None = None
@@ -380,6 +388,10 @@ class Search:
         stars = self.label(self.label(stars, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
         self.connect(self.verified(stars))
         self.connect(self.verified(self.apart()))
+        # crowded buckets are connected by few of their pairs, until none of them is a link; then all that are left are verified
+        while self.connect(self.verified(self.crowd(True))):
+            pass
+        self.connect(self.verified(self.crowd(False)))
 
         of_class = self.keep(self.label(self.classes.select("digest", F.col("rep").alias("node")), "node", "label"), "near-of-class")
         got = self.signed.where("n > 0").select("doc_id", "n", "digest").join(of_class.select("digest", "label"), "digest").select("doc_id", "n", F.col("label").alias("component_id"))

@@ -99,8 +99,8 @@ def combined(tokens: np.ndarray, kind: np.ndarray, step: int, percent: int, need
     return place, keys
 
 
-def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, very: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """A set's step, and its keys, whether each is for the index, the probe or both, and the places of single ones (from 1; 0 for combined ones)."""
+def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, very: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A set's keys, whether each is for the index, the probe or both, and the places of single ones (from 1; 0 for combined ones)."""
     n = len(own)
     step = int(np.searchsorted(steps(percent), n, "right")) - 1
     rank = level[(own >> SLOT).astype(np.int64)]
@@ -123,7 +123,7 @@ def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, ver
         keys = np.concatenate([keys, np.array([k for k, _ in found], np.uint64)])
         kinds = np.concatenate([kinds, np.full(len(found), INDEX)])
     place = np.concatenate([place, np.zeros(len(keys) - len(place), np.int64)])
-    return step, keys, kinds, place
+    return keys, kinds, place
 
 
 class Join:
@@ -185,28 +185,25 @@ class Join:
         self.level, self.frequent, self.very = levels(counts), int(levels(np.array(from_))), int(levels(np.array(VERY * from_)))
 
     def index(self) -> None:
-        """entries (key, node, n, kind, place, step): the keys that several classes have; heads (node, n, bits)."""
+        """entries (key, node, n, spot): the keys that several classes have, with place and kind as one number; heads (node, n, bits)."""
         held, percent, words, frequent, very = self.spark.sparkContext.broadcast(self.level), self.percent, self.words, self.frequent, self.very
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sets = shingles(b.column(1).to_pylist(), words)
-                got = [keys_of(s, held.value, percent, frequent, very) if len(s) else (0, s, np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
-                keys = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(g[1]) for g in got])]), pa.int32()),
-                    pa.StructArray.from_arrays(
-                        [pa.array(np.concatenate([np.zeros(0, np.uint64), *[g[1] for g in got]]).view(np.int64)), *(pa.array(np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]).astype(np.int32)) for k in (2, 3))], names=["key", "kind", "place"]
-                    ),
-                )
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.int32()), pa.array(list(map(parity, sets)), pa.binary()), keys], names=["node", "n", "step", "bits", "keys"])
-
-        whole = self.docs.mapInArrow(run, "node long, n long, step int, bits binary, keys array<struct<key: long, kind: int, place: int>>").where("n > 0")
+                got = [keys_of(s, held.value, percent, frequent, very) if len(s) else (s, np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
+                flat = [np.concatenate([np.zeros(0, kind), *[g[c] for g in got]]) for c, kind in ((0, np.uint64), (1, np.int64), (2, np.int64))]
+                cells = pa.StructArray.from_arrays([pa.array(flat[0].view(np.int64)), pa.array((flat[2] * 4 + flat[1]).astype(np.int32))], names=["key", "spot"])
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]), pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(list(map(parity, sets)), pa.binary()), keys], names=["node", "n", "bits", "keys"])
+
+        whole = self.docs.mapInArrow(run, "node long, n int, bits binary, keys array<struct<key: long, spot: int>>").where("n > 0")
         reps = self.classes.where("rep is not null").select(F.col("rep").alias("node"))
         reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
         heads = self.keep(whole.join(reps, "node", "left_semi"), "ngram-heads")
         self.heads = heads.select("node", "n", "bits")
-        each = heads.select("node", "n", "step", F.inline("keys"))
-        wanted = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("kind").bitwiseAND(INDEX)).alias("i"), F.max(F.col("kind").bitwiseAND(PROBE)).alias("p")).where("c > 1 and i > 0 and p > 0").select("key")
+        each = heads.select("node", "n", F.inline("keys"))
+        wanted = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_or(F.col("spot").bitwiseAND(BOTH)).alias("kinds")).where(f"c > 1 and kinds = {BOTH}").select("key")
         self.entries = self.keep(each.join(self.keep(wanted, "ngram-shared"), "key"), "ngram-entries")
 
     def gather(self) -> None:
@@ -243,7 +240,11 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that are linked, by their full sets."""
         percent = self.percent
-        rows = pairs.join(self.sets.toDF("b", "own_b"), "b").join(self.sets.toDF("a", "own_a"), "a").select("a", "b", "own_a", "own_b")
+        sets, left = self.sets, self.sets
+        if pairs.count() <= BROADCAST_IDS:  # then only the sets in question are shuffled
+            pairs = F.broadcast(pairs)
+            left = sets.join(F.broadcast(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+        rows = pairs.join(sets.toDF("b", "own_b"), "b").join(left.toDF("a", "own_a"), "a").select("a", "b", "own_a", "own_b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -267,23 +268,23 @@ class Join:
         return True
 
     def stars(self, round_: int) -> DataFrame:
-        """Pairs of one class of each key and step, and those of it that aren't connected with it; each round another one, of the label that most have."""
-        own = self.labelled(self.entries.select("key", "step", "node"), "node", "label")
-        per = own.groupBy("key", "step", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("node"))
-        pivot = per.groupBy("key", "step").agg(F.max_by(F.struct("node", "label"), F.struct("c", "label")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        pivot = self.keep(pivot.select("key", "step", F.col("p.node").alias("pivot"), F.col("p.label").alias("main")), "ngram-pivots")
-        met = own.join(pivot, ["key", "step"]).where("label <> main")
+        """Pairs of one class of each key and those of it that aren't connected with it; each round another one, of the label that most have."""
+        own = self.labelled(self.entries.select("key", "node"), "node", "label")
+        per = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("node"))
+        pivot = per.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct("c", "label")).alias("p"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        pivot = self.keep(pivot.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("main")), "ngram-pivots")
+        met = own.join(pivot, "key").where("label <> main")
         return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    def rest(self) -> DataFrame:
+    def rest(self, forest: bool) -> DataFrame:
         """Pairs in different components that share a key and may be similar, from the keys with several components."""
         percent = self.percent
-        own = self.labelled(self.entries.drop("step"), "node", "label").join(self.heads.select("node", "bits"), "node")
+        own = self.labelled(self.entries, "node", "label")
 
         def judge(cols: dict[str, pa.Array]):
-            n, kind, place, node = (cols[c].to_numpy().astype(np.int64) for c in ("n", "kind", "place", "node"))
-            maps = cols["bits"].to_pylist()
-            check = alike(n, maps, percent)
+            n, spot, node = (cols[c].to_numpy().astype(np.int64) for c in ("n", "spot", "node"))
+            kind, place = spot % 4, spot // 4
+            check = alike(n, cols["bits"].to_pylist(), percent)
 
             def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
@@ -298,7 +299,7 @@ class Join:
 
             return passes
 
-        return meetings(own, ["n", "kind", "place", "bits"], judge)
+        return meetings(own, self.heads.select("node", "bits"), judge, forest)
 
     def run(self) -> DataFrame:
         self.sign()
@@ -308,7 +309,10 @@ class Join:
             for k in range(ROUNDS):
                 if not self.connect(self.verified(self.keep(self.possible(self.stars(k)), "ngram-possible"))):
                     break
-            self.connect(self.verified(self.keep(self.rest(), "ngram-rest")))
+            # what blocks find is connected by few of its pairs, until none of them is a link; then all that are left are verified
+            while self.connect(self.verified(self.keep(self.rest(True), "ngram-rest"))):
+                pass
+            self.connect(self.verified(self.keep(self.rest(False), "ngram-rest")))
         of_class = self.keep(self.labelled(self.classes.select("digest", F.col("rep").alias("node")), "node", "label"), "ngram-of-class")
         got = self.signed.where("n > 0").join(of_class.select("digest", "label"), "digest").select("doc_id", "n", F.col("label").alias("component_id"))
         got = got.union(self.signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
