@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo, text
-from wayfare.operators import access, graph, schedule, stations, streets
+from wayfare.operators import access, graph, nearest, schedule, stations, streets
 from wayfare.operators.tables import UNREACHABLE_MIN
 from wayfare.plans import catalog
 from wayfare.plans.synth import view
@@ -65,35 +65,41 @@ def street(spark, *lines):
 
 
 def test_nearest(spark, nodes):
-    edges = access.edges_of(street(spark, [(-99.1402, 19.4299), (-99.1402, 19.4301)]))
+    edges = street(spark, [(-99.1402, 19.4299), (-99.1402, 19.4301)])
     open_ = nodes.where("status = 'open'")
     got = access.nearest(edges, open_, 5).orderBy("rank").collect()
     assert [r.station_id for r in got[:2]] == ["a", "b"] and got[0].dist_m < 30 and len(got) == 5
     by_mode = {r["mode"]: r.station_id for r in access.nearest(edges, open_, 1, by_mode=True).collect()}
     assert by_mode == {"subway": "a", "brt": "c-brt"}
     assert access.nearest(edges, open_.limit(0), 5).count() == 0
-    # more stations than are broadcast: a search by cells that widens its radius until it is certain
-    assert access.nearest(edges, open_, 5, most=2).orderBy("rank").collect() == got
-    assert access._by_cells(edges, open_, 5, False, cell=500.0, radius=200.0).orderBy("rank").collect() == got
+    assert access.nearest(edges, open_, 5, per_range=2).orderBy("rank").collect() == got
+    # what has no place doesn't count, and leaves the rest as it is
+    odd = nodes.limit(3).select("id", (F.col("ord") + 50).alias("ord"), "name", "mode", F.lit(float("nan")).alias("lon"), F.when(F.col("ord") > 0, F.col("lat")).alias("lat"), "route_ref", "status", "groups")
+    lines = edges.unionByName(street(spark, [(float("nan"), 19.43), (-99.14, 19.43)], [(-99.14, 19.43)]).withColumn("street_id", F.col("street_id") + 7))
+    for n in (10_000, 2):
+        assert access.nearest(lines, open_.unionByName(odd), 5, per_range=n).orderBy("rank").collect() == got
+    broken = street(spark, [(-99.1402, 19.4299), (-99.1402, 19.4301), (float("nan"), 1.0), (-99.0, 19.0)])
+    assert access.nearest(broken, open_, 5).orderBy("rank").collect() == got
 
 
 def test_candidates(spark):
-    """Both searches against all pairs, of streets near and far, lines of several edges, and equal distances."""
+    """One range and many against all pairs, of streets near and far, lines of several edges, equal distances, and a place that many streets share."""
     rng = np.random.default_rng(2)
     places = rng.uniform((-99.3, 19.2), (-98.9, 19.6), (300, 2)).round(3)
     own = spark.createDataFrame([(k, 299 - k, ("subway", "brt", "monorail")[k % 3] if k != 7 else None, float(x), float(y)) for k, (x, y) in enumerate(np.concatenate([places[:290], places[:10]]))], "id long, ord int, mode string, lon double, lat double")
     starts = np.concatenate([rng.uniform((-99.3, 19.2), (-98.9, 19.6), (390, 2)), [[-98.2, 19.4]] * 10])
+    starts[100:180] = starts[100]
     lines = [[tuple(p + rng.uniform(-0.004, 0.004, 2)) for _ in range(rng.integers(2, 5))] for p in starts]
-    edges = access.edges_of(street(spark, *[[(float(x), float(y)) for x, y in line] for line in lines]))
+    edges = street(spark, *[[(float(x), float(y)) for x, y in line] for line in lines])
     got = access.candidates(edges, own, 3, 2)
-    cells = access.candidates(edges, own, 3, 2, most=5)
+    cells = access.candidates(edges, own, 3, 2, per_range=20)
     ref = own.agg({"lat": "avg"}).first()[0]
     xy = lambda p: np.array([geo.EARTH_RADIUS_M * np.radians(p[0]) * np.cos(np.radians(ref)), geo.EARTH_RADIUS_M * np.radians(p[1])])
     at = [(r.id, r.ord, r["mode"], *xy((r.lon, r.lat))) for r in own.collect()]
     want = set()
     for i, line in enumerate(lines):
         pts = np.array([xy(p) for p in line])
-        far = access.squared(np.array([a[3] for a in at]), np.array([a[4] for a in at]), pts[:-1, 0], pts[:-1, 1], pts[1:, 0], pts[1:, 1]).min(0)
+        far = nearest.squared(np.array([a[3] for a in at]), np.array([a[4] for a in at]), pts[:-1, 0], pts[:-1, 1], pts[1:, 0], pts[1:, 1]).min(0)
         order = sorted(range(len(at)), key=lambda c: (far[c], at[c][1]))
         for mode, n in ((None, 3), ("subway", 2), ("brt", 2), ("monorail", 2)):
             for rank, c in enumerate([c for c in order if mode is None or at[c][2] == mode][:n], 1):
@@ -102,6 +108,41 @@ def test_candidates(spark):
     assert set(map(tuple, cells.collect())) == want
 
 
+def test_streets_are_shuffled_once(spark, nodes):
+    """No broadcast of stations, and the streets pass one exchange."""
+    edges = street(spark, *[[(-99.14 + k / 1000, 19.42), (-99.14 + k / 1000, 19.43)] for k in range(30)])
+    plans = []
+    keep = nearest.stored
+    nearest.stored = lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1]
+    try:
+        assert access.nearest(edges, nodes, 2, per_range=5).count() == 60
+    finally:
+        nearest.stored = keep
+    plan = dict(plans)["nearest"]
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan  # the streets' and the stations'
+
+
+def test_neighbours(spark):
+    """Links against all pairs, of lines, stations without a line and stations apart; the pairs looked at grow with the stations, not their square."""
+    looked = {}
+    for n in (200, 800):
+        rng = np.random.default_rng(n)
+        side = 0.02 * np.sqrt(n)
+        rows_ = [(k, n - k, rng.choice(["subway", "brt", "regional_rail"]), float(rng.uniform(0, side) - 99), float(rng.uniform(0, side) + 19), [f"l{g}" for g in rng.choice(6, rng.integers(0, 3), replace=False)]) for k in range(n)]
+        rows_.append((n, n, "brt", float("nan"), 19.0, []))
+        own = spark.createDataFrame(rows_, "id int, ord int, mode string, lon double, lat double, groups array<string>")
+        want = set()
+        reach = {"subway": 3500.0, "brt": 2500.0, "regional_rail": 16000.0}
+        for i, _, m, x, y, g in rows_[:-1]:
+            near = [(d, o, j, h) for j, o, q, u, v, h in rows_[:-1] if q == m and j != i and 300 < (d := geo.haversine_py(x, y, u, v)) <= reach[m]]
+            mine = [r for r in near if not g or not r[3] or set(g) & set(r[3])] or near
+            want |= {(i, j, rank) for rank, (_, _, j, _) in enumerate(sorted(mine)[:3], 1)}
+        assert {(r.src, r.dst, r["rank"]) for r in graph.ride_links(own).collect()} == want
+        all_ = own.select("id", "ord", F.col("mode").alias("key"), "lon", "lat", F.lit(16000.0).alias("reach"))
+        looked[n] = nearest.rings(all_, all_, 3, 300.0)[1]
+    assert looked[800] < 6 * looked[200]
+
+
 def test_crossing_roads(spark):
     own = street(spark, [(-99.14, 19.43), (-99.139, 19.43), (-99.138, 19.43)], [(-99.139, 19.429), (-99.139, 19.43), (-99.139, 19.431)])
     got = streets.split(own, streets.junctions(own), 200.0).orderBy("street_id", "seg_no").collect()

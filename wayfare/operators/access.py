@@ -1,198 +1,22 @@
-"""Nearest stations of streets: exact k-nearest and per-mode searches over grid cells, and what builds on them."""
+"""What builds on the nearest stations of streets: masks, candidates, best access, colours, tile features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo
+from wayfare.operators.nearest import PER_RANGE, candidates
 from wayfare.operators.streets import MIN_ZOOM, OTHER_ZOOM, junctions, split
-from wayfare.operators.tables import BROADCAST_ROWS, MODES, UNREACHABLE_MIN, lookup, small, stored
+from wayfare.operators.tables import MODES, UNREACHABLE_MIN, lookup, small, stored
 
-CELL_M = 2000.0
-FIRST_RADIUS_M = 1000.0
-#: Streets that are searched together, and stations that they are held against at once.
-AT_ONCE, WIDE = 128, 4096
 #: What the time map takes for a missing distance of one of the five nearest, and of a mode's nearest.
 FAR_DIRECT_M, FAR_MODE_M = 7200, 5000
 
 
-def edges_of(streets: DataFrame) -> DataFrame:
-    """Streets (street_id, pts array of lon, lat) as edges (street_id, e, lon1, lat1, lon2, lat2)."""
-    at = lambda k: F.element_at("pts", k)
-    whole = streets.where(F.size("pts") >= 2).withColumn("e", F.explode(F.sequence(F.lit(1), F.size("pts") - 1)))
-    return whole.select("street_id", "e", at(F.col("e"))["lon"].alias("lon1"), at(F.col("e"))["lat"].alias("lat1"), at(F.col("e") + 1)["lon"].alias("lon2"), at(F.col("e") + 1)["lat"].alias("lat2"))
-
-
-def _projected(edges: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and stations in metres about the mean station latitude, without those that have no place."""
-    ref = F.broadcast(stations.agg(F.avg("lat").alias("ref")))  # one row
-    x, y = geo.project(F.col("lon"), F.col("lat"), F.col("ref"))
-    (x1, y1), (x2, y2) = geo.project(F.col("lon1"), F.col("lat1"), F.col("ref")), geo.project(F.col("lon2"), F.col("lat2"), F.col("ref"))
-    points = stations.crossJoin(ref).select("id", "ord", "mode", x.alias("x"), y.alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    lines = edges.crossJoin(ref).select("street_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("x1 + y1 + x2 + y2 is not null and not isnan(x1 + y1 + x2 + y2)")
-    return lines, points
-
-
-class Points:
-    """Stations by ord, which settles equal distances, and the places of each mode's."""
-
-    def __init__(self, rows: pa.Table):
-        order = np.argsort(rows["ord"].to_numpy(), kind="stable")
-        self.ids, modes = rows["id"].combine_chunks().take(order), rows["mode"].combine_chunks().take(order)
-        self.x, self.y = rows["x"].to_numpy()[order], rows["y"].to_numpy()[order]
-        self.names = sorted({m for m in modes.to_pylist() if m is not None})
-        self.mode = np.array([self.names.index(m) if m is not None else -1 for m in modes.to_pylist()], np.int64)
-
-    def near(self, x: np.ndarray, y: np.ndarray, k: int, by_mode: bool) -> np.ndarray:
-        """The stations that may be among the k nearest, of all or of each mode, of a line through some of the points.
-
-        The k-th nearest of the points' centre is at most as far as it is from there, and
-        every point within ``half`` of the centre: whatever is further than both by ``half`` again can't be.
-        """
-        cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
-        half, far = np.hypot(x - cx, y - cy).max(), np.hypot(self.x - cx, self.y - cy)
-        reach = np.full(len(far), np.inf)
-        for own in [np.flatnonzero(self.mode == m) for m in range(len(self.names))] if by_mode else [np.arange(len(far))]:
-            if len(own) > k:
-                reach[own] = np.partition(far[own], k - 1)[k - 1] + 2 * half
-        return np.flatnonzero((far <= reach + 1e-3) & ((self.mode >= 0) | (not by_mode)))
-
-
-def squared(px: np.ndarray, py: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
-    """geo.point_to_segment_squared() of every segment (a row) and point (a column)."""
-    x1, y1, dx, dy = x1[:, None], y1[:, None], (x2 - x1)[:, None], (y2 - y1)[:, None]
-    length = dx * dx + dy * dy
-    t = np.where(length > 0, np.clip(((px - x1) * dx + (py - y1) * dy) / np.where(length > 0, length, 1.0), 0.0, 1.0), 0.0)
-    ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return ex * ex + ey * ey
-
-
-def candidates(edges: DataFrame, stations: DataFrame, k: int = 5, per_mode: int = 1, most: int = BROADCAST_ROWS) -> DataFrame:
-    """(street_id, mode, rank, station_id, dist_m): a street's k nearest stations, with mode null, and the per_mode nearest of each mode.
-
-    edges: street_id, lon1, lat1, lon2, lat2; stations: id, ord, mode, lon, lat. Equal
-    distances go to the smaller ord; distances are planar about the mean station
-    latitude. Either number may be 0. Both come from one pass over the streets: up to ``most`` stations
-    are broadcast, and streets that lie together look only at those stations
-    that can be among their nearest. Beyond, stations are dealt by grid cells.
-    """
-    spark = edges.sparkSession
-    lines, points = _projected(edges, stations)
-    head = points.limit(most + 1).toArrow()
-    if head.num_rows > most:
-        near = _by_cells(edges, stations, k, False).withColumn("mode", F.lit(None).cast("string")) if k else None
-        modes = _by_cells(edges, stations, per_mode, True) if per_mode else None
-        cols = ["street_id", "mode", "rank", "station_id", "dist_m"]
-        return modes.select(*cols) if near is None else near.select(*cols) if modes is None else near.select(*cols).unionByName(modes.select(*cols))
-    held = spark.sparkContext.broadcast(Points(head))
-    street, station = lines.schema["street_id"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
-    rows = lines.groupBy("street_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        if not len(own.x):
-            return
-        for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten()
-            x1, y1, x2, y2 = (flat.field(c).to_numpy() for c in range(4))
-            begin = lists.offsets.to_numpy()[: len(lists) + 1] - lists.offsets[0].as_py()
-            # streets of one square of a kilometre stand together
-            order = np.lexsort((x1[begin[:-1]] // 1000, y1[begin[:-1]] // 1000))
-            for lo in range(0, len(order), AT_ONCE):
-                some = order[lo : lo + AT_ONCE]
-                many = begin[some + 1] - begin[some]
-                first = np.cumsum(many) - many
-                e = np.repeat(begin[some] - first, many) + np.arange(many.sum())
-                xs, ys = np.concatenate([x1[e], x2[e]]), np.concatenate([y1[e], y2[e]])
-                out = []
-                for names, n, grouped in ((None, k, False), (own.names, per_mode, True)):
-                    if n:
-                        there = own.near(xs, ys, n, grouped)
-                        far = np.concatenate([np.minimum.reduceat(squared(own.x[there[c : c + WIDE]], own.y[there[c : c + WIDE]], x1[e], y1[e], x2[e], y2[e]), first, 0) for c in range(0, len(there), WIDE)], 1)
-                        for m in range(len(names)) if grouped else [None]:
-                            cols = np.flatnonzero(own.mode[there] == m) if grouped else np.arange(len(there))
-                            best = np.argsort(far[:, cols], 1, kind="stable")[:, :n]
-                            d2 = np.take_along_axis(far[:, cols], best, 1)
-                            out.append((np.repeat(some, best.shape[1]), names[m] if grouped else None, np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(some)), there[cols][best].ravel(), np.floor(np.sqrt(d2) + 0.5).astype(np.int32).ravel()))
-                who, rank, at, metres = (np.concatenate([o[c] for o in out]) for c in (0, 2, 3, 4))
-                modes = pa.array([o[1] for o in out for _ in range(len(o[0]))], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), modes, pa.array(rank), own.ids.take(pa.array(at)), pa.array(metres)], names=["street_id", "mode", "rank", "station_id", "dist_m"])
-
-    return rows.mapInArrow(run, f"street_id {street}, mode string, rank int, station_id {station}, dist_m int")
-
-
-def nearest(edges: DataFrame, stations: DataFrame, k: int = 1, by_mode: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
+def nearest(streets: DataFrame, stations: DataFrame, k: int = 1, by_mode: bool = False, per_range: int = PER_RANGE) -> DataFrame:
     """(street_id[, mode], rank, station_id, dist_m): exactly the k nearest stations of each street, of each mode if by_mode. See candidates()."""
-    rows = candidates(edges, stations, 0, k, most) if by_mode else candidates(edges, stations, k, 0, most).drop("mode")
-    return rows
-
-
-def _by_cells(edges: DataFrame, stations: DataFrame, k: int, by_mode: bool, cell: float = CELL_M, radius: float = FIRST_RADIUS_M) -> DataFrame:
-    """nearest() for any number of stations, dealt by grid cell: an edge looks into the
-    cells that it comes within ``radius`` of. Whatever lies in the radius is certain;
-    an edge that has found fewer than k there searches again with twice the
-    radius, until the radius spans everything. A street's k nearest are among the k
-    nearest of its edges, so an edge hands on k rows at most.
-    """
-    ref = stations.agg(F.avg("lat").alias("ref"))
-    located = stations.crossJoin(F.broadcast(ref))
-    x, y = geo.project(F.col("lon"), F.col("lat"), F.col("ref"))
-    located = stored(located.select(F.col("id").alias("station_id"), "ord", "mode", x.alias("sx"), y.alias("sy")), "stations-xy")
-    lines = edges.crossJoin(F.broadcast(ref))
-    (x1, y1), (x2, y2) = geo.project(F.col("lon1"), F.col("lat1"), F.col("ref")), geo.project(F.col("lon2"), F.col("lat2"), F.col("ref"))
-    open_ = stored(lines.select("street_id", "e", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")), "edges-xy")
-    kinds = [r["mode"] for r in located.select("mode").distinct().collect()] if by_mode else [None]
-    per = located.groupBy("mode").count() if by_mode else located.groupBy(F.lit(None).cast("string").alias("mode")).count()
-    there = {r["mode"]: r["count"] for r in per.collect()}
-    span = located.agg(F.min("sx").alias("a"), F.max("sx").alias("b"), F.min("sy").alias("c"), F.max("sy").alias("d")).first()
-    found = []
-    if span["a"] is None:
-        kinds = []
-    far = open_.agg(F.max(F.greatest(F.abs(F.col("x1") - (span["a"] or 0.0)), F.abs(F.col("x1") - (span["b"] or 0.0)), F.abs(F.col("x2") - (span["a"] or 0.0)), F.abs(F.col("x2") - (span["b"] or 0.0)), F.abs(F.col("y1") - (span["c"] or 0.0)), F.abs(F.col("y1") - (span["d"] or 0.0)), F.abs(F.col("y2") - (span["c"] or 0.0)), F.abs(F.col("y2") - (span["d"] or 0.0)))).alias("far")).first()["far"] or 0.0
-    if by_mode:
-        dim = edges.sparkSession.createDataFrame([(m, min(k, there[m])) for m in kinds], "mode string, want int") if kinds else None
-        open_ = open_.crossJoin(F.broadcast(dim)) if dim is not None else open_
-    else:
-        open_ = open_.withColumn("mode", F.lit(None).cast("string")).withColumn("want", F.lit(min(k, there.get(None, 0))))
-    while kinds:
-        size = max(cell, radius)  # so that an edge meets a bounded number of cells for its length
-        cells = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size))
-        near = open_.withColumn("cx", F.explode(cells(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(cells(F.col("y1"), F.col("y2"))))
-        home = located.withColumn("cx", F.floor(F.col("sx") / size)).withColumn("cy", F.floor(F.col("sy") / size))
-        keys = ["cx", "cy"] + (["mode"] if by_mode else [])
-        pairs = near.join(home if by_mode else home.drop("mode"), keys)
-        d2 = geo.point_to_segment_squared(F.col("sx"), F.col("sy"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-        pairs = pairs.withColumn("d2", d2)
-        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("street_id", "e", "mode").orderBy("d2", "ord"))).where(F.col("r") <= k)
-        best = stored(best.select("street_id", "e", "mode", "station_id", "ord", "d2", "want"), "nearest")
-        everything = radius >= far
-        sure = best.groupBy("street_id", "e", "mode").agg(F.count_if(F.col("d2") <= radius * radius).alias("n"), F.first("want").alias("want"))
-        done = sure.where(F.col("n") >= F.col("want")).select("street_id", "e", "mode") if not everything else sure.select("street_id", "e", "mode")
-        done = stored(done, "nearest-done")
-        same = lambda a, b: [a["street_id"] == b["street_id"], a["e"] == b["e"], a["mode"].eqNullSafe(b["mode"])]
-        found.append(best.join(done, same(best, done), "left_semi").select("street_id", "mode", "station_id", "ord", "d2"))
-        if everything:
-            break
-        open_ = stored(open_.join(done, same(open_, done), "left_anti"), "edges-open")
-        if not open_.limit(1).count():
-            break
-        radius *= 2
-    if not found:
-        every = edges.select("street_id", F.lit(None).cast("string").alias("mode"), F.lit(None).alias("station_id"), F.lit(0).alias("ord"), F.lit(0.0).alias("d2")).limit(0)
-        found = [every]
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    rows = rows.groupBy("street_id", "mode", "station_id", "ord").agg(F.min("d2").alias("d2"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("street_id", "mode").orderBy("d2", "ord"))).where(F.col("rank") <= k)
-    out = [F.col("street_id"), *([F.col("mode")] if by_mode else []), F.col("rank"), F.col("station_id"), F.floor(F.sqrt("d2") + 0.5).cast("int").alias("dist_m")]
-    return ranked.select(*out)
+    return candidates(streets, stations, 0, k, per_range) if by_mode else candidates(streets, stations, k, 0, per_range).drop("mode")
 
 
 def distance_histogram(distances: DataFrame) -> DataFrame:
@@ -225,7 +49,7 @@ def active_distance(by_mode: DataFrame, streets: DataFrame, active: list[str], m
     return streets.select("street_id").distinct().join(rows, "street_id", "left").select("street_id", F.coalesce("dist_m", F.lit(most)).cast("int").alias("dist_m"))
 
 
-def street_features(edges: DataFrame, stations: DataFrame, most: int = 5000) -> DataFrame:
+def street_features(streets: DataFrame, stations: DataFrame, most: int = 5000) -> DataFrame:
     """(street_id, pool, mode, dist_m, station_ord): the nearest open and the nearest future station of each mode that the pool has.
 
     stations: id, ord, mode, lon, lat, status. Beyond ``most`` metres dist_m is most + 1 and station_ord -1.
@@ -233,7 +57,7 @@ def street_features(edges: DataFrame, stations: DataFrame, most: int = 5000) ->
     out = []
     for pool, which in (("open", F.col("status") == "open"), ("future", F.col("status") != "open")):
         own = stations.where(which)
-        found = nearest(edges, own, 1, by_mode=True).join(own.select(F.col("id").alias("station_id"), F.col("ord").cast("int").alias("ord")), "station_id")
+        found = nearest(streets, own, 1, by_mode=True).join(own.select(F.col("id").alias("station_id"), F.col("ord").cast("int").alias("ord")), "station_id")
         over = F.col("dist_m") > most
         out.append(found.select("street_id", F.lit(pool).alias("pool"), "mode", F.when(over, most + 1).otherwise(F.col("dist_m")).alias("dist_m"), F.when(over, -1).otherwise(F.col("ord")).alias("station_ord")))
     return out[0].unionByName(out[1])
@@ -247,7 +71,7 @@ def tile_features(streets: DataFrame, stations: DataFrame, max_length_m: float =
     station, over: 1 where that is beyond; minzoom: the first zoom of the road's class.
     """
     cut = stored(split(streets, junctions(streets), max_length_m), "segments")
-    found = street_features(edges_of(cut.select(F.struct("street_id", "seg_no").alias("street_id"), "pts")), stations, most)
+    found = street_features(cut.select(F.struct("street_id", "seg_no").alias("street_id"), "pts"), stations, most)
     found = found.withColumn("nearest", F.min(F.when(F.col("pool") == "open", F.col("dist_m"))).over(Window.partitionBy("street_id")))
     rows = found.select("street_id.*", "pool", "mode", display.tile_distance(F.col("dist_m"), most=most).alias("dist_m"), "station_ord", display.tile_distance(F.col("nearest"), most=most).alias("nearest_m"), F.when(F.col("nearest") > most, 1).alias("over"))
     zoom = lookup(MIN_ZOOM, F.coalesce("h", F.lit("")), OTHER_ZOOM).cast("int").alias("minzoom")
@@ -259,23 +83,23 @@ def included(stations: DataFrame, include_future: bool = False) -> DataFrame:
     return stations if include_future else stations.where("status = 'open'")
 
 
-def street_candidates(edges: DataFrame, stations: DataFrame, active: list[str], include_future: bool = False, most: int = 5000) -> DataFrame:
+def street_candidates(streets: DataFrame, stations: DataFrame, active: list[str], include_future: bool = False, most: int = 5000) -> DataFrame:
     """(street_id, station_id, mode, dist_m, ord): what a street can reach: its five nearest open stations as far as their modes are
     active, the nearest open station of each active mode, and with include_future the nearest future ones.
 
     A mode's nearest beyond ``most`` metres is taken at most + 1. ord: the order of equal candidates. stations: id, ord, mode, lon, lat, status.
     """
     if not active:
-        return candidates(edges, stations, 1, 0).limit(0).select("street_id", "station_id", "mode", "dist_m", F.col("rank").alias("ord"))
+        return candidates(streets, stations, 1, 0).limit(0).select("street_id", "station_id", "mode", "dist_m", F.col("rank").alias("ord"))
     bit = F.try_element_at(F.create_map(*[F.lit(x) for b, m, *_ in MODES for x in (m, b)]), F.col("mode"))
     own = stations.where("status = 'open'")
-    found = candidates(edges, own, 5, 1)
+    found = candidates(streets, own, 5, 1)
     modes = own.select(F.col("id").alias("station_id"), F.col("mode").alias("own"))
     capped = F.when(F.col("dist_m") > most, most + 1).otherwise(F.col("dist_m")).alias("dist_m")
     rows = found.join(modes, "station_id").where(F.col("own").isin(active))
     rows = rows.select("street_id", "station_id", F.col("own").alias("mode"), F.when(F.col("mode").isNull(), F.col("dist_m")).otherwise(capped).alias("dist_m"), F.when(F.col("mode").isNull(), F.col("rank")).otherwise(10 + bit).cast("int").alias("ord"))
     if include_future:
-        later = nearest(edges, stations.where("status <> 'open'"), 1, by_mode=True).where(F.col("mode").isin(active))
+        later = nearest(streets, stations.where("status <> 'open'"), 1, by_mode=True).where(F.col("mode").isin(active))
         rows = rows.unionByName(later.select("street_id", "station_id", "mode", capped, (20 + bit).cast("int").alias("ord")))
     return rows
 
@@ -287,7 +111,7 @@ def active_times(times: DataFrame, stations: DataFrame, active: list[str]) -> Da
     return times.join(modes, "station_id", "left").select("station_id", F.when(F.coalesce(on, F.lit(False)), F.col("minutes")).otherwise(UNREACHABLE_MIN).alias("minutes"))
 
 
-def time_colors(edges: DataFrame, stations: DataFrame, times: DataFrame, active: list[str], yellow: int = display.DEFAULT_YELLOW_MIN, most: int = 5000) -> DataFrame:
+def time_colors(streets: DataFrame, stations: DataFrame, times: DataFrame, active: list[str], yellow: int = display.DEFAULT_YELLOW_MIN, most: int = 5000) -> DataFrame:
     """(street_id, total_min, color): the least walk and ride of a street, as the time map has it, and its colour.
 
     Of the five nearest open stations all count, whatever their mode, and a missing one as 7,200 m away; of each
@@ -295,7 +119,7 @@ def time_colors(edges: DataFrame, stations: DataFrame, times: DataFrame, active:
     """
     own = stations.where("status = 'open'")
     minutes = times.select("station_id", (F.floor(F.col("minutes") * 100 + 0.5) / 100).alias("minutes"))
-    found = candidates(edges, own, 5, 1).where(F.col("mode").isNull() | (F.col("mode").isin(active) if active else F.lit(False)))
+    found = candidates(streets, own, 5, 1).where(F.col("mode").isNull() | (F.col("mode").isin(active) if active else F.lit(False)))
     metres = F.when(F.col("mode").isNotNull() & (F.col("dist_m") > most), most + 1).otherwise(F.col("dist_m"))
     rows = found.join(small(minutes), "station_id", "left").withColumn("total", geo.walking_minutes(metres.cast("double")) + F.coalesce("minutes", F.lit(UNREACHABLE_MIN)))
     per = rows.groupBy("street_id").agg(F.min("total").alias("total"), F.count_if(F.col("mode").isNull()).alias("direct"), F.count_if(F.col("mode").isNotNull()).alias("modes"))
@@ -307,8 +131,8 @@ def time_colors(edges: DataFrame, stations: DataFrame, times: DataFrame, active:
 def rendered_once(features: DataFrame) -> DataFrame:
     """Of features (i, feature_id, ord and others) that share their index i, or without one their feature_id, the first by ord; those with neither don't count."""
     key = F.coalesce(F.concat(F.lit("i"), F.col("i").cast("string")), F.concat(F.lit("f"), F.col("feature_id").cast("string")))
-    ranked = features.withColumn("__key", key).where("__key is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("ord")))
-    return ranked.where("__r = 1").drop("__key", "__r")
+    whole = F.struct(*features.columns)
+    return features.withColumn("__key", key).where("__key is not null").groupBy("__key").agg(F.min_by(whole, "ord").alias("__first")).select("__first.*")
 
 
 def best_access(candidates: DataFrame, times: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import display, text
 from wayfare.operators import access, graph, schedule, stations, streets
 from wayfare.operators.tables import MODES
-from wayfare.plans.synth import duckdb, view
+from wayfare.plans.synth import VIEWS, duckdb, view
 from wayfare.sources.curated import curated, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,17 +154,24 @@ def name_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streets and access ---
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets of the view vertices, a row each."""
+    place = re.search(r"cast\(-99.*(?= as lon)", VIEWS["vertices"])[0], re.search(r"cast\(19.*(?= as lat)", VIEWS["vertices"])[0]
+    pts = f"transform(sequence(0, cast(1 + p_partkey % 3 as int)), i -> named_struct('lon', {place[0]}, 'lat', {place[1]}))"
+    return view(spark, sf_dir, "part").selectExpr("p_partkey as street_id", f"{pts} as pts")
+
+
 @query(f"with {TOP5} select street_id, station_id, dist_m from top5 where rank = 1")
 def segment_nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.nearest(view(spark, sf_dir, "edges"), view(spark, sf_dir, "open_stations"), 1).select("street_id", "station_id", "dist_m")
+    return access.nearest(lines(spark, sf_dir), view(spark, sf_dir, "open_stations"), 1).select("street_id", "station_id", "dist_m")
 
 
 def _top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.nearest(view(spark, sf_dir, "edges"), view(spark, sf_dir, "open_stations"), 5)
+    return access.nearest(lines(spark, sf_dir), view(spark, sf_dir, "open_stations"), 5)
 
 
 def _by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.nearest(view(spark, sf_dir, "edges"), view(spark, sf_dir, "open_stations"), 1, by_mode=True)
+    return access.nearest(lines(spark, sf_dir), view(spark, sf_dir, "open_stations"), 1, by_mode=True)
 
 
 @query(f"with {TOP5} select street_id, rank, station_id, dist_m from top5")
@@ -189,7 +197,7 @@ MASKS = BY_MODE + ", masks as (select coalesce(mask, 0) as mask, count(*) as str
 
 @query(f"with {MASKS} select mask, streets from masks")
 def proximity_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.proximity_masks(_by_mode(spark, sf_dir), view(spark, sf_dir, "edges"))
+    return access.proximity_masks(_by_mode(spark, sf_dir), lines(spark, sf_dir))
 
 
 @query(f"with {MASKS}, p as (select cast(range as int) as pick from range(128)) select array_to_string(list_filter([" + ", ".join(f"case when pick & {1 << b} <> 0 then '{m}' end" for b, m, *_ in MODES) + "], lambda x: x is not null), ',') as selection, cast(coalesce((select sum(streets) from masks where mask & pick <> 0), 0) as bigint) as near from p")
@@ -224,7 +232,7 @@ def distance_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BY_MODE} select street_id, coalesce(min(least(dist_m, 5001)) filter (mode in ('subway', 'brt', 'cable_car')), 5000) as dist_m from (select distinct street_id from {{edges}}) left join by_mode using (street_id) group by 1")
 def active_mode_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.active_distance(_by_mode(spark, sf_dir), view(spark, sf_dir, "edges"), ACTIVE)
+    return access.active_distance(_by_mode(spark, sf_dir), lines(spark, sf_dir), ACTIVE)
 
 
 def _streets(spark: SparkSession, sf_dir: str, decimals: int | None = None) -> DataFrame:
@@ -421,6 +429,12 @@ def transit_times_multi_dest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.transit_times(**_scheduled(spark, sf_dir, DESTINATIONS)).select("station_id", F.round("minutes", 6).alias("minutes"))
 
 
+@query(scheduled_sql(DESTINATIONS))
+def transit_times_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins, as for a network of any size."""
+    return graph.transit_times(**_scheduled(spark, sf_dir, DESTINATIONS), graph_rows=0).select("station_id", F.round("minutes", 6).alias("minutes"))
+
+
 KINDS = """rides2 as (select * from {rides} where minutes > 0), services2 as (select src as s, service_key as k from rides2 union select dst, service_key from rides2),
 steps as (select s as src, k as ssvc, s as dst, '' as dsvc, 0e0 as minutes, 'alight' as kind from services2
   union all select s, '', s, k, coalesce(w.wait_min, 4e0), 'wait' from services2 left join {waits} w on w.station_id = s and w.service_key = k
@@ -448,6 +462,12 @@ def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.routes(**_scheduled(spark, sf_dir, (0,))).drop("dest").withColumn("minutes", F.round("minutes", 6))
 
 
+@query(f"/*recursive*/with {legs_sql(0)} select station_id, leg_no, type, src, dst, service_key, mode, round(minutes, 6) as minutes from legs")
+def route_legs_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins, as for a network of any size."""
+    return graph.routes(**_scheduled(spark, sf_dir, (0,)), graph_rows=0).drop("dest").withColumn("minutes", F.round("minutes", 6))
+
+
 TIMES = "times as (select id as station_id, cast(id*7 % 110 as double) as minutes from {open_stations} where id % 6 <> 2)"
 BEST = TOP5 + ", " + TIMES + """, best as (select * from (select street_id, station_id, dist_m, dist_m/80e0 as walk_min, coalesce(minutes, 90e0) as transit_min, dist_m/80e0 + coalesce(minutes, 90e0) as total_min,
   row_number() over (partition by street_id order by dist_m/80e0 + coalesce(minutes, 90e0), ord) as r from (select t.*, m.minutes from top5 t left join times m using (station_id))) where r = 1)"""

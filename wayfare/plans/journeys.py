@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import display, geo
 from wayfare.operators import access, graph, schedule, stations, streets
 from wayfare.operators.tables import MODES
-from wayfare.plans.catalog import ACTIVE, BOX, BY_MODE, DAY_FLAGS, DISTANCES, SEGMENTS, STATES, TOP5, YELLOW, _scheduled, _streets, case_mode, legs_sql, query, ramp_sql, walks_sql
+from wayfare.plans.catalog import ACTIVE, BOX, BY_MODE, DAY_FLAGS, DISTANCES, SEGMENTS, STATES, TOP5, YELLOW, _scheduled, _streets, case_mode, legs_sql, lines, query, ramp_sql, walks_sql
 from wayfare.plans.synth import view
 from wayfare.sources import gtfs
 
@@ -27,7 +27,7 @@ candidates as (select street_id, station_id, s.mode, dist_m, rank as ord from to
 
 
 def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return view(spark, sf_dir, "edges"), view(spark, sf_dir, "stations")
+    return lines(spark, sf_dir), view(spark, sf_dir, "stations")
 
 
 # --- streets and access ---
@@ -69,7 +69,7 @@ def time_street_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BY_MODE} select street_id, " + ", ".join(f"max(dist_m) filter (mode = '{m}') as {m}" for _, m, *_ in MODES) + " from by_mode group by 1")
 def wide_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streets.wide(access.nearest(view(spark, sf_dir, "edges"), view(spark, sf_dir, "open_stations"), 1, by_mode=True))
+    return streets.wide(access.nearest(lines(spark, sf_dir), view(spark, sf_dir, "open_stations"), 1, by_mode=True))
 
 
 SEGMENT_EDGES = f"""{SEGMENTS},
