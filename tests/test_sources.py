@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfare.operators import schedule
-from wayfare.sources import geojson, gtfs
+from wayfare.sources import geojson, gtfs, json_ranges, tile_archive
 from wayfare.streaming import departures
 
 
@@ -87,3 +89,68 @@ def test_metro_box(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
     own, edges = gtfs.in_metro(s, e)
     assert own.count() == 2 and [tuple(r) for r in edges.collect()] == [("a", "b")]
+
+
+def tricky(rng):
+    return "".join(rng.choice(['a', 'é', '"', "\\", "{", "}", "[", "]", '"features":[{', "\n", ","]) for _ in range(rng.randint(0, 20)))
+
+
+@pytest.mark.parametrize("range_bytes", [61, 300, 1 << 20])
+def test_file_in_ranges(spark, tmp_path, range_bytes):
+    """Objects with quotes, escapes and brackets in their strings, at any cut, by several tasks; other arrays and nested keys of the name don't count."""
+    rng = random.Random(range_bytes)
+    rows = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [k / 7, -k]}, "properties": {"n": tricky(rng), "features": [{"x": tricky(rng)}]}} for k in range(30)]
+    doc = {"meta": {"features": [{"n": 1}], "s": tricky(rng)}, "other": [{"a": 1}], "features": rows, "after": [{"b": tricky(rng)}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc, ensure_ascii=bool(range_bytes % 2)))
+    got = json_ranges.objects_of(spark, str(tmp_path / "a.json"), "features", range_bytes)
+    assert [json.loads(r.value) for r in got.orderBy("pos").collect()] == rows and [r.pos for r in got.orderBy("pos").collect()] == list(range(30))
+    assert (got.rdd.getNumPartitions() > 10) == (range_bytes == 61)
+    points = geojson.read_features(spark, str(tmp_path / "a.json"), "n string", range_bytes=range_bytes)
+    assert [(r.ord, r.n, r.lon, r.lat) for r in points.orderBy("ord").collect()] == [(k, f["properties"]["n"], *f["geometry"]["coordinates"]) for k, f in enumerate(rows)]
+    for text in ('{"features": []}', "{}", "", '{"x": "\\"features\\": ["}'):
+        (tmp_path / "b.json").write_text(text)
+        assert json_ranges.objects_of(spark, str(tmp_path / "b.json"), "features", range_bytes).count() == 0
+
+
+def test_tile_archive(spark, tmp_path):
+    """A viewport gives what a filter over all rows gives, and reads few of the bytes."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice([8, 10, 13, 14]), rng.uniform(-99.6, -98.6), rng.uniform(19.0, 20.0), "n" * rng.randint(0, 9)) for k in range(20_000)]
+    own = spark.createDataFrame([*rows, (-1, 10, float("nan"), 19.0, ""), (-2, 10, None, 19.0, ""), (-3, None, -99.0, 19.0, ""), (-4, 10, -200.0, 19.0, "")], "id long, minzoom int, lon double, lat double, name string")
+    path = str(tmp_path / "tiles")
+    tile_archive.write(own, path, tasks=3)
+    every = tile_archive.read(spark, path)
+    assert sorted(tuple(r)[:5] for r in every.collect()) == sorted(rows)
+    for zoom, box in ((10, (-99.2, 19.3, -99.1, 19.4)), (14, (-98.9, 19.9, -98.61, 20.3)), (7, (-99.2, 19.3, -99.1, 19.4))):
+        found = tile_archive.viewport(spark, path, zoom, *box)
+        cell = lambda x: int(x // tile_archive.DEGREES)
+        want = {r[0] for r in rows if r[1] <= zoom and cell(box[0]) <= cell(r[2]) <= cell(box[2]) and cell(box[1]) <= cell(r[3]) <= cell(box[3])}
+        assert {r.id for r in found.collect()} == want
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.bytes = f, 0
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def read(self, n):
+            self.bytes += n
+            return self.f.read(n)
+
+    reader = tile_archive.Reader(path)
+    names = [("minzoom", tile_archive.LessThanOrEqual, 10), ("cx", tile_archive.GreaterThanOrEqual, -1984), ("cx", tile_archive.LessThanOrEqual, -1982), ("cy", tile_archive.EqualTo, 387)]
+    list(reader.pushFilters([kind((name,), v) for name, kind, v in names]))
+    read = 0
+    for piece in reader.partitions():
+        with tile_archive.opened(f"{path}/{piece.name}")[0].open_input_file(f"{path}/{piece.name}") as f:
+            counting = Counting(f)
+            list(tile_archive.entries_of(counting, piece.ranges))
+            read += counting.bytes
+    size = sum(p.stat().st_size for p in (tmp_path / "tiles").glob("*.tiles"))
+    assert 0 < read < size / 4
+
+
+def test_archive_of_nothing(spark, tmp_path):
+    tile_archive.write(spark.createDataFrame([], "id long, minzoom int, lon double, lat double"), str(tmp_path / "t"))
+    assert tile_archive.read(spark, str(tmp_path / "t")).count() == 0

@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.streets import POINTS
+from wayfare.sources.json_ranges import RANGE_BYTES, objects_of
 
 ELEMENT = "type string, id bigint, lon double, lat double, center struct<lon: double, lat: double>, tags map<string, string>, geometry array<struct<lon: double, lat: double>>, members array<struct<type: string, ref: bigint, role: string>>"
 
 
-def read_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Elements of saved responses, one for each (type, id): that of the last path; ord is their order by path and place."""
-    frames = [spark.read.schema(f"elements array<struct<{_nested(ELEMENT)}>>").json(p, multiLine=True).select(F.lit(k).alias("tile"), F.posexplode("elements").alias("pos", "e")) for k, p in enumerate(paths)]
+def read_elements(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Elements of saved responses, one for each (type, id): that of the last path; ord is their order by path and place. A file is read in ranges of its bytes."""
+    frames = [objects_of(spark, p, "elements", range_bytes).select(F.lit(k).alias("tile"), "pos", F.from_json("value", ELEMENT).alias("e")) for k, p in enumerate(paths)]
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
-    rows = rows.select("tile", "pos", "e.*").withColumn("r", F.row_number().over(Window.partitionBy("type", "id").orderBy(F.desc("tile"), F.desc("pos")))).where("r = 1").drop("r")
-    return rows.withColumn("ord", F.col("tile") * F.lit(1 << 32) + F.col("pos")).drop("tile", "pos")
+    last = rows.groupBy(F.col("e.type").alias("t"), F.col("e.id").alias("i")).agg(F.max_by(F.struct("tile", "pos", "e"), F.struct("tile", "pos")).alias("last"))
+    return last.select("last.e.*", (F.col("last.tile") * F.lit(1 << 40) + F.col("last.pos")).alias("ord"))
 
 
 def _nested(ddl: str) -> str:
@@ -36,11 +37,11 @@ def _nested(ddl: str) -> str:
     return ", ".join(out)
 
 
-def read_features(spark: SparkSession, path: str, properties: str, line: bool = False) -> DataFrame:
-    """Features of a collection: the properties (as DDL), and lon and lat, or the pts of lines."""
+def read_features(spark: SparkSession, path: str, properties: str, line: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Features of a collection: their order, the properties (as DDL), and lon and lat, or the pts of lines. A file is read in ranges of its bytes."""
     kind = "array<array<double>>" if line else "array<double>"
-    shape = f"features array<struct<geometry: struct<type: string, coordinates: {kind}>, properties: struct<{_nested(properties)}>>>"
-    rows = spark.read.schema(shape).json(path, multiLine=True).select(F.posexplode("features").alias("ord", "f"))
+    shape = f"geometry struct<type: string, coordinates: {kind}>, properties struct<{_nested(properties)}>"
+    rows = objects_of(spark, path, "features", range_bytes).select(F.col("pos").alias("ord"), F.from_json("value", shape).alias("f"))
     if line:
         return rows.select("ord", "f.properties.*", F.transform("f.geometry.coordinates", lambda c: F.struct(c[0].alias("lon"), c[1].alias("lat"))).alias("pts"))
     return rows.select("ord", "f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
