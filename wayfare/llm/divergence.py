@@ -33,7 +33,7 @@ TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Documents of a language that must hold a term for it to be kept; ranks of terms that are returned.
 LEAST_DOCS, TOP = 3, 200
 #: Terms of a block on average, distinct terms that a task holds before it hands them on, rounds of the tournament in one job.
-BLOCK, HELD, ROUNDS = 1 << 16, 300_000, 10
+BLOCK, HELD, ROUNDS = 1 << 16, 500_000, 10
 
 Vector = tuple[np.ndarray, np.ndarray]
 
@@ -41,23 +41,26 @@ Vector = tuple[np.ndarray, np.ndarray]
 def counted(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and the documents that have the term; a row with a null term for each group."""
 
+    one = 1 << 40  # a document, beside its occurrences
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter[str], Counter[str]]] = {}
+        held: dict[tuple[str, str], dict[str, int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, found) in held.items():
-                terms = [None, *n]
-                cols = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(found.__getitem__, n)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+            for (lang, source), found in held.items():
+                sums = np.fromiter(found.values(), np.int64, len(found))
+                n, terms = len(found) + 1, pa.array([None, *found], pa.string())
+                own = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*own, terms, *(pa.array(np.append(0, x)) for x in (sums % one, sums // one))], names=["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, found = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(TERM.findall(text.encode().lower().decode()))
-                n.update(own)
-                found.update(own.keys())
-            if sum(len(n) for n, _ in held.values()) > HELD:
+                found = held.setdefault((lang, source), {})
+                before = found.get
+                for term, n in Counter(TERM.findall(text.encode().lower().decode())).items():
+                    found[term] = before(term, 0) + n + one
+            if sum(map(len, held.values())) > HELD:
                 yield from out()
         yield from out()
 
