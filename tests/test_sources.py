@@ -4,11 +4,12 @@ import json
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare.operators import schedule
-from wayfare.sources import geojson, gtfs, json_ranges, tile_archive
+from wayfare.sources import geojson, gtfs, json_ranges, sidecars, tile_archive
 from wayfare.streaming import departures
 
 
@@ -154,3 +155,18 @@ def test_tile_archive(spark, tmp_path):
 def test_archive_of_nothing(spark, tmp_path):
     tile_archive.write(spark.createDataFrame([], "id long, minzoom int, lon double, lat double"), str(tmp_path / "t"))
     assert tile_archive.read(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_sidecars(spark, tmp_path):
+    """Columns by place, read back whole and in stretches that cut blocks; places without a value stay without."""
+    rng = random.Random(9)
+    rows = [(k, pool, mode, rng.choice([0, 25, 25, 5001, rng.randrange(5000)]), rng.choice([-1, 3, 3, 70])) for k in range(500) for pool in ("open", "future") for mode in ("subway", "brt") if rng.random() < 0.8 and not (pool == "future" and mode == "brt")]
+    features = spark.createDataFrame([(f"s{k}", *r) for k, *r in rows], "street_id string, pool string, mode string, dist_m int, station_ord int")
+    numbers = spark.createDataFrame([(f"s{k}", k) for k in range(500)], "street_id string, i long")
+    sidecars.write(features, numbers, str(tmp_path / "s"), block=64)
+    assert sorted(map(tuple, sidecars.read(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+    for low, high in ((0, 1), (63, 65), (100, 400), (499, 600)):
+        got = sidecars.read(spark, str(tmp_path / "s"), low, high, ["subway"])
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if low <= r[0] < high and r[2] == "subway")
+    for values in ([], [5], [7, 7, 7], [0, -1, 5001, 5001, -(1 << 31)], list(range(300))):
+        assert sidecars.decoded(sidecars.coded(np.array(values, np.int64))).tolist() == values

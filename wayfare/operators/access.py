@@ -42,10 +42,15 @@ def subset_near_counts(masks: DataFrame) -> DataFrame:
     return hits.groupBy("pick").agg(F.coalesce(F.sum("streets"), F.lit(0)).alias("near")).select(names.alias("selection"), "near")
 
 
-def active_distance(by_mode: DataFrame, streets: DataFrame, active: list[str], most: int = 5000) -> DataFrame:
-    """(street_id, dist_m): the least distance to the active modes; over-range ones count as most + 1, none as most."""
+def active_distance(by_mode: DataFrame, streets: DataFrame, active: list[str], most: int = 5000, future: DataFrame | None = None) -> DataFrame:
+    """(street_id, dist_m): the least distance to the active modes; over-range ones count as most + 1, none as most.
+
+    by_mode: the nearest open station of each mode; future: the nearest of those that aren't open, where they count too.
+    """
     d = F.when(F.col("dist_m") > most, most + 1).otherwise(F.col("dist_m"))
-    rows = by_mode.where(F.col("mode").isin(active) if active else F.lit(False)).groupBy("street_id").agg(F.min(d).alias("dist_m"))
+    found = by_mode.select("street_id", "mode", "dist_m")
+    found = found if future is None else found.unionByName(future.select("street_id", "mode", "dist_m"))
+    rows = found.where(F.col("mode").isin(active) if active else F.lit(False)).groupBy("street_id").agg(F.min(d).alias("dist_m"))
     return streets.select("street_id").distinct().join(rows, "street_id", "left").select("street_id", F.coalesce("dist_m", F.lit(most)).cast("int").alias("dist_m"))
 
 
@@ -63,6 +68,17 @@ def street_features(streets: DataFrame, stations: DataFrame, most: int = 5000) -
     return out[0].unionByName(out[1])
 
 
+def tile_segments(streets: DataFrame, max_length_m: float = 200.0) -> DataFrame:
+    """(street_id, seg_no, pts), stored: streets (street_id, pts) cut at junctions and at max_length_m."""
+    return stored(split(streets, junctions(streets), max_length_m), "segments")
+
+
+def segment_features(segments: DataFrame, stations: DataFrame, most: int = 5000) -> DataFrame:
+    """street_features() of segments, whose street_id is (street_id, seg_no), with nearest, the least distance to an open station."""
+    found = street_features(segments.select(F.struct("street_id", "seg_no").alias("street_id"), "pts"), stations, most)
+    return found.withColumn("nearest", F.min(F.when(F.col("pool") == "open", F.col("dist_m"))).over(Window.partitionBy("street_id")))
+
+
 def tile_features(streets: DataFrame, stations: DataFrame, max_length_m: float = 200.0, most: int = 5000) -> DataFrame:
     """(street_id, seg_no, pool, mode, dist_m, station_ord, nearest_m, over, minzoom): streets as tiles have them.
 
@@ -70,14 +86,26 @@ def tile_features(streets: DataFrame, stations: DataFrame, max_length_m: float =
     future station of each mode, distances to 25 m, most + 1 beyond. nearest_m: the least to an open
     station, over: 1 where that is beyond; minzoom: the first zoom of the road's class.
     """
-    cut = stored(split(streets, junctions(streets), max_length_m), "segments")
-    found = street_features(cut.select(F.struct("street_id", "seg_no").alias("street_id"), "pts"), stations, most)
-    found = found.withColumn("nearest", F.min(F.when(F.col("pool") == "open", F.col("dist_m"))).over(Window.partitionBy("street_id")))
+    found = segment_features(tile_segments(streets, max_length_m), stations, most)
     rows = found.select("street_id.*", "pool", "mode", display.tile_distance(F.col("dist_m"), most=most).alias("dist_m"), "station_ord", display.tile_distance(F.col("nearest"), most=most).alias("nearest_m"), F.when(F.col("nearest") > most, 1).alias("over"))
     zoom = lookup(MIN_ZOOM, F.coalesce("h", F.lit("")), OTHER_ZOOM).cast("int").alias("minzoom")
     return rows.join(streets.select("street_id", zoom).distinct(), "street_id").select("street_id", "seg_no", "pool", "mode", "dist_m", "station_ord", "nearest_m", "over", "minzoom")
 
 
+def tile_statistics(segments: DataFrame, stations: DataFrame, most: int = 5000) -> DataFrame:
+    """(kind, key, n): what the metadata of tiles has of their segments, before distances are rounded.
+
+    histogram: segments within each distance of an open station, and beyond (over_5000); near: segments within 2,500 m of any of a
+    selection's modes, for each selection; count: segments, source_streets. segments: tile_segments().
+    """
+    found = segment_features(segments, stations, most).where("pool = 'open'")
+    nearest_ = segments.select(F.struct("street_id", "seg_no").alias("street_id")).join(found.groupBy("street_id").agg(F.min("dist_m").alias("dist_m")), "street_id", "left").withColumn("dist_m", F.coalesce("dist_m", F.lit(most + 1)))
+    bars = distance_histogram(nearest_).select(F.explode(F.create_map(*[x for c in ("under_500", "under_1000", "under_2500", "under_5000", "over_5000") for x in (F.lit(c), F.col(c))])).alias("key", "n"))
+    near = subset_near_counts(proximity_masks(found, nearest_)).select(F.lit("near").alias("kind"), F.col("selection").alias("key"), F.col("near").alias("n"))
+    counts = segments.agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("street_id").alias("source_streets")).select(F.explode(F.create_map(F.lit("segments"), F.col("segments"), F.lit("source_streets"), F.col("source_streets"))).alias("key", "n"))
+    return bars.select(F.lit("histogram").alias("kind"), "key", "n").unionByName(near).unionByName(counts.select(F.lit("count").alias("kind"), "key", "n"))
+
+
 def included(stations: DataFrame, include_future: bool = False) -> DataFrame:
     """Open stations, and all with include_future."""
     return stations if include_future else stations.where("status = 'open'")

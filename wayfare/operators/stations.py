@@ -53,6 +53,11 @@ def context(names: tuple[str, ...] = CONTEXT_TAGS) -> Column:
     return F.concat_ws(" ", F.filter(F.array(*map(bare, names)), lambda x: x != ""))
 
 
+def has_prefix(prefix: str, tags: str = "tags") -> Column:
+    """Whether any tag's name begins so."""
+    return F.coalesce(F.exists(F.map_keys(tags), lambda k: k.startswith(prefix)), F.lit(False))
+
+
 def is_false_positive(name: Column) -> Column:
     return reduce(lambda a, b: a | b, (normalize(name, trim=False).rlike(p) for p in FALSE_NAMES))
 
@@ -98,7 +103,7 @@ def status(today: Column) -> Column:
     has = F.coalesce(opening, F.lit("")) != ""
     future = opening_is_future(opening, today)
     railway, building = bare("railway"), bare("construction")
-    proposed = (bare("proposed") == "yes") | F.coalesce(F.exists(F.map_keys("tags"), lambda k: k.startswith("proposed:")), F.lit(False)) | railway.isin("proposed", "prpopsed")
+    proposed = (bare("proposed") == "yes") | has_prefix("proposed:") | railway.isin("proposed", "prpopsed")
     rules = [(around.rlike(p), made("future", F.when(has, F.concat(F.lit(f"{detail}; opening "), opening)).otherwise(detail), why)) for p, detail, why in FUTURE_NETWORKS]
     rules += [
         (has & F.coalesce(future, F.lit(False)), made("future", F.concat(F.lit("Opening "), opening), "OSM opening_date is in the future")),

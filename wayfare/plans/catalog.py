@@ -369,7 +369,11 @@ links as (select src, dst, rank, m, m/({SPEED.replace('{m}', 'mode')}*1000/60) +
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "open_stations").withColumn("groups", text.route_groups(F.col("route_ref"), F.col("route_name"), F.col("network")))
+    return with_groups(view(spark, sf_dir, "open_stations"))
+
+
+def with_groups(own: DataFrame) -> DataFrame:
+    return own.withColumn("groups", text.route_groups(F.col("route_ref"), F.col("route_name"), F.col("network")))
 
 
 @query(f"with {walks_sql(250)} select src, dst, round(min(minutes), 6) as minutes from (select src, dst, minutes from walk1 union all select dst, src, minutes from walk1) group by 1, 2")
@@ -390,11 +394,14 @@ def _times_sql(edges: str, targets: tuple[int, ...], start: str = "id") -> str:
   left join recurring.best r on r.node = n.src and r.svc = n.ssvc where r.minutes is null or n.m < r.minutes)"""
 
 
-@query(f"""/*recursive*/with {walks_sql(300)}, {RIDES}, one as (select src, dst, minutes from walk1 union all select src, dst, minutes from links),
+UNSCHEDULED = f"""/*recursive*/with {walks_sql(300)}, {RIDES}, one as (select src, dst, minutes from walk1 union all select src, dst, minutes from links),
 sym as (select src, '' as ssvc, dst, '' as dsvc, min(minutes) as minutes from (select src, dst, minutes from one union all select dst, src, minutes from one) group by 1, 3),
 {_times_sql('sym', (0,))}
 select id as station_id, round(case when b.minutes is null then 90e0 when b.minutes > 0 then b.minutes + coalesce(w.wait_min, 4e0) else 0e0 end, 6) as minutes
-from {{open_stations}} left join best b on b.node = id left join {{waits}} w on w.station_id = id""")
+from {{open_stations}} left join best b on b.node = id left join {{waits}} w on w.station_id = id"""
+
+
+@query(UNSCHEDULED)
 def transit_times_unscheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     dest = spark.createDataFrame([(0, 0)], "dest int, station_id long")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.streets import POINTS
-from wayfare.sources.json_ranges import RANGE_BYTES, objects_of
+from wayfare.sources.json_ranges import RANGE_BYTES, objects_of, opened
 
 ELEMENT = "type string, id bigint, lon double, lat double, center struct<lon: double, lat: double>, tags map<string, string>, geometry array<struct<lon: double, lat: double>>, members array<struct<type: string, ref: bigint, role: string>>"
 
@@ -65,9 +67,19 @@ def write_features(df: DataFrame, path: str, properties: list[str], line: bool =
 
 def write_collection(df: DataFrame, path: str, properties: list[str], line: bool = False) -> None:
     """One FeatureCollection in the order of df: a single file, as the format asks for, so for what a map loads whole; its writer streams the features. Without features there is no file."""
+    write_array(_as_features(df, properties, line), path, '{"type":"FeatureCollection","features":[')
+
+
+def write_elements(elements: DataFrame, path: str) -> None:
+    """Elements (see ELEMENT) as a saved response, a single file in their order."""
+    write_array(elements.select(F.to_json(F.struct(*elements.columns)).alias("value")), path, '{"elements":[')
+
+
+def write_array(values: DataFrame, path: str, head: str) -> None:
+    """One object whose last key has an array of the values (value: JSON)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+        yield pd.DataFrame({"value": [head]})
         first = True
         for pdf in batches:
             if len(pdf):
@@ -76,7 +88,13 @@ def write_collection(df: DataFrame, path: str, properties: list[str], line: bool
                 first = False
         yield pd.DataFrame({"value": ["]}"]})
 
-    _as_features(df, properties, line).coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+    values.coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def single(path: str) -> str:
+    """The file that write_collection() or write_elements() has made in its folder."""
+    fs, own = opened(path)
+    return next(f"{path}/{f.base_name}" for f in fs.get_file_info(pa.fs.FileSelector(own)) if f.base_name.startswith("part-"))
 
 
 def write_tiles(segments: DataFrame, path: str, degrees: float = 0.05) -> None:

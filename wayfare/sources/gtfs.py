@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
@@ -60,6 +61,28 @@ def read_zip(spark: SparkSession, path: str, table: str) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
+def write_table(df: DataFrame, folder: str, table: str) -> None:
+    """A table of a feed in a folder, under its name; a file for each partition, each with the header."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{table}.txt")
+
+
+def write_zips(df: DataFrame, folder: str, table: str) -> None:
+    """A table in zip files, one for each partition that has rows."""
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in batches for r in pdf.fillna("").itertuples(index=False)]
+        if rows:
+            fs, own = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+            fs.create_dir(own, recursive=True)
+            with fs.open_output_stream(f"{own}/feed-{uuid.uuid4().hex}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{table}.txt", "w") as t:
+                with io.TextIOWrapper(t, "utf-8", newline="") as out:
+                    csv.writer(out).writerows([names, *rows])
+        yield pd.DataFrame({"n": [len(rows)]})
+
+    df.mapInPandas(run, "n long").agg(F.sum("n")).first()
+
+
 def stop_rows(stops: DataFrame) -> DataFrame:
     """Rows that are stations: finite places; stations and parents, and what has no parent and is no entrance or node."""
     parents = stops.where("parent_station <> ''").select(F.col("parent_station").alias("p")).distinct()
