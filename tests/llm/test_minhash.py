@@ -106,3 +106,22 @@ def test_unlike_sizes(spark):
     rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(map(tuple, got.collect())) == brute(rows)
+
+
+def test_texts_of_shared_paragraphs(spark):
+    """Texts of 28 out of 40 paragraphs share most of their shingles, and few are linked: pairs are compared in blocks, and few are written down."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    parts = [[word() for _ in range(9)] for _ in range(40)]
+    for n in (200, 400):
+        rows = [(k, " ".join(w for p in sorted(rng.sample(range(40), 28)) for w in parts[p])) for k in range(n)]
+        seen = []
+
+        class Counting(minhash.Search):
+            def verified(self, pairs):
+                seen.append(pairs.count())
+                return super().verified(pairs)
+
+        got = Counting(spark, spark.createDataFrame(rows, "doc_id long, text string"), 75).run()
+        assert set(map(tuple, got.collect())) == brute(rows)
+        assert sum(seen) < 50 * n

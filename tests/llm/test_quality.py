@@ -56,3 +56,38 @@ def test_odd_rows(spark):
     assert [r.score for r in got] == [0.5] * 4 and [r.predicted for r in got] == [1] * 4
     both = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (7, None)], "doc_id long, quality int")
     assert quality.classify(docs, both).count() == 4 and quality.classify(docs.limit(0), both).count() == 0
+
+
+def plain_score(model, passages):
+    """The forward pass of one document, in loops over passages and units."""
+    import math
+
+    w = model.weights
+    hidden, gates = [], []
+    for x in passages:
+        x = [(v - m) / s for v, m, s in zip(x.tolist(), model.mean.tolist(), model.scale.tolist(), strict=True)]
+        h = [math.tanh(sum(x[f] * w["encode"][f][u] for f in range(len(x))) + w["encode_b"][u]) for u in range(len(w["encode_b"]))]
+        gate = 0.0
+        for g in range(len(w["attend"])):
+            t = math.tanh(sum(h[u] * w["gate_t"][u][g] for u in range(len(h))))
+            s = 1 / (1 + math.exp(-sum(h[u] * w["gate_s"][u][g] for u in range(len(h)))))
+            gate += t * s * w["attend"][g]
+        hidden.append(h)
+        gates.append(math.exp(gate))
+    z = [sum(a * h[u] for a, h in zip(gates, hidden, strict=True)) / sum(gates) for u in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["score"], strict=True)) + w["score_b"][0])))
+
+
+def test_plain_version(spark):
+    """Every score again, passage by passage, and what is held out; held-out labels change nothing."""
+    docs = [(k, f"w{k} " * (k * 7 % 400) + ("Good words, well put. " if k % 2 else "x1 || 99 ") * (k % 40)) for k in range(60)] + [(60, None), (61, ""), (62, "Long " * 8000)]
+    labels = [(k, k % 2) for k in range(60)]
+    df, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(df, own)
+    got = {r.doc_id: r for r in quality.classify(df, own).collect()}
+    for k, text in docs:
+        assert got[k].score == pytest.approx(plain_score(model, quality.passages([text])[0]), rel=1e-4)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and got[k].predicted == int(got[k].score >= 0.3)
+    turned = [(k, 1 - y if zlib.crc32(str(k).encode()) % 5 == 0 else y) for k, y in labels]
+    again = {r.doc_id: r.score for r in quality.classify(df, spark.createDataFrame(turned, "doc_id long, quality int")).collect()}
+    assert again == {k: r.score for k, r in got.items()}

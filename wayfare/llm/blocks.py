@@ -128,6 +128,7 @@ def meetings(entries: DataFrame, traits: DataFrame, judge: Judge, forest: bool,
             n_right = np.bincount(row[right], minlength=len(count))
             ends, first_right = np.cumsum(n_right[row[left]]), (np.cumsum(n_right) - n_right)[row[left]]
             passes, a, b = judge(cols), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             total = int(ends[-1]) if len(ends) else 0
             for lo in range(0, total, AT_ONCE):
                 pair = np.arange(lo, min(total, lo + AT_ONCE))
@@ -142,7 +143,12 @@ def meetings(entries: DataFrame, traits: DataFrame, judge: Judge, forest: bool,
                         ok = ok[_forest(label[i[ok]], label[j[ok]])]
                     a.append(node[i[ok]])
                     b.append(node[j[ok]])
-            both = np.unique(np.sort(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=1), axis=0)
+                    labels[0].append(label[i[ok]])
+                    labels[1].append(label[j[ok]])
+            found, of = np.column_stack([np.concatenate(a), np.concatenate(b)]), np.column_stack([np.concatenate(c) for c in labels])
+            if forest:
+                found = found[_forest(of[:, 0], of[:, 1])]
+            both = np.unique(np.sort(found, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()

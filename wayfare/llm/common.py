@@ -16,21 +16,21 @@ def work_root(spark: SparkSession) -> str:
     """The folder for work tables: spark.checkpoint.dir, which all executors share.
 
     Where it is unset, a local master gets one temporary folder per process, and a
-    cluster the warehouse folder, if that isn't local to a machine; else there is none, and an error.
+    cluster the warehouse folder. A cluster's folder can't be local to a machine: then there is
+    an error, unless all its machines are this one (local-cluster).
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if ":" not in warehouse or warehouse.startswith("file:"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return warehouse + "/_work"
-    if not _LOCAL_WORK:
-        folder = tempfile.mkdtemp(prefix="wayfare-work-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _LOCAL_WORK.append(folder)
-    return "file://" + _LOCAL_WORK[0]
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root:
+        if master.startswith("local"):
+            if not _LOCAL_WORK:
+                folder = tempfile.mkdtemp(prefix="wayfare-work-")
+                atexit.register(shutil.rmtree, folder, ignore_errors=True)
+                _LOCAL_WORK.append(folder)
+            return "file://" + _LOCAL_WORK[0]
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if not master.startswith("local") and (":" not in root or root.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

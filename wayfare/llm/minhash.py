@@ -388,9 +388,8 @@ class Search:
         stars = self.label(self.label(stars, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
         self.connect(self.verified(stars))
         self.connect(self.verified(self.apart()))
-        # crowded buckets are connected by few of their pairs, until none of them is a link; then all that are left are verified
-        while self.connect(self.verified(self.crowd(True))):
-            pass
+        # crowded buckets are connected by few of their pairs; then all pairs that are left are verified
+        self.connect(self.verified(self.crowd(True)))
         self.connect(self.verified(self.crowd(False)))
 
         of_class = self.keep(self.label(self.classes.select("digest", F.col("rep").alias("node")), "node", "label"), "near-of-class")

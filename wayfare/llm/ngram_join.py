@@ -36,14 +36,16 @@ from wayfare.llm.minhash import BROADCAST_IDS, components, mixed, shingles, simi
 
 WORDS, PERCENT = 4, 85
 #: Counters of the sketch, of which a chunk is a row; rows that are summed in one group.
-COUNTERS, CHUNK, FAN = 1 << 20, 1 << 14, 256
-SLOT = np.uint64(44)
+COUNTERS, CHUNK, FAN = 1 << 23, 1 << 17, 256
+SLOT = np.uint64(41)
+#: Shingles that a task holds before it counts them.
+HELD = 1 << 21
 #: Counts over this many times a counter's mean make a shingle frequent, and 16 times that very frequent; FLOOR at least.
 TIMES, FLOOR, VERY = 4, 64, 16
 #: Shingles of a prefix for each part of the class by twos, and of that by threes.
 TWOS, THREES = 4, 6
 #: Rounds in which the sets of a key meet one of it, before those that are left meet in blocks.
-ROUNDS = 3
+ROUNDS = 2
 BOTH, PROBE, INDEX = 3, 2, 1
 
 
@@ -126,6 +128,24 @@ def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, ver
     return keys, kinds, place
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A chunk of counters: those that aren't 0 as steps and counts, or all."""
+    at = np.flatnonzero(counts)
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+    if 8 * len(at) < len(counts):
+        return b"S" + zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + counts[at].astype(np.uint64).tobytes(), 1)
+    return (b"D" if kind is np.uint32 else b"Q") + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data[1:])
+    if data[:1] != b"S":
+        return np.frombuffer(raw, np.uint32 if data[:1] == b"D" else np.uint64).astype(np.int64)
+    n, out = len(raw) // 12, np.zeros(CHUNK, np.int64)
+    out[np.cumsum(np.frombuffer(raw[: 4 * n], np.uint32))] = np.frombuffer(raw[4 * n :], np.uint64)
+    return out
+
+
 class Join:
     """The state of one run."""
 
@@ -144,17 +164,24 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "n", "digest", "chunk", "counts"]
-            tally = np.zeros(COUNTERS, np.int64)
+            tally, held = np.zeros(COUNTERS, np.uint32), [np.zeros(0, np.uint64)]
+
+            def count() -> None:
+                np.add(tally, np.bincount((np.concatenate(held) >> SLOT).astype(np.int64), minlength=COUNTERS), out=tally, casting="unsafe")
+                held[:] = [np.zeros(0, np.uint64)]
+
             for b in batches:
                 sets = shingles(b.column(1).to_pylist(), words)
-                tally += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> SLOT).astype(np.int64), minlength=COUNTERS)
+                held += sets
+                if sum(map(len, held)) > HELD:
+                    count()
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), *none], names=names)
-            used = [k for k in range(COUNTERS // CHUNK) if tally[k * CHUNK : (k + 1) * CHUNK].any()]
-            none = pa.nulls(len(used), pa.int64())
-            packed = [zlib.compress(tally[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in used]
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            count()
+            packed = {k: _packed(own) for k in range(COUNTERS // CHUNK) if (own := tally[k * CHUNK : (k + 1) * CHUNK]).any()}
+            none = pa.nulls(len(packed), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(packed), pa.binary()), pa.array(packed.keys(), pa.int32()), pa.array(packed.values(), pa.binary())], names=names)
 
         both = self.docs.mapInArrow(run, "doc_id long, n long, digest binary, chunk int, counts binary").withColumn("task", F.spark_partition_id())
         both = self.keep(both, "ngram-signed")
@@ -168,8 +195,8 @@ class Join:
         def added(table: pa.Table) -> pa.Table:
             total = np.zeros(CHUNK, np.int64)
             for c in table.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(c), np.int64)
-            return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": [zlib.compress(total.tobytes(), 1)], "task": table.column("lot").slice(0, 1)})
+                total += _unpacked(c)
+            return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": [_packed(total)], "task": table.column("lot").slice(0, 1)})
 
         tasks = (tallies.agg(F.max("task")).first()[0] or 0) + 1
         while True:  # a tree of sums, FAN rows to a group
@@ -179,7 +206,7 @@ class Join:
                 break
         counts = np.zeros(COUNTERS, np.int64)
         for chunk, packed, _ in tallies.collect():  # COUNTERS / CHUNK rows
-            counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(packed), np.int64)
+            counts[chunk * CHUNK : (chunk + 1) * CHUNK] = _unpacked(packed)
         levels = lambda x: np.minimum(255, np.round(4 * np.log2(x + 1))).astype(np.uint8)
         from_ = max(self.floor, TIMES * counts.mean())
         self.level, self.frequent, self.very = levels(counts), int(levels(np.array(from_))), int(levels(np.array(VERY * from_)))
@@ -309,9 +336,8 @@ class Join:
             for k in range(ROUNDS):
                 if not self.connect(self.verified(self.keep(self.possible(self.stars(k)), "ngram-possible"))):
                     break
-            # what blocks find is connected by few of its pairs, until none of them is a link; then all that are left are verified
-            while self.connect(self.verified(self.keep(self.rest(True), "ngram-rest"))):
-                pass
+            # what blocks find is connected by few of its pairs; then all pairs that are left are verified
+            self.connect(self.verified(self.keep(self.rest(True), "ngram-rest")))
             self.connect(self.verified(self.keep(self.rest(False), "ngram-rest")))
         of_class = self.keep(self.labelled(self.classes.select("digest", F.col("rep").alias("node")), "node", "label"), "ngram-of-class")
         got = self.signed.where("n > 0").join(of_class.select("digest", "label"), "digest").select("doc_id", "n", F.col("label").alias("component_id"))

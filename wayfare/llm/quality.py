@@ -172,9 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
     largest holds. None if all labels left are equal or there are none.
     """
     small_batches(docs.sparkSession)
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
+    chosen = labels.select(F.col(id_col).try_cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +209,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted): fit() and score(); predicted is 1 from the threshold on.
 
-    Scores read the text alone. Equal rows and null ids stay rows of their own; an empty table gives an empty result.
+    Scores read the text alone. Ids of any type are rows of their own; labels are found by ids that are whole numbers, or text of them, and others have no label.
+    Equal rows and null ids stay rows of their own; an empty table gives an empty result.
     """
     scored = score(docs, fit(docs, labels, sample))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
