@@ -11,9 +11,9 @@ parts can hide (k - 1 each). Parts grow in number with the prefix, so a text has
 number of keys in proportion to its length, however frequent its shingles are.
 
 Whatever class holds k shared shingles of the prefix that ends first, the other
-prefix holds them too, so similar sets share a key. Under each key the sets meet
-one of it first; keys whose sets aren't all connected then meet in blocks. Pairs
-pass a bound by parity maps and are verified on the full sets.
+prefix holds them too, so similar sets share a key. Of keys with few sets all
+pairs are looked at. Of others the sets meet one of them first; keys whose sets aren't
+all connected then meet in blocks. Pairs pass a bound by parity maps and are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -41,9 +41,11 @@ SLOT = np.uint64(41)
 #: Shingles that a task holds before it counts them.
 HELD = 1 << 21
 #: Counts over this many times a counter's mean make a shingle frequent, and 16 times that very frequent; FLOOR at least.
-TIMES, FLOOR, VERY = 4, 64, 16
+TIMES, FLOOR, VERY = 4, 512, 16
 #: Shingles of a prefix for each part of the class by twos, and of that by threes.
 TWOS, THREES = 4, 6
+#: Sets of a key up to which all its pairs are looked at, and rows that are scanned at once.
+FEW, ROWS = 8, 1 << 16
 #: Rounds in which the sets of a key meet one of it, before those that are left meet in blocks.
 ROUNDS = 2
 BOTH, PROBE, INDEX = 3, 2, 1
@@ -71,34 +73,37 @@ def parts(step: int, percent: int) -> tuple[int, int]:
     return (two, three) if least - two - 2 * three >= needs(high, percent)[1] else (0, 0)
 
 
-def _joined(tokens: tuple[int, ...], step: int) -> int:
-    """A key of some shingles, which differs from step to step."""
-    x = np.array([step * 4 + len(tokens)], np.uint64)
-    for t in tokens:
-        x = mixed(x * np.uint64(0xA0761D6478BD642F) + np.uint64(t))
-    return int(x[0])
-
-
-def combined(tokens: np.ndarray, kind: np.ndarray, step: int, percent: int, need: int) -> tuple[int, list[tuple[int, int]]]:
-    """Where the prefix ends that needs ``need`` countable shingles, and its combined keys with the place of each one's last shingle.
+def combined(tokens: np.ndarray, kind: np.ndarray, step: int, percent: int, need: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Where the prefix ends that needs ``need`` countable shingles, and its combined keys, which differ from step to step, with the place of each one's last shingle.
 
     tokens are in order, kind says how many of each are a key.
     """
-    own = list(parts(step, percent))
+    own = parts(step, percent)
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not own[0]:
-        return need, []
+        return need, *nothing
     rare = int(np.searchsorted(kind, 2))
-    count, held, keys = min(rare, need), {}, []
-    place = count
-    while count < need:
-        k, token = int(kind[place]), int(tokens[place])
-        part = (k, token % own[k - 2])
-        mates = held.setdefault(part, [])
-        keys += [(_joined((*some, token), step), place) for some in combinations(mates, k - 1)]
-        mates.append(token)
+    place = count = min(rare, need)
+    held: dict[tuple[int, int], list[int]] = {}
+    some: tuple[list[tuple[int, ...]], list[tuple[int, ...]]] = [], []
+    for k, token in zip(kind[place:].tolist(), tokens[place:].tolist(), strict=True):
+        if count >= need:
+            break
+        mates = held.setdefault((k, token % own[k - 2]), [])
+        some[k - 2].extend((*c, place) for c in combinations(mates, k - 1))
+        mates.append(place)
         count += len(mates) >= k
         place += 1
-    return place, keys
+    keys, ends = [nothing[0]], [nothing[1]]
+    for k, rows in enumerate(some, 2):
+        if rows:
+            at = np.array(rows)
+            x = np.full(len(at), step * 4 + k, np.uint64)
+            for c in range(k):
+                x = mixed(x * np.uint64(0xA0761D6478BD642F) + tokens[at[:, c]])
+            keys.append(x)
+            ends.append(at[:, -1])
+    return place, np.concatenate(keys), np.concatenate(ends)
 
 
 def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, very: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,13 +121,13 @@ def keys_of(own: np.ndarray, level: np.ndarray, percent: int, frequent: int, ver
     place = np.arange(1, alone + 1, dtype=np.int64)
     keys, kinds = tokens[:alone], np.where(place <= index, BOTH, PROBE)
     if here and probe > rare:
-        _, found = combined(tokens, kind, step, percent, probe)
-        ends, _ = combined(tokens, kind, step, percent, index)
-        keys = np.concatenate([keys, np.array([k for k, _ in found], np.uint64)])
-        kinds = np.concatenate([kinds, np.array([BOTH if at < ends else PROBE for _, at in found], np.int64)])
+        _, found, at = combined(tokens, kind, step, percent, probe)
+        ends = combined(tokens, kind, step, percent, index)[0]
+        keys = np.concatenate([keys, found])
+        kinds = np.concatenate([kinds, np.where(at < ends, BOTH, PROBE)])
     if above and index > rare:
-        _, found = combined(tokens, kind, step + 1, percent, index)
-        keys = np.concatenate([keys, np.array([k for k, _ in found], np.uint64)])
+        _, found, _ = combined(tokens, kind, step + 1, percent, index)
+        keys = np.concatenate([keys, found])
         kinds = np.concatenate([kinds, np.full(len(found), INDEX)])
     place = np.concatenate([place, np.zeros(len(keys) - len(place), np.int64)])
     return keys, kinds, place
@@ -146,6 +151,68 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def may_be_alike(n: np.ndarray, spot: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that share a key are of sizes, and have it at places, that allow the similarity, and it is for the smaller one's index and the other's probe."""
+    kind, place = spot % 4, spot // 4
+    swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
+    x, y = np.where(swap, j, i), np.where(swap, i, j)
+    share = -(-percent * (n[x] + n[y]) // (100 + percent))
+    left = 1 + np.minimum(n[x] - place[x], n[y] - place[y])
+    same = n[x] == n[y]  # of equal sizes either may be the one in the index
+    way = ((kind[x] & INDEX > 0) & (kind[y] & PROBE > 0)) | (same & (kind[y] & INDEX > 0) & (kind[x] & PROBE > 0))
+    return way & (left >= share) & (n[x] >= share)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, n, spot) in the order of key: pairs (a, b) of keys with up to ``FEW`` rows, and the rows of others as they are."""
+    names = ["key", "a", "n", "spot", "b"]
+    held: list[list[np.ndarray]] = []
+    going: int | None = None  # a key with more rows than FEW, which may go on
+
+    def out(key: np.ndarray, node: np.ndarray, n: np.ndarray, spot: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal going
+        first = np.append(True, key[1:] != key[:-1])
+        length = np.diff(np.append(np.flatnonzero(first), len(key)))
+        run = np.repeat(length, length)
+        many = (run > FEW) | (key == going if going is not None else np.zeros(len(key), bool))
+        stay = 0
+        if not last:
+            if many[-1]:
+                going = int(key[-1])
+            else:
+                stay, going = int(length[-1]), None
+        end = len(key) - stay
+        own = np.flatnonzero(many[:end])
+        a, b, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], (n.astype(np.int64), spot.astype(np.int64), node)
+        for d in range(1, FEW):
+            i = np.flatnonzero((key[:end][d:] == key[:end][:-d]) & ~many[:end][d:]) if end > d else np.zeros(0, np.int64)
+            ok = (node[i] != node[i + d]) & may_be_alike(*cells, i, i + d, percent)
+            a.append(np.minimum(node[i], node[i + d])[ok])
+            b.append(np.maximum(node[i], node[i + d])[ok])
+        pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+        k = len(pairs)
+        columns = (
+            pa.concat_arrays([pa.array(key[own]), pa.nulls(k, pa.int64())]),
+            pa.array(np.append(node[own], pairs[:, 0])),
+            pa.concat_arrays([pa.array(n[own], pa.int32()), pa.nulls(k, pa.int32())]),
+            pa.concat_arrays([pa.array(spot[own], pa.int32()), pa.nulls(k, pa.int32())]),
+            pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(pairs[:, 1])]),
+        )
+        yield pa.RecordBatch.from_arrays(list(columns), names=names)
+        held[:] = [[c[end:] for c in (key, node, n, spot)]] if stay else []
+
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+        if rows >= ROWS:
+            yield from out(*map(np.concatenate, zip(*held, strict=True)), False)
+            rows = sum(len(h[0]) for h in held)
+    if held:
+        yield from out(*map(np.concatenate, zip(*held, strict=True)), True)
+
+
 class Join:
     """The state of one run."""
 
@@ -212,7 +279,7 @@ class Join:
         self.level, self.frequent, self.very = levels(counts), int(levels(np.array(from_))), int(levels(np.array(VERY * from_)))
 
     def index(self) -> None:
-        """entries (key, node, n, spot): the keys that several classes have, with place and kind as one number; heads (node, n, bits)."""
+        """entries (key, node, n, spot): the keys that more than ``FEW`` classes have, with place and kind as one number; few (a, b): the pairs of the others; heads (node, n, bits)."""
         held, percent, words, frequent, very = self.spark.sparkContext.broadcast(self.level), self.percent, self.words, self.frequent, self.very
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +296,17 @@ class Join:
         reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
         heads = self.keep(whole.join(reps, "node", "left_semi"), "ngram-heads")
         self.heads = heads.select("node", "n", "bits")
-        each = heads.select("node", "n", F.inline("keys"))
-        wanted = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_or(F.col("spot").bitwiseAND(BOTH)).alias("kinds")).where(f"c > 1 and kinds = {BOTH}").select("key")
-        self.entries = self.keep(each.join(self.keep(wanted, "ngram-shared"), "key"), "ngram-entries")
+        # a key has a set once at most, so it holds a small part of all rows, however frequent it is
+        ranged = heads.select("node", "n", F.inline("keys")).select("key", "node", "n", "spot").repartition("key").sortWithinPartitions("key")
+        met = self.keep(ranged.mapInArrow(lambda batches: _scanned(batches, percent), "key long, a long, n int, spot int, b long"), "ngram-met")
+        self.entries = met.where("key is not null").select("key", F.col("a").alias("node"), "n", "spot")
+        self.few = met.where("key is null").select("a", "b").distinct()
 
     def gather(self) -> None:
-        """(node, own): the sets of the classes that share a key."""
+        """(node, own): the sets of the classes that may have to be verified."""
         words = self.words
-        ids = self.keep(self.entries.select("node").distinct(), "ngram-ids")
+        near = self.near.select(F.explode(F.array("a", "b")).alias("node"))
+        ids = self.keep(self.entries.select("node").unionByName(near).distinct(), "ngram-ids")
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,17 +380,10 @@ class Join:
 
         def judge(cols: dict[str, pa.Array]):
             n, spot, node = (cols[c].to_numpy().astype(np.int64) for c in ("n", "spot", "node"))
-            kind, place = spot % 4, spot // 4
             check = alike(n, cols["bits"].to_pylist(), percent)
 
             def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
-                x, y = np.where(swap, j, i), np.where(swap, i, j)
-                share = -(-percent * (n[x] + n[y]) // (100 + percent))
-                left = 1 + np.minimum(n[x] - place[x], n[y] - place[y])
-                same = n[x] == n[y]  # of equal sizes either may be the one in the index
-                way = ((kind[x] & INDEX > 0) & (kind[y] & PROBE > 0)) | (same & (kind[y] & INDEX > 0) & (kind[x] & PROBE > 0))
-                ok = way & (left >= share)
+                ok = may_be_alike(n, spot, node, i, j, percent)
                 ok[ok] = check(i[ok], j[ok])
                 return ok
 
@@ -332,7 +395,9 @@ class Join:
         self.sign()
         if self.percent < 100:
             self.index()
+            self.near = self.keep(self.possible(self.few), "ngram-possible")
             self.gather()
+            self.connect(self.verified(self.near))
             for k in range(ROUNDS):
                 if not self.connect(self.verified(self.keep(self.possible(self.stars(k)), "ngram-possible"))):
                     break
