@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo, text
-from wayfare.operators import access, graph, nearest, schedule, stations, streets
+from wayfare.operators import access, graph, nearest, ranges, schedule, stations, streets, viewport
 from wayfare.operators.tables import UNREACHABLE_MIN
 from wayfare.plans import catalog
 from wayfare.plans.synth import view
@@ -375,3 +375,40 @@ def test_rounds_follow_buckets(spark):
     got, rounds = graph.settled(spark.createDataFrame([("x", 0)], "dest string, node int"), chain, 4.0)
     found = {r.node: (r.cost / graph.QUANTA, r.hops) for r in got.collect()}
     assert found == {**{k: (k / 4, k) for k in range(65)}, 100: (66.0, 65)} and rounds == 6
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small ranges stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_keys(spark, many_parts):
+    """Windows, headways and medians of keys that are dealt by ranges are those of keys in one task, and no range holds a hot key's rows."""
+    rng = np.random.default_rng(5)
+    rows_ = [("hot", 1, float(x)) for x in rng.integers(0, 300_000, 3000) / 100] + [("hot", 2, float(x)) for x in np.repeat(rng.integers(0, 90, 40), 30)]
+    rows_ += [(f"k{k}", 1, float(x)) for k in range(30) for x in rng.integers(0, 2000, rng.integers(1, 12))] + [(None, 1, 5.0), ("k0", None, 5.0), ("k0", 1, None)]
+    own = spark.createDataFrame(rows_, "stop string, day int, minute double")
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(schedule.departure_windows(own, ["stop", "day"], hot=60)) == key(schedule.departure_windows(own, ["stop", "day"]))
+    for hot in (10, 10**6):
+        got = {(r.stop, r.day): r.m for r in ranges.medians(own, ["stop", "day"], "minute", "m", hot).collect()}
+        want = {k: float(np.median(x)) if x else None for k in {r[:2] for r in rows_} for x in [[r[2] for r in rows_ if r[:2] == k and r[2] is not None]]}
+        assert got == want
+    parts = ranges.dealt(own.where("stop = 'hot'"), ["stop", "day"], "minute").groupBy("stop", "day", "__part").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 2000
+
+
+def test_boxes(spark):
+    """Counts of many boxes, thin and wide ones and such as hold nothing, are those of a filter each."""
+    rng = np.random.default_rng(6)
+    places = np.concatenate([rng.uniform((-1, -1), (1, 1), (700, 2)), rng.integers(-5, 6, (300, 2)) * 0.02])
+    corners = np.concatenate([rng.uniform((-1.2, -1.2), (1, 1), (60, 2)), rng.integers(-5, 3, (30, 2)) * 0.02])
+    sizes = np.concatenate([rng.choice([0.0, 0.01, 0.03, 0.3, 2.0], (60, 2)), rng.integers(0, 5, (30, 2)) * 0.02])
+    box = [(k, float(x), float(y), float(x + w), float(y + h)) for k, ((x, y), (w, h)) in enumerate(zip(corners, sizes))] + [(900, 1.0, 1.0, -1.0, 2.0), (901, float("nan"), 0.0, 1.0, 1.0), (902, -1.0, None, 1.0, 1.0)]
+    own = spark.createDataFrame([(float(x), float(y)) for x, y in places] + [(float("nan"), 0.0), (None, 0.0)], "lon double, lat double")
+    got = {r.box_id: r.n for r in viewport.counts(own, spark.createDataFrame(box, "box_id int, west double, south double, east double, north double")).collect()}
+    want = {k: sum(w <= x <= e and s <= y <= n for x, y in places) for k, w, s, e, n in box if k < 900} | {900: 0, 901: 0, 902: 0}
+    assert got == want

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import display
-from wayfare.operators import access, graph, stations, streets
+from wayfare.operators import access, graph, stations, streets, viewport
 from wayfare.operators.tables import MODES, work_root
 from wayfare.plans.catalog import ACTIVE, BY_MODE, UNSCHEDULED, _streets, lines, query, with_groups
 from wayfare.plans.journeys import ACTIVE_SQL, LATER, TILES
@@ -257,3 +257,13 @@ def sidecar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = streets.numbered(own.select("street_id", F.lit(0).alias("seg_no")))
     sidecars.write(access.street_features(own, view(spark, sf_dir, "stations")), numbers, path)
     return sidecars.read(spark, path).join(numbers.select("street_id", "i"), "i").select("street_id", "pool", "mode", "dist_m", "station_ord")
+
+
+@query("""with b as (select p_partkey as box_id, -99.25e0 + (p_partkey*7 % 50)/200e0 as west, 19.25e0 + (p_partkey*11 % 50)/200e0 as south, (p_partkey % 13)/100e0 as w, (p_partkey % 17)/80e0 as h from part)
+select box_id, count(s.id) as n from b left join {open_stations} s on s.lon between west and west + w and s.lat between south and south + h group by 1""")
+def viewport_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open stations in many boxes at once."""
+    k = F.col("p_partkey")
+    boxes = view(spark, sf_dir, "part").select(k.alias("box_id"), (-99.25 + (k * 7 % 50) / 200).alias("west"), (19.25 + (k * 11 % 50) / 200).alias("south"), (k % 13 / 100).alias("w"), (k % 17 / 80).alias("h"))
+    boxes = boxes.select("box_id", "west", "south", (F.col("west") + F.col("w")).alias("east"), (F.col("south") + F.col("h")).alias("north"))
+    return viewport.counts(view(spark, sf_dir, "open_stations"), boxes)
