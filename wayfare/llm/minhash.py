@@ -45,7 +45,7 @@ BROADCAST_IDS = 500_000
 #: Characters whose shingles are hashed side by side.
 AT_ONCE = 1 << 18
 #: Sets that have a shingle among their first, beyond which they meet in buckets instead.
-COMMON = 128
+COMMON = 64
 #: Slots of the sketch of shingle counts, and the bits of a shingle's hash below its slot.
 COUNTERS, SLOT = 1 << 20, np.uint64(44)
 
@@ -319,7 +319,8 @@ class Search:
         percent = self.percent
         rows = self.label(self.members.select("key", "node"), "node", "label")
         mixed_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        nodes = self.keep(rows.join(self.keep(mixed_keys, "near-mixed"), "key").select("node", "label").distinct(), "near-nodes")
+        mixed_keys = self.keep(mixed_keys, "near-mixed")
+        nodes = self.keep(rows.join(mixed_keys, "key").select("node", "label").distinct(), "near-nodes")
         own = nodes.join(self.sets, "node").select("node", "label", "n", "own")
         total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
         own = self.keep(own.repartition(1 + total // AT_ONCE), "near-apart")
@@ -359,7 +360,7 @@ class Search:
         shared = every.where("not common").drop("common")
         held_by = heads.join(every.where("common").select("shingle"), "shingle", "left_semi").select("node").distinct()
         crowded = self.keep(own.join(held_by, "node", "left_semi").mapInArrow(_maps, "node long, label long, n long, bits binary"), "near-crowded")
-        self.crowded = self.members.select("key", "node").join(crowded.select("node"), "node")
+        self.crowded = self.members.select("key", "node").join(mixed_keys, "key").join(crowded.select("node"), "node")
         self.traits = crowded.drop("label").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
         open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")

@@ -66,6 +66,7 @@ def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = int(count.sum())
     out = np.zeros((n, FEATURES), np.float32)
+    out[:, -1] = np.log1p(1) / 6  # of what has no characters, whatever stands beside it
     if not len(code):
         return out, count
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -75,6 +76,7 @@ def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     kinds = np.bincount(where * len(KINDS) + kind, minlength=n * len(KINDS)).reshape(n, -1)
     chars = np.maximum(1, kinds.sum(1))
     out[:, : len(KINDS)] = kinds / chars[:, None]
+    out[:, -1] = np.log1p(chars) / 6
     # words: runs of other characters than white space, in the passage that they begin in
     blank = kind == 1
     blank |= kind == 2
@@ -96,7 +98,7 @@ def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         capital = KIND[np.minimum(code[at], 65535)] == 4
         last = kind[at + np.maximum(length, 1) - 1]
         marked = (last == 8) | (last == 10)
-        for k, x in enumerate((np.minimum(mean, 40) / 10, np.minimum(spread, 40) / 10, np.bincount(mine, again, n) / words, np.bincount(mine[order], fresh, n) / words, np.bincount(mine, capital, n) / words, np.bincount(mine, marked, n) / words, np.bincount(mine, length == 1, n) / words, np.log1p(chars) / 6)):
+        for k, x in enumerate((np.minimum(mean, 40) / 10, np.minimum(spread, 40) / 10, np.bincount(mine, again, n) / words, np.bincount(mine[order], fresh, n) / words, np.bincount(mine, capital, n) / words, np.bincount(mine, marked, n) / words, np.bincount(mine, length == 1, n) / words)):
             out[:, len(KINDS) + k] = x
     return out, count
 
