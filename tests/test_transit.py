@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import display, geo, text
 from wayfare.operators import access, graph, nearest, ranges, schedule, stations, streets, viewport
+from wayfare.operators import names as names_of
 from wayfare.operators.tables import UNREACHABLE_MIN
 from wayfare.plans import catalog
 from wayfare.plans.synth import view
@@ -327,7 +328,7 @@ def test_all_names_are_matched(spark):
     stops = spark.createDataFrame([(k, n) for k, n in enumerate(reversed(names))], "stop_id long, name string")
     every = own.crossJoin(stops.withColumnRenamed("name", "other"))
     want = {(r.id, r.stop_id) for r in every.where(text.names_match(F.col("name"), F.col("other"))).collect()}
-    got = [tuple(r) for r in schedule.match_names(own, stops).collect()]
+    got = [tuple(r) for r in names_of.match_names(own, stops).collect()]
     assert set(got) == want and len(got) == len(want) > len(names)
 
 

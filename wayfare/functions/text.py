@@ -23,6 +23,8 @@ ACCENTED, PLAIN = _plain_letters()
 # fixed values: words that station names lose before they are compared
 GENERIC_WORDS = "estacion|metrobus|metro|anden|platforma|plataforma|linea|line|l"
 COMPASS_WORDS = "norte|sur|oriente|poniente"
+#: Characters of a first name from which one name may lie within the other.
+INNER = 5
 # fixed values: networks that don't name a line
 GENERIC_NETWORKS = "^(metrobus|stc metro|metro cdmx|mexibus|cablebus)$"
 
@@ -45,15 +47,23 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(normalize(text, trim=False), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def name_words(name: Column) -> Column:
+    """The distinct words of 3 letters at least of a normalised name."""
+    return F.array_distinct(F.filter(F.split(name, " "), lambda w: F.length(w) > 2))
+
+
 def names_match(first: Column, second: Column) -> Column:
     """Equal, one within the other if the first has 5 characters at least, or 60 % of the
     shorter one's words of 3 letters at least shared; both normalised and not empty."""
-    a, b = normalize_name(first), normalize_name(second)
-    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: F.length(w) > 2))
-    wa, wb = words(a), words(b)
+    return normal_names_match(normalize_name(first), normalize_name(second))
+
+
+def normal_names_match(a: Column, b: Column) -> Column:
+    """names_match() of names that are normalised."""
+    wa, wb = name_words(a), name_words(b)
     fewer = F.least(F.size(wa), F.size(wb))
     shared = F.when(fewer > 0, F.size(F.array_intersect(wa, wb)) / fewer >= 0.6).otherwise(F.lit(False))
-    inside = (F.length(a) >= 5) & (F.contains(a, b) | F.contains(b, a))
+    inside = (F.length(a) >= INNER) & (F.contains(a, b) | F.contains(b, a))
     return (a != "") & (b != "") & ((a == b) | inside | shared)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import display, text
-from wayfare.operators import access, graph, schedule, stations, streets
+from wayfare.operators import access, graph, names, schedule, stations, streets
 from wayfare.operators.tables import MODES
 from wayfare.plans.synth import VIEWS, duckdb, view
 from wayfare.sources.curated import curated, rows
@@ -345,7 +345,7 @@ t as (select *, list_distinct(list_filter(string_split(x, ' '), lambda w: length
 select id, stop_id from t where {MATCHED}""")
 def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stations against all stops; the pairs that don't match are left out."""
-    return schedule.match_names(view(spark, sf_dir, "stations"), view(spark, sf_dir, "stops"))
+    return names.match_names(view(spark, sf_dir, "stations"), view(spark, sf_dir, "stops"))
 
 
 @query(f"with w0 as ({WAIT} w.service_key is null group by all) select count(distinct q.station_id) as stations, count(distinct q.station_id) filter (wait is not null) as scheduled from {{wait_queries}} q left join w0 using (station_id)")
