@@ -113,7 +113,7 @@ def test_texts_of_shared_paragraphs(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
     parts = [[word() for _ in range(9)] for _ in range(40)]
-    for n in (500,):
+    for n in (200, 400, 500):
         rows = [(k, " ".join(w for p in sorted(rng.sample(range(40), 28)) for w in parts[p])) for k in range(n)]
         seen = []
 

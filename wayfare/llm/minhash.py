@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.blocks import alike, meetings, parity
+from wayfare.llm.blocks import LEAST, alike, folded, meetings, parity
 from wayfare.llm.common import drop, small_batches, stored
 
 WORDS = 5
@@ -46,6 +46,8 @@ BROADCAST_IDS = 500_000
 AT_ONCE = 1 << 18
 #: Sets that have a shingle among their first, beyond which they meet in buckets instead.
 COMMON = 64
+#: Words of 64 bits of the smallest parity map, which stand beside a set's first shingles.
+MAP = [f"bits{k}" for k in range(LEAST // 8)]
 #: Slots of the sketch of shingle counts, and the bits of a shingle's hash below its slot.
 COUNTERS, SLOT = 1 << 20, np.uint64(44)
 
@@ -313,7 +315,8 @@ class Search:
         crowd() finds by their bands: let the sets' shingles stand in one order, rare ones first, and two sets have sizes m <= n. They can only share the p shingles that they must, t / (1 + t) of m + n,
         if one of the first m - ceil(2t / (1 + t) * m) + 1 of the smaller is among the first
         n - ceil(t * n) + 1 of the larger, with enough left behind both places. The larger has at most m / t
-        shingles, so sets meet in steps of their size by that ratio, a step up at most.
+        shingles, so sets meet in steps of their size by that ratio, a step up at most. A small parity map
+        beside each shingle drops pairs in the join that differ in too many, without error.
         Rarity is by a sketch of ``COUNTERS`` sums, which is what comes to the driver; any order is right.
         """
         percent = self.percent
@@ -340,7 +343,7 @@ class Search:
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                first, place, index = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+                first, place, index, maps = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)], []
                 for value in batch.column(3):
                     x = np.frombuffer(value.as_buffer(), np.uint64)
                     n = len(x)
@@ -348,11 +351,13 @@ class Search:
                     first.append(x[order].view(np.int64))
                     place.append(np.arange(1, len(order) + 1, dtype=np.int32))
                     index.append(place[-1] <= n - -(-2 * percent * n // (100 + percent)) + 1)
+                    maps.append(np.frombuffer(folded(parity(x)), np.int64))
                 many = np.array(list(map(len, first[1:])), np.int64)
-                again = [np.repeat(batch.column(k).to_numpy(), many) for k in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(place)), pa.array(np.concatenate(index)), *map(pa.array, again)], names=["shingle", "place", "index", "node", "label", "n"])
+                again = [np.repeat(c, many) for c in (*(batch.column(k).to_numpy() for k in (0, 1, 2)), *np.array(maps, np.int64).reshape(-1, len(MAP)).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(place)), pa.array(np.concatenate(index)), *map(pa.array, again)], names=["shingle", "place", "index", "node", "label", "n", *MAP])
 
-        heads = self.keep(own.mapInArrow(prefixes, "shingle long, place int, index boolean, node long, label long, n long"), "near-heads")
+        schema = ", ".join(["shingle long, place int, index boolean, node long, label long, n long", *(f"{m} long" for m in MAP)])
+        heads = self.keep(own.mapInArrow(prefixes, schema), "near-heads")
         # of each shingle the component that most have it in: of two in different components one isn't in that
         per = heads.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("index").alias("i")).groupBy("shingle")
         per = per.agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.sum("i").alias("indexed"))
@@ -364,12 +369,13 @@ class Search:
         self.traits = crowded.drop("label").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
         open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")
-        side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("place", "node", "label", "n", "rare")]
+        side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("place", "node", "label", "n", "rare", *MAP)]
         x = open_.where("index").select("shingle", F.explode(F.array("step", F.col("step") + 1)).alias("step"), *side("x"))
         y = open_.select("shingle", "step", *side("y"))
         share = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
         left = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        near = (100 * F.col("x_n") >= percent * F.col("y_n")) & (left >= share) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
+        differ = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in MAP), F.lit(0))
+        near = (100 * F.col("x_n") >= percent * F.col("y_n")) & (left >= share) & (differ <= F.col("x_n") + F.col("y_n") - 2 * share) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
         met = x.where("x_rare").join(y, ["shingle", "step"]).unionByName(x.where("not x_rare").join(y.where("y_rare"), ["shingle", "step"]))
         pairs = met.where((F.col("x_label") != F.col("y_label")) & near)
         return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
