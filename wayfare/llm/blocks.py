@@ -100,20 +100,24 @@ def meetings(entries: DataFrame, traits: DataFrame, judge: Judge, forest: bool,
     whole key, and within it pairs are judged without being written down. With ``forest`` only as many pairs of a batch
     are written as connect its labels in the way that all of them would.
     """
-    extra = [c for c in (*entries.columns, *traits.columns) if c not in ("key", "node", "label")]
     per = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     sizes = per.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     cut = lambda n: F.ceil(F.col(n) / block).cast("int")
     sizes = sizes.where("labels > 1").select("key", "main", cut("all").alias("wide"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("narrow"))
-    own = entries.join(sizes, "key").join(traits, "node").withColumn("own", F.struct("node", "label", *extra))
+    # a member's keys are one row until it has its traits, so these are joined once a member, not once a key
+    at = entries.join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct(*(c for c in entries.columns if c != "node"), "main", "wide", "narrow")).alias("at"))
+    own = at.join(traits, "node").select(*traits.columns, F.inline("at"))
+    own = own.withColumn("own", F.struct("node", "label", *(c for c in (*entries.columns, *traits.columns) if c not in ("key", "node", "label"))))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    meets = lambda i, j, rare, whole: F.struct(i.alias("i"), j.alias("j"), rare.alias("rare"), whole.alias("whole"))
+    each = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
+    yes, no, rest = F.lit(True), F.lit(False), F.col("label") != F.col("main")
     # in keys of one block a member stands once, and says whether it is one of the rest
-    single = own.where("wide = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("label") != F.col("main")).alias("rare"), F.lit(True).alias("whole"), "own")
-    own = own.where("wide > 1")
-    rare = own.where("label <> main").select("key", part("narrow").alias("i"), each("wide").alias("j"), F.lit(True).alias("rare"), F.lit(False).alias("whole"), "own")
-    whole = own.select("key", each("narrow").alias("i"), part("wide").alias("j"), F.lit(False).alias("rare"), F.lit(True).alias("whole"), "own")
-    rows = single.unionByName(rare).unionByName(whole).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rare", "whole", "own")).alias("members")).select("members")
+    single = F.array(meets(F.lit(0), F.lit(0), rest, yes))
+    rare = each("wide", lambda j: meets(part("narrow"), j, yes, no))
+    whole = each("narrow", lambda i: meets(i, part("wide"), no, yes))
+    places = F.when(F.col("wide") == 1, single).when(rest, F.concat(rare, whole)).otherwise(whole)
+    rows = own.select("key", "own", F.inline(places)).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rare", "whole", "own")).alias("members")).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -365,7 +365,7 @@ class Search:
         shared = every.where("not common").drop("common")
         held_by = heads.join(every.where("common").select("shingle"), "shingle", "left_semi").select("node").distinct()
         crowded = self.keep(own.join(held_by, "node", "left_semi").mapInArrow(_maps, "node long, label long, n long, bits binary"), "near-crowded")
-        self.crowded = self.members.select("key", "node").join(mixed_keys, "key").join(crowded.select("node"), "node")
+        self.crowded = self.keep(self.members.select("key", "node").join(mixed_keys, "key").join(crowded.select("node"), "node", "left_semi"), "near-crowded-keys")
         self.traits = crowded.drop("label").join(self.classes.select(F.col("rep").alias("node"), "sig"), "node")
         step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01)) + 1e-9)
         open_ = self.keep(heads.join(shared, "shingle").withColumn("step", step).withColumn("rare", F.col("label") != F.col("main")), "near-heads-open")
@@ -382,7 +382,8 @@ class Search:
 
     def crowd(self, forest: bool) -> DataFrame:
         """Pairs of the crowded sets, in different components, that share a bucket and may be similar."""
-        return meetings(self.label(self.crowded, "node", "label"), self.traits, _judge(self.percent), forest)
+        entries = self.keep(self.label(self.crowded, "node", "label"), "near-crowded-labels")
+        return meetings(entries, self.traits, _judge(self.percent), forest)
 
     def run(self) -> DataFrame:
         self.labels: DataFrame | None = None
