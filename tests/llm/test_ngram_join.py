@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfare.llm import ngram_join
@@ -114,3 +116,25 @@ def test_odd_rows(spark):
     many = len(sets(long))
     assert got == sorted([("1", 2, 1), ("1", 2, 1), ("2", 2, 1), ("None", 2, 1), ("None", 1, None), ("None", 0, None), ("3", many, 3), ("4", many + 1, 3), ("5", 1, 5), ("6", 1, 5), ("7", 1, 7)])
     assert ngram_join.join(df.limit(0)).count() == 0
+
+
+def test_memory_of_counts():
+    """A task that counts shingles holds its counters and little besides, no second array of their number."""
+
+    class Taken(Exception):
+        pass
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            raise Taken(run)
+
+    with pytest.raises(Taken) as taken:
+        ngram_join.Join(None, Docs(), 85, 4, 512).sign()
+    texts = [" ".join(f"w{k}x{j}" for j in range(2000)) for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts[k : k + 40])], names=["doc_id", "text"]) for k in range(0, 400, 40)]
+    tracemalloc.start()
+    got = list(taken.value.args[0](iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(ngram_join._unpacked(v).sum()) for b in got for v in b.column(4).drop_null().to_pylist()) == 400 * 1997
+    assert peak < 4 * ngram_join.COUNTERS + (40 << 20)

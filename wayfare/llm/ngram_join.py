@@ -39,7 +39,7 @@ WORDS, PERCENT = 4, 85
 COUNTERS, CHUNK, FAN = 1 << 23, 1 << 17, 256
 SLOT = np.uint64(41)
 #: Shingles that a task holds before it counts them.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Counts over this many times a counter's mean make a shingle frequent, and 16 times that very frequent; FLOOR at least.
 TIMES, FLOOR, VERY = 4, 512, 16
 #: Shingles of a prefix for each part of the class by twos, and of that by threes.
@@ -234,7 +234,7 @@ class Join:
             tally, held = np.zeros(COUNTERS, np.uint32), [np.zeros(0, np.uint64)]
 
             def count() -> None:
-                np.add(tally, np.bincount((np.concatenate(held) >> SLOT).astype(np.int64), minlength=COUNTERS), out=tally, casting="unsafe")
+                np.add.at(tally, (np.concatenate(held) >> SLOT).astype(np.intp), np.uint32(1))
                 held[:] = [np.zeros(0, np.uint64)]
 
             for b in batches:
@@ -271,12 +271,14 @@ class Join:
             tasks = -(-tasks // FAN)
             if tasks == 1:
                 break
-        counts = np.zeros(COUNTERS, np.int64)
-        for chunk, packed, _ in tallies.collect():  # COUNTERS / CHUNK rows
-            counts[chunk * CHUNK : (chunk + 1) * CHUNK] = _unpacked(packed)
         levels = lambda x: np.minimum(255, np.round(4 * np.log2(x + 1))).astype(np.uint8)
-        from_ = max(self.floor, TIMES * counts.mean())
-        self.level, self.frequent, self.very = levels(counts), int(levels(np.array(from_))), int(levels(np.array(VERY * from_)))
+        self.level, total = np.zeros(COUNTERS, np.uint8), 0
+        for chunk, packed, _ in tallies.collect():  # COUNTERS / CHUNK rows
+            counts = _unpacked(packed)
+            self.level[chunk * CHUNK : (chunk + 1) * CHUNK] = levels(counts)
+            total += int(counts.sum())
+        from_ = max(self.floor, TIMES * total / COUNTERS)
+        self.frequent, self.very = int(levels(np.array(from_))), int(levels(np.array(VERY * from_)))
 
     def index(self) -> None:
         """entries (key, node, n, spot): the keys that more than ``FEW`` classes have, with place and kind as one number; few (a, b): the pairs of the others; heads (node, n, bits)."""
