@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -45,3 +47,13 @@ def test_round_trip(spark, monkeypatch):
     path = new_path(spark, "tokens")
     tokenfile.write(df.limit(0), path, VOCABULARY)
     assert tokenfile.read(spark, path).count() == 0
+
+
+def test_ids_are_read_once(spark, monkeypatch, tmp_path):
+    """The counts for the code come from the pass that encodes; the ids of a document are unpacked once."""
+    monkeypatch.setattr(tokenfile, "unplanes", lambda data, wide, own=tokenfile.unplanes, at=str(tmp_path): (open(f"{at}/{uuid.uuid4().hex}", "w").close(), own(data, wide))[1])
+    docs = spark.createDataFrame([(k, f"the cat {k} sat") for k in range(20)], "doc_id long, text string").repartition(2)
+    path = new_path(spark, "tokens")
+    tokenfile.write(docs, path, VOCABULARY)
+    assert len(list(tmp_path.iterdir())) == 20
+    assert tokenfile.read(spark, path).count() == 20

@@ -176,26 +176,30 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
     wide, end = size > 65536, np.array([end_id], "<u4").tobytes()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own, total, names = encoder(vocabulary), np.zeros(size, np.int64), ["doc_id", "n", "ids", "counts"]
         for b in batches:
             ids = [x + end for x in own.encode_batch(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([planes(x, wide) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([planes(x, wide) for x in ids], pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=names)
+        # a row more for each task: how often it has each id
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     work = new_path(spark, "token-ids")
-    schema = "doc_id long, n long, ids binary"
+    schema = "doc_id long, n long, ids binary, counts binary"
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens, schema).write.option("compression", "zstd").parquet(work)
-    encoded = spark.read.schema(schema).parquet(work)
+    both = spark.read.schema(schema).parquet(work)
+    encoded = both.where("counts is null").drop("counts")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(unplanes(x.as_py(), wide), minlength=size)
+                total += np.frombuffer(x.as_buffer(), "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     # at most a row for each id of the vocabulary comes to the driver
-    per_id = encoded.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    per_id = both.where("counts is not null").select("counts").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in per_id.collect():
         counts[row["id"]] = row["n"]
