@@ -9,28 +9,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.operators.tables import checked
+
 _LOCAL_WORK: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder for work tables: spark.checkpoint.dir, which all executors share.
+    """The folder for work tables: spark.checkpoint.dir or what setCheckpointDir() was given, which all executors share.
 
-    Where it is unset, a local master gets one temporary folder per process, and a
-    cluster the warehouse folder. A cluster's folder can't be local to a machine: then there is
-    an error, unless all its machines are this one (local-cluster).
+    Where neither is set, a local master gets one temporary folder per process, and a
+    cluster the warehouse folder. A cluster's folder can't be local to a machine: that is tried once, see checked().
     """
-    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if master.startswith("local"):
+        if spark.sparkContext.master.startswith("local"):
             if not _LOCAL_WORK:
                 folder = tempfile.mkdtemp(prefix="wayfare-work-")
                 atexit.register(shutil.rmtree, folder, ignore_errors=True)
                 _LOCAL_WORK.append(folder)
             return "file://" + _LOCAL_WORK[0]
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    if not master.startswith("local") and (":" not in root or root.startswith("file:")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return root.rstrip("/")
+    return checked(spark, root)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
