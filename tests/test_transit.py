@@ -413,3 +413,16 @@ def test_boxes(spark):
     got = {r.box_id: r.n for r in viewport.counts(own, spark.createDataFrame(box, "box_id int, west double, south double, east double, north double")).collect()}
     want = {k: sum(w <= x <= e and s <= y <= n for x, y in places) for k, w, s, e, n in box if k < 900} | {900: 0, 901: 0, 902: 0}
     assert got == want
+
+
+@pytest.mark.parametrize("rows_", [graph.GRAPH_ROWS, 0])
+def test_equal_ways_change(spark, rows_):
+    """Of equal ways the one that leaves a service is taken, also if it has more steps; not where a wait for the service takes no time."""
+    own = spark.createDataFrame([(k, k, "subway") for k in range(5)], "id long, ord int, mode string")
+    rides = spark.createDataFrame([(1, 2, 3.0, "A"), (2, 3, 4.0, "A"), (2, 4, 1.0, "B"), (4, 3, 1.0, "B")], "src long, dst long, minutes double, service_key string")
+    walk = spark.createDataFrame([(3, 0, 5.0)], "src long, dst long, minutes double")
+    dest = spark.createDataFrame([(0, 0)], "dest int, station_id long")
+    for wait, legs in ((4.0, [("wait", 1, 1), ("ride", 1, 2), ("wait", 2, 2), ("ride", 2, 3), ("transfer", 3, 0)]), (0.0, [("wait", 1, 1), ("ride", 1, 3), ("transfer", 3, 0)])):
+        waits = spark.createDataFrame([(k, s, w) for k in range(1, 5) for s, w in (("A", wait), ("B", 2.0))], "station_id long, service_key string, wait_min double")
+        got = graph.routes(dest, own, walk, service_waits=waits, rides=rides, graph_rows=rows_).where("station_id = 1").orderBy("leg_no").collect()
+        assert [(r["type"], r["src"], r["dst"]) for r in got] == legs
