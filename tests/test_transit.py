@@ -300,6 +300,13 @@ def test_display(spark):
     assert one(spark, *display.departure(now, "America/Mexico_City")) == (6, 23 * 60 + 30)
 
 
+def test_distances_as_printf_has_them(spark):
+    """Kilometres of all halves of a tenth, and of what stands beside them, as in the SQL of the table of a way."""
+    metres = [m + d for m in range(950, 30_000, 100) for d in (-1, 0, 1) if m + d >= 950] + [1_234_450]
+    got = {r.m: r.s for r in spark.createDataFrame([(m,) for m in metres], "m long").select("m", display.format_distance(F.col("m"), binary=True).alias("s")).collect()}
+    assert got == {m: f"{m / 1000:.1f} km" for m in metres}
+
+
 def test_complexes(spark, nodes):
     got = {r.station_id: r.complex_id for r in graph.complexes(nodes, spark.createDataFrame([("c", "c-brt"), ("c-brt", "d"), ("a", "gone")], "src string, dst string")).collect()}
     assert got == {"a": "a", "b": "b", "c": "c", "c-brt": "c", "d": "c"}

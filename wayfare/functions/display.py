@@ -62,9 +62,11 @@ def format_integer(value: Column) -> Column:
     return F.format_number(F.floor(value + 0.5).cast("long"), 0)
 
 
-def format_distance(metres: Column) -> Column:
-    """Whole metres under 950, else kilometres with a decimal."""
-    return F.when(metres < 950, F.concat(F.floor(metres + 0.5).cast("long").cast("string"), F.lit(" m"))).otherwise(F.format_string("%.1f km", metres.cast("double") / 1000))
+def format_distance(metres: Column, binary: bool = False) -> Column:
+    """Whole metres under 950, else kilometres with a decimal: halves up, or as printf() has it, by the binary value and its halves to even (1,950 m are 1.9 km)."""
+    km = metres.cast("double") / 1000
+    shown = F.call_function("format_number", km, F.lit("0.0")) if binary else F.format_string("%.1f", km)
+    return F.when(metres < 950, F.concat(F.floor(metres + 0.5).cast("long").cast("string"), F.lit(" m"))).otherwise(F.concat(shown, F.lit(" km")))
 
 
 def format_minutes(minutes: Column) -> Column:
