@@ -385,6 +385,18 @@ def test_rounds_follow_buckets(spark):
     assert found == {**{k: (k / 4, k) for k in range(65)}, 100: (66.0, 65)} and rounds == 6
 
 
+def test_crowded_stations(spark):
+    """Where all stations are next to each other shortcuts stay as many as the steps, and times and steps are the same as with all shortcuts; the driver takes few steps."""
+    rng = random.Random(3)
+    rows_ = [(a, b, rng.choice([0.0, 3.0, 3.5, 4.0, 9.0, 12.0])) for a in range(40) for b in range(40) if a != b and rng.random() < 0.8] + [(40 + k, 39 + k, 0.5) for k in range(30)]
+    steps, dest = spark.createDataFrame(rows_, "src int, dst int, minutes double"), spark.createDataFrame([("x", 0), ("y", 7), ("y", 9)], "dest string, node int")
+    cuts, whole = graph.shortcuts(steps.withColumn("cost", graph._cost("minutes")), 10 * graph.QUANTA, 5000)
+    assert not whole and cuts.count() <= len(rows_)
+    few, many = (sorted(map(tuple, graph.settled(dest, steps, most_cuts=n)[0].collect())) for n in (0, 10**9))
+    assert few == many and len(few) == 2 * 70
+    assert graph.GRAPH_ROWS <= 200_000
+
+
 @pytest.fixture
 def many_parts(spark):
     """Small ranges stay apart."""
