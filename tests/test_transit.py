@@ -397,6 +397,19 @@ def test_crowded_stations(spark):
     assert graph.GRAPH_ROWS <= 200_000
 
 
+def test_walks_of_names(spark):
+    """Walks are those of all pairs: of one name within 900 m, of others within the smaller or larger distance that is asked for."""
+    rng = random.Random(4)
+    rows_ = [(k, k, rng.choice(["Uno", "uno ", "Dos", "", None, f"n{k}"]), rng.uniform(-99.15, -99.13), rng.uniform(19.40, 19.42)) for k in range(120)]
+    own = spark.createDataFrame(rows_, "id int, ord int, name string, lon double, lat double")
+    pairs = own.toDF("a", "ao", "an", "ax", "ay").crossJoin(own.toDF("b", "bo", "bn", "bx", "by")).where("ao < bo").withColumn("m", geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).collect()
+    for close in (250.0, 1200.0):
+        alike = lambda r: bool((r.an or "").strip()) and (r.an or "").strip().lower() == (r.bn or "").strip().lower() and r.m <= 900
+        want = {(r.a, r.b): max(0.35, r.m / 80) if alike(r) else 3 + r.m / 80 for r in pairs if alike(r) or r.m <= close}
+        got = graph.walking_links(own, close).collect()
+        assert len(got) == len(want) > 100 and all(abs(want[r.src, r.dst] - r.minutes) < 1e-9 for r in got)
+
+
 @pytest.fixture
 def many_parts(spark):
     """Small ranges stay apart."""
