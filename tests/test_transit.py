@@ -410,6 +410,16 @@ def test_walks_of_names(spark):
         assert len(got) == len(want) > 100 and all(abs(want[r.src, r.dst] - r.minutes) < 1e-9 for r in got)
 
 
+def test_pairs_meet_once(spark):
+    """Pairs within reach are those of all pairs, each once, by ord, also on both sides of the zero lines and far north."""
+    rng = random.Random(5)
+    rows_ = [(k, rng.randrange(250), x + rng.uniform(-0.03, 0.03) * w, y + rng.uniform(-0.03, 0.03)) for k in range(300) for x, y, w in [rng.choice([(0.0, 0.0, 1), (-99.1, 19.4, 1), (20.0, 78.0, 4)])]]
+    rows_ += [(300, 300, None, 0.0), (301, 301, float("nan"), 0.0), (302, 302, 0.01, None)]
+    own = spark.createDataFrame(rows_, "id int, ord int, lon double, lat double")
+    want = sorted((a[0], b[0]) for a in rows_[:300] for b in rows_[:300] if a[1] < b[1] and geo.haversine_py(a[2], a[3], b[2], b[3]) <= 900)
+    assert sorted((r.a.id, r.b.id) for r in graph.near_pairs(own, 900.0).collect()) == want and len(want) > 300
+
+
 @pytest.fixture
 def many_parts(spark):
     """Small ranges stay apart."""
