@@ -420,6 +420,16 @@ def test_pairs_meet_once(spark):
     assert sorted((r.a.id, r.b.id) for r in graph.near_pairs(own, 900.0).collect()) == want and len(want) > 300
 
 
+def test_names_are_normalised_once(spark):
+    """Names of stations and stops are normalised before they meet, not for each pair; names that are equal, lack or share words."""
+    own = spark.createDataFrame([(1, 1, "Metro Niños Héroes", "subway", -99.1, 19.4), (2, 2, None, "subway", -99.1, 19.4), (3, 3, "Zócalo", "brt", -99.1, 19.4)], "id int, ord int, name string, mode string, lon double, lat double")
+    stops = spark.createDataFrame([(7, "ninos heroes", "subway", -99.1, 19.401), (8, "Otra", "subway", -99.1, 19.4), (9, "Otra", "subway", -99.1, 19.41)], "stop_id int, name string, mode string, lon double, lat double")
+    pairs = schedule.near_stops(own, stops)
+    assert {(r.station_id, r.stop_id): r.matched for r in pairs.collect()} == {(1, 7): True, (1, 8): False, (2, 7): False, (2, 8): False}
+    above = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "regexp_replace" not in above and "split" not in above
+
+
 @pytest.fixture
 def many_parts(spark):
     """Small ranges stay apart."""
